@@ -4,6 +4,7 @@ import importlib
 
 MODULES = [
     "veldt.plans.q_panel",
+    "veldt.plans.q_readmodel",
 ]
 
 

@@ -133,10 +133,13 @@ fc AS (
   FROM feat)"""
 
 
-def with_base(body: str, upto: str = "fc") -> str:
+def with_base(body: str, upto: str = "fc", extra: str = "") -> str:
+    """``WITH <base CTEs up to upto>[, extra CTEs] body``."""
     parts = [PANEL]
     if upto in ("labelled", "feat", "featured", "fc"):
         parts.append(LABELLED)
     if upto in ("feat", "featured", "fc"):
         parts.append(FEATURES)
+    if extra.strip():
+        parts.append(extra.strip().lstrip(","))
     return "WITH " + ",".join(parts) + "\n" + body
