@@ -82,7 +82,7 @@ def main():
                 types[n] = registry.column_kinds(sdf)
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
-            print(f"{n}: SPARK ERROR {type(e).__name__}: {str(e)[:400]}")
+            print(f"{n}: SPARK ERROR {type(e).__name__}: {str(e)[:400]}".replace("\n", " "))
             results[n] = "spark_error"
             continue
         ts = time.time() - t0
@@ -111,8 +111,8 @@ def main():
                 print("   spark cols", sorted(scols), "\n   duck cols ", sorted(dcols))
             else:
                 ss, ds = set(sr), set(dr)
-                print("   only spark:", list(ss - ds)[:3])
-                print("   only duck :", list(ds - ss)[:3])
+                print("   only spark:", str(list(ss - ds)[:2])[:600])
+                print("   only duck :", str(list(ds - ss)[:2])[:600])
     if a.update_types:
         with open(registry._TYPES_FILE, "w") as fh:
             json.dump(types, fh, indent=0, sort_keys=True)

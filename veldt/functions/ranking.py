@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.session import checkpoint_dir
+
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "rn",
                       partitions: int | None = None) -> DataFrame:
@@ -20,8 +22,14 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rn",
     ``order`` must be a total order (include a unique tie-breaker)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(spark)
+    # materialise the range partitioning ONCE (reliable checkpoint in the
+    # shared checkpoint folder): both branches below must see identical
+    # partition contents, and a recomputed range exchange may re-sample
+    # different bounds.
     part = (df.repartitionByRange(n, *order)
-              .withColumn("_pid", F.spark_partition_id()))
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
     local = part.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn(

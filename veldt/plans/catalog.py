@@ -5,6 +5,7 @@ import importlib
 MODULES = [
     "veldt.plans.q_panel",
     "veldt.plans.q_readmodel",
+    "veldt.plans.q_allocate",
 ]
 
 
