@@ -73,3 +73,142 @@ def source_coverage(panel: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.col("ndvi").isNotNull().cast("double")).alias("ndvi_coverage"),
         F.count_if(F.col("firms_count") > 0).alias("fire_days"))
+
+
+def split_crosstab(featured: DataFrame, splits=("train", "val", "test")) -> DataFrame:
+    """Split x entity counts with row totals and a pooled total row (D6):
+    conditional counts under ``rollup`` (pivot cannot follow a rollup)."""
+    return featured.rollup("entity").agg(
+        *[F.count_if(F.col("split") == s).alias(s) for s in splits],
+        F.count(F.lit(1)).alias("total"))
+
+
+def test_positives(featured: DataFrame, min_pos: int = 30) -> DataFrame:
+    """Test-split positives per entity x threat with a < min_pos flag (D7): unpivot + pivot."""
+    t = featured.where(F.col("split") == "test")
+    long = t.select("entity", *C.LABEL_COLS).unpivot(["entity"], C.LABEL_COLS, "label", "y")
+    wide = long.groupBy("entity").pivot("label", C.LABEL_COLS).agg(F.coalesce(F.sum("y"), F.lit(0)))
+    out = wide
+    for lab in C.LABEL_COLS:
+        short = lab.replace("_within_30d", "")
+        out = (out.withColumnRenamed(lab, f"{short}_pos")
+                  .withColumn(f"{short}_low", (F.col(f"{short}_pos") < min_pos)))
+    return out
+
+
+def monthly_seasonality(labelled: DataFrame) -> DataFrame:
+    """Month-of-year label rates pooled over entities."""
+    return labelled.groupBy(F.month("day").alias("month")).agg(
+        *[F.avg(c).alias(c.replace("_within_30d", "_rate")) for c in C.LABEL_COLS])
+
+
+def exact_mean(c: str, scale: int = 9):
+    """Mean accumulated exactly on a 1e-9 fixed-point grid (DECIMAL sum):
+    independent of partitioning and summation order."""
+    return F.sum(F.col(c).cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
+
+
+def safe_corr(a, b):
+    """Pearson r as covar / (std * std); NULL (not an ANSI error) for a constant input."""
+    den = F.stddev_samp(a) * F.stddev_samp(b)
+    return F.covar_samp(a, b) / F.nullif(den, F.lit(0.0))
+
+
+def month_entity_stats(featured: DataFrame, cols: list[str]) -> DataFrame:
+    """Mean and sample std per entity x month."""
+    aggs = []
+    for c in cols:
+        aggs += [exact_mean(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
+    return featured.groupBy("entity", F.month("day").alias("month")).agg(*aggs)
+
+
+def weekly_resample(labelled: DataFrame) -> DataFrame:
+    """Weekly (Mon..Sun, labelled by the Sunday) mean of labels per entity."""
+    wk = F.date_add(F.date_trunc("week", F.col("day")).cast("date"), 6)
+    return labelled.groupBy("entity", wk.alias("week_end")).agg(
+        *[F.avg(c).alias(c.replace("_within_30d", "_rate")) for c in C.LABEL_COLS])
+
+
+def ndvi_coverage(featured: DataFrame) -> DataFrame:
+    """NDVI availability per entity, overall and per month 1..12 pivoted."""
+    by_month = (featured.withColumn("month_key", F.month("day").cast("string"))
+                        .groupBy("entity").pivot("month_key", [str(m) for m in range(1, 13)])
+                        .agg(F.lit(1.0) - F.avg("ndvi_missing")))
+    overall = featured.groupBy("entity").agg((F.lit(1.0) - F.avg("ndvi_missing")).alias("coverage"))
+    return by_month.join(overall, "entity")
+
+
+def ecosystem_summary(featured: DataFrame, cols: list[str]) -> DataFrame:
+    """'mean ± std' strings per ecosystem on clean train rows."""
+    clean = featured.where((F.col("split") == "train") & (F.col("ndvi_missing") == 0))
+    return clean.groupBy("ecosystem").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.concat(_fmt2(exact_mean(c)), F.lit(" ± "), _fmt2(F.stddev_samp(c))).alias(c) for c in cols])
+
+
+def _fmt2(x):
+    """'%.2f' text; NULL renders 'nan' (format_string would print 'nu')."""
+    return F.when(x.isNull(), F.lit("nan")).otherwise(F.format_string("%.2f", x))
+
+
+def box_stats(featured: DataFrame, cols: list[str]) -> DataFrame:
+    """Q1/median/Q3 (linear interpolation) and 1.5*IQR whiskers per entity x feature."""
+    long = featured.select("entity", *cols).unpivot(["entity"], cols, "feature", "value").where(
+        F.col("value").isNotNull())
+    q = long.groupBy("entity", "feature").agg(
+        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = q.select("entity", "feature", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                 F.col("_q")[2].alias("q3"))
+    j = long.join(q, ["entity", "feature"])
+    iqr = F.col("q3") - F.col("q1")
+    lo, hi = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
+    inside = (F.col("value") >= lo) & (F.col("value") <= hi)
+    return j.groupBy("entity", "feature", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
+        F.count_if(~inside).alias("n_outliers"))
+
+
+def point_biserial(featured: DataFrame, cols: list[str], min_n: int = 30, top: int = 5) -> DataFrame:
+    """Feature-label correlation r with n and t; NULL under min_n pairs; top-k by |r|.
+
+    One ``agg`` computes every (feature, label) correlation; the p-value uses
+    the normal approximation of t (adequate for n >= 30)."""
+    aggs = []
+    for lab in C.LABEL_COLS:
+        for c in cols:
+            ok = F.col(c).isNotNull() & F.col(lab).isNotNull()
+            aggs += [safe_corr(F.when(ok, F.col(c)), F.when(ok, F.col(lab).cast("double"))).alias(f"r|{lab}|{c}"),
+                     F.count_if(ok).alias(f"n|{lab}|{c}")]
+    wide = featured.agg(*aggs)
+    pairs = F.array(*[F.struct(F.lit(lab).alias("label"), F.lit(c).alias("feature"),
+                               F.col(f"`r|{lab}|{c}`").alias("r"), F.col(f"`n|{lab}|{c}`").alias("n"))
+                      for lab in C.LABEL_COLS for c in cols])
+    long = wide.select(F.inline(pairs))
+    r = F.when(F.col("n") >= min_n, F.col("r"))
+    t = r * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - r * r))
+    long = long.withColumn("r", r).withColumn("t", t)
+    # two-sided p from the standard normal tail (Abramowitz-Stegun 26.2.17)
+    z = F.abs(F.col("t"))
+    k = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * z)
+    poly = k * (F.lit(0.319381530) + k * (F.lit(-0.356563782) + k * (F.lit(1.781477937)
+                + k * (F.lit(-1.821255978) + k * F.lit(1.330274429)))))
+    tail = F.lit(0.3989422804014327) * F.exp(-z * z / 2) * poly
+    long = long.withColumn("p_value", F.lit(2.0) * tail)
+    from pyspark.sql import Window
+    w = Window.partitionBy("label").orderBy(F.abs(F.col("r")).desc_nulls_last(), F.col("feature"))
+    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def correlation_pairs(df: DataFrame, cols: list[str], threshold: float = 0.80) -> DataFrame:
+    """Pairwise-complete Pearson r for every feature pair in ONE aggregate; |r| > threshold."""
+    aggs, keys = [], []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            ok = F.col(a).isNotNull() & F.col(b).isNotNull()
+            aggs.append(safe_corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"{a}|{b}"))
+            keys.append((a, b))
+    wide = df.agg(*aggs)
+    pairs = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                               F.col(f"`{a}|{b}`").alias("r")) for a, b in keys])
+    return wide.select(F.inline(pairs)).where(F.abs(F.col("r")) > threshold)

@@ -6,6 +6,7 @@ MODULES = [
     "veldt.plans.q_panel",
     "veldt.plans.q_readmodel",
     "veldt.plans.q_allocate",
+    "veldt.plans.q_quality",
 ]
 
 
