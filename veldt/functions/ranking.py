@@ -38,3 +38,31 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rn",
     # ``offs`` has one row per partition id (<= n rows): safe to broadcast
     res = local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
     return res.withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint")).drop("_pid", "_lrn", "_off")
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: str, cols: list[str],
+                partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``cols`` per ``keys`` in ascending ``order``.
+
+    ``df`` should hold one row per (keys, order) value (pre-aggregated ties).
+    Rows are range-partitioned on (keys, order) and materialised once; each
+    partition computes local running sums, and per-(key, partition) totals —
+    a table of at most keys x partitions rows — give the offsets.  No key's
+    rows are ever gathered into a single task."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(spark)
+    part = (df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    w = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = part.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in cols])
+    tot = part.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
+                                       for c in cols])
+    # offs has keys x partitions rows; AQE broadcasts it when that is small
+    res = local.join(offs, ["_pid", *keys])
+    for c in cols:
+        res = res.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
+    return res.drop("_pid", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])

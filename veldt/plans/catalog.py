@@ -7,6 +7,7 @@ MODULES = [
     "veldt.plans.q_readmodel",
     "veldt.plans.q_allocate",
     "veldt.plans.q_quality",
+    "veldt.plans.q_evaluate",
 ]
 
 
