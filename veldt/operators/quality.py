@@ -169,22 +169,30 @@ def box_stats(featured: DataFrame, cols: list[str]) -> DataFrame:
         F.count_if(~inside).alias("n_outliers"))
 
 
+def _pair_stats(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Pearson statistics for many (name_a, name_b, col_a, col_b) pairs in one pass.
+
+    Each input row is expanded (``inline``) into one (a, b, x, y) row per pair
+    with both values present and streamed into ONE grouped aggregate with
+    map-side partial aggregation: small, code-generated aggregate functions
+    instead of hundreds of expressions in a single aggregate."""
+    arr = F.array(*[F.struct(F.lit(na).alias("a"), F.lit(nb).alias("b"),
+                             F.col(ca).cast("double").alias("x"), F.col(cb).cast("double").alias("y"))
+                    for na, nb, ca, cb in pairs])
+    long = df.select(F.inline(arr)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return long.groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("r"),
+                                      F.count(F.lit(1)).alias("n"))
+
+
 def point_biserial(featured: DataFrame, cols: list[str], min_n: int = 30, top: int = 5) -> DataFrame:
     """Feature-label correlation r with n and t; NULL under min_n pairs; top-k by |r|.
 
-    One ``agg`` computes every (feature, label) correlation; the p-value uses
-    the normal approximation of t (adequate for n >= 30)."""
-    aggs = []
-    for lab in C.LABEL_COLS:
-        for c in cols:
-            ok = F.col(c).isNotNull() & F.col(lab).isNotNull()
-            aggs += [safe_corr(F.when(ok, F.col(c)), F.when(ok, F.col(lab).cast("double"))).alias(f"r|{lab}|{c}"),
-                     F.count_if(ok).alias(f"n|{lab}|{c}")]
-    wide = featured.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(lab).alias("label"), F.lit(c).alias("feature"),
-                               F.col(f"`r|{lab}|{c}`").alias("r"), F.col(f"`n|{lab}|{c}`").alias("n"))
-                      for lab in C.LABEL_COLS for c in cols])
-    long = wide.select(F.inline(pairs))
+    The p-value uses the normal approximation of t (adequate for n >= 30)."""
+    pairs = [(lab, c, c, lab) for lab in C.LABEL_COLS for c in cols]
+    st = _pair_stats(featured, pairs).withColumnRenamed("a", "label").withColumnRenamed("b", "feature")
+    # pairs without any complete row still appear (n = 0, r NULL)
+    allp = featured.sparkSession.createDataFrame([(lab, c) for lab, c, _, _ in pairs], "label string, feature string")
+    long = allp.join(st, ["label", "feature"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     r = F.when(F.col("n") >= min_n, F.col("r"))
     t = r * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - r * r))
     long = long.withColumn("r", r).withColumn("t", t)
@@ -201,14 +209,8 @@ def point_biserial(featured: DataFrame, cols: list[str], min_n: int = 30, top: i
 
 
 def correlation_pairs(df: DataFrame, cols: list[str], threshold: float = 0.80) -> DataFrame:
-    """Pairwise-complete Pearson r for every feature pair in ONE aggregate; |r| > threshold."""
-    aggs, keys = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs.append(safe_corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"{a}|{b}"))
-            keys.append((a, b))
-    wide = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                               F.col(f"`{a}|{b}`").alias("r")) for a, b in keys])
-    return wide.select(F.inline(pairs)).where(F.abs(F.col("r")) > threshold)
+    """Pairwise-complete Pearson r for every feature pair in one pass; |r| > threshold."""
+    pairs = [(a, b, a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    st = _pair_stats(df, pairs)
+    return st.select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "r").where(
+        F.abs(F.col("r")) > threshold)
