@@ -443,3 +443,62 @@ def perturbed_catalogs(samples: DataFrame, catalog: DataFrame, pct: float = 0.25
             fe = F.lit(1.0) + (uniform(seed, F.col("sample"), F.lit(it["id"]), F.lit(t)) * 2 - 1) * F.lit(pct)
             out = out.withColumn(f"eff_{t}_{p}", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(float(it[EFF[t]])) * fe)))
     return out
+
+
+# ----------------------------------------------------------------- K11 sensitivity
+
+def sensitivity(scen: DataFrame, catalog: DataFrame, n_samples: int = 100, pct: float = 0.25,
+                seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Perturbed-catalog re-solves per scenario.
+
+    Candidates are enumerated once per perturbed catalog (costs differ per
+    sample) and joined to the scenarios of that sample only, so work is
+    samples x scenarios x candidates-per-sample, spread over (sample, block).
+    Each sample's plan is scored with the NOMINAL catalog (T10).
+
+    Returns (per-sample plans with scores, per-scenario summary)."""
+    spark = scen.sparkSession
+    items = _catalog_items(catalog)
+    samples = spark.range(n_samples).select(F.col("id").cast("int").alias("sample"))
+    pc = perturbed_catalogs(samples, catalog, pct, seed)
+    max_b = scen.agg(F.max("budget")).scalar()
+    cands = candidates(catalog, max_b, per=pc)
+    sx = scen.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    plans = solve(sx, catalog, cands=cands)
+    scored = risk_reduction(plans, catalog)
+    n = len(items)
+    aggs = [F.avg("total_score").alias("score_mean"), F.stddev_pop("total_score").alias("score_std"),
+            F.min("total_score").alias("score_min"), F.max("total_score").alias("score_max"),
+            F.percentile("total_score", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"),
+            F.count_if(F.col("status") == "Optimal").alias("n_optimal"), F.count(F.lit(1)).alias("n_samples")]
+    for it in items:
+        u = F.element_at("units", it["pos"] + 1)
+        aggs += [F.avg(F.when(u > 0, 1.0).otherwise(0.0)).alias(f"sel_{it['id']}"),
+                 F.avg(u.cast("double")).alias(f"units_mean_{it['id']}"),
+                 F.stddev_pop(u.cast("double")).alias(f"units_std_{it['id']}")]
+    summary = scored.groupBy("scenario_id").agg(*aggs)
+    summary = summary.select("*", F.col("_ci")[0].alias("score_ci_lo"), F.col("_ci")[1].alias("score_ci_hi")).drop("_ci")
+    return scored, summary
+
+
+def selection_classes(summary: DataFrame, catalog_ids: list[str], core: float = 0.80,
+                      opportunistic: float = 0.50) -> DataFrame:
+    """Long selection frequency per intervention with core/opportunistic class."""
+    arr = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"sel_{i}").alias("selection_freq"),
+                             F.col(f"units_mean_{i}").alias("units_mean")) for i in catalog_ids])
+    x = summary.select("scenario_id", F.inline(arr))
+    cls = (F.when(F.col("selection_freq") >= core, "core")
+            .when(F.col("selection_freq") < opportunistic, "opportunistic").otherwise("conditional"))
+    return x.withColumn("class", cls)
+
+
+# ----------------------------------------------------------------- S8 / C17
+
+def recommendation_id(*cols: Column) -> Column:
+    """Deterministic recommendation id from its defining values."""
+    return F.xxhash64(*cols)
+
+
+def referential_violations(allocs: DataFrame, zones: DataFrame) -> DataFrame:
+    """Allocation lines whose (entity, zone) pair is not a zone of that entity (C17): must be empty."""
+    return allocs.join(zones.select("entity", "zone_id"), ["entity", "zone_id"], "left_anti")

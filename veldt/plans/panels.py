@@ -54,14 +54,14 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels and ``ndvi_missing`` for evaluation, over every panel day."""
     f = deterministic_scores(feature_panel(spark, sf_dir))
     return f.select("entity", "entity_id", "ecosystem", "day", *C.PROB_COLS, *C.LABEL_COLS,
-                    "ndvi_missing", *C.FEATURE_COLS, F.col("_rn").alias("rn"))
+                    "ndvi_missing", *C.FEATURE_COLS, F.col("_rn").alias("row_idx"))
 
 
 def eval_rows(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
     """Evaluation rows: warm-up dropped, one split, usable (ndvi_missing = 0)."""
     from veldt.operators.features import split_col
     fc = forecasts(spark, sf_dir)
-    return fc.where((F.col("rn") > C.WARMUP_DAYS) & (split_col() == split) & (F.col("ndvi_missing") == 0))
+    return fc.where((F.col("row_idx") > C.WARMUP_DAYS) & (split_col() == split) & (F.col("ndvi_missing") == 0))
 
 
 def eval_long(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:

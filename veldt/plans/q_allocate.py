@@ -251,3 +251,145 @@ def k16_infeasibility(spark, sf):
     hint = F.when(F.col("status") != "Optimal", F.lit(
         "Check if min_spend constraints exceed budget, or all relevant intervention types are toggled off."))
     return plans.select("scenario_id", "status", hint.alias("hint"))
+
+
+# ------------------------------------------------------------------ K11 sensitivity
+
+def urgent_scenarios(spark, sf):
+    return scenario_grid(spark, sf, [f for f in FAMILIES if f[0] == "urgent"])
+
+
+_SENS_CTES = (scen_ctes([f for f in FAMILIES if f[0] == "urgent"]) + """,
+samples AS (SELECT CAST(range AS INTEGER) AS sample FROM range(0, 100)),
+pc AS """ + SA.perturbed_sql() + ",\n" + SA.enum_ctes("1000000", per_sample="pc") + """,
+sx AS (SELECT s.*, samples.sample FROM scen s, samples),
+best AS """ + SA.best_sql("sx", sample_join=True) + """,
+splan AS (SELECT s.scenario_id, s.sample, s.p_fire, s.p_drought, s.p_veg, b.u0 IS NOT NULL AS feasible, """
+    + ", ".join(f"coalesce(b.u{i}, 0) AS u{i}" for i in range(SA.N)) + """
+  FROM sx s LEFT JOIN best b ON s.scenario_id = b.scenario_id AND s.sample = b.sample),
+sscore AS (SELECT *, """ + SA.risk_sql() + " FROM splan)")
+
+
+@query("k11_sensitivity", sql=with_base("""
+SELECT scenario_id, avg(total_score) AS score_mean, stddev_pop(total_score) AS score_std,
+  min(total_score) AS score_min, max(total_score) AS score_max,
+  count(*) FILTER (WHERE feasible) AS n_optimal, count(*) AS n_samples,
+  quantile_cont(total_score, 0.025) AS score_ci_lo, quantile_cont(total_score, 0.975) AS score_ci_hi
+FROM sscore GROUP BY scenario_id""", extra=_SENS_CTES))
+def k11_sensitivity(spark, sf):
+    """Score distribution over 100 +-25 % perturbed catalogs per entity."""
+    _, summ = A.sensitivity(urgent_scenarios(spark, sf), A.catalog_df(spark))
+    return summ.select("scenario_id", "score_mean", "score_std", "score_min", "score_max", "n_optimal",
+                       "n_samples", "score_ci_lo", "score_ci_hi")
+
+
+@query("k11_selection_frequency", sql=with_base("""
+SELECT scenario_id, id, selection_freq, units_mean,
+  CASE WHEN selection_freq >= 0.8 THEN 'core' WHEN selection_freq < 0.5 THEN 'opportunistic'
+       ELSE 'conditional' END AS class
+FROM (""" + " UNION ALL ".join(
+    f"SELECT scenario_id, '{r[0]}' AS id, avg(CASE WHEN u{i} > 0 THEN 1.0 ELSE 0.0 END) AS selection_freq, "
+    f"avg(CAST(u{i} AS DOUBLE)) AS units_mean FROM sscore GROUP BY scenario_id"
+    for i, r in enumerate(C.CATALOG_ROWS)) + ")", extra=_SENS_CTES))
+def k11_selection_frequency(spark, sf):
+    """How often each intervention is selected across perturbed catalogs; core/opportunistic."""
+    _, summ = A.sensitivity(urgent_scenarios(spark, sf), A.catalog_df(spark))
+    return A.selection_classes(summ, [r[0] for r in C.CATALOG_ROWS])
+
+
+# ------------------------------------------------------------------ zones
+
+def zones(spark, sf):
+    """Zones = customer market segments of each entity; weight = customers in it."""
+    from pyspark.sql import Window
+    from veldt.sources import tables
+    c = tables.read(spark, sf, "customer", "c_nationkey", "c_mktsegment")
+    n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
+    z = (c.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+          .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+          .select(F.col("n_name").alias("entity"), F.col("c_mktsegment").alias("segment"), "weight"))
+    w = Window.partitionBy("entity").orderBy("segment")
+    return (z.withColumn("zone_idx", F.row_number().over(w) - 1)
+             .withColumn("zone_id", F.concat_ws(":", "entity", "segment")))
+
+
+ZONES_SQL = """zones AS (
+  SELECT entity, zone_id, CAST(row_number() OVER (PARTITION BY entity ORDER BY segment) - 1 AS INTEGER) AS zone_idx,
+    weight FROM (
+    SELECT n_name AS entity, c_mktsegment AS segment, n_name || ':' || c_mktsegment AS zone_id,
+      CAST(count(*) AS DOUBLE) AS weight
+    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment))"""
+
+_LINES_SQL = "lines AS (" + " UNION ALL ".join(
+    f"SELECT scenario_id, entity, {i} AS pos, u{i} AS units FROM plan WHERE family = 'urgent' AND u{i} > 0"
+    for i in range(SA.N)) + ")"
+
+_SPLIT_SQL = """zsplit AS (
+  SELECT scenario_id, entity, pos, zone_id, CAST(fl + CASE WHEN r <= rem THEN 1 ELSE 0 END AS INTEGER) AS zone_units
+  FROM (SELECT *, units - sum(fl) OVER (PARTITION BY scenario_id, entity, pos) AS rem,
+          row_number() OVER (PARTITION BY scenario_id, entity, pos ORDER BY raw - fl DESC, (zone_idx + pos) % nz) AS r
+        FROM (SELECT l.*, z.zone_id, z.zone_idx, z.nz, l.units * z.w / z.s AS raw,
+                CAST(floor(l.units * z.w / z.s) AS INTEGER) AS fl
+              FROM lines l JOIN (
+                SELECT *, CASE WHEN wsum > 0 THEN weight ELSE 1.0 END AS w,
+                  CASE WHEN wsum > 0 THEN CAST(wsum AS DOUBLE) ELSE CAST(nz AS DOUBLE) END AS s
+                FROM (SELECT *, sum(weight) OVER (PARTITION BY entity) AS wsum,
+                        count(*) OVER (PARTITION BY entity) AS nz FROM zones)) z USING (entity)))
+  WHERE fl + CASE WHEN r <= rem THEN 1 ELSE 0 END > 0)"""
+
+_ZONE_CTES = plan_ctes() + ",\n" + ZONES_SQL + ",\n" + _LINES_SQL + ",\n" + _SPLIT_SQL
+
+
+def _zone_split(spark, sf):
+    plans, cat = plans_for(spark, sf)
+    lines = (A.explode_plan(plans.where("family = 'urgent'"), cat, keep=("scenario_id", "entity"))
+             .where(F.col("units_n") > 0).select("scenario_id", "entity", "pos", F.col("units_n").alias("units")))
+    return A.distribute_units(lines, zones(spark, sf), keys=("scenario_id",)), cat
+
+
+@query("k13_zone_split", sql=with_base("SELECT * FROM zsplit", extra=_ZONE_CTES))
+def k13_zone_split(spark, sf):
+    """Largest-remainder split of each plan line over the entity's zones."""
+    z, _ = _zone_split(spark, sf)
+    return z
+
+
+_CAT_SQL = "cat AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{r[0]}', '{r[1]}', {SA.d(r[3])})" for i, r in enumerate(C.CATALOG_ROWS)) + ") c(pos, id, name, cost))"
+
+
+@query("c11_zone_allocation_lines", sql=with_base("""
+SELECT z.scenario_id, z.zone_id, c.id AS intervention_id, c.name AS intervention_name, z.zone_units AS units,
+  CAST(z.zone_units AS DOUBLE) * c.cost AS cost
+FROM zsplit z JOIN cat c USING (pos)""", extra=_ZONE_CTES + ",\n" + _CAT_SQL))
+def c11_zone_allocation_lines(spark, sf):
+    """Intervention x zone allocation rows with names and cost, zero-unit rows dropped (C11)."""
+    z, cat = _zone_split(spark, sf)
+    return z.join(F.broadcast(cat), "pos").select(
+        "scenario_id", "zone_id", F.col("id").alias("intervention_id"), F.col("name").alias("intervention_name"),
+        F.col("zone_units").alias("units"), (F.col("zone_units") * F.col("cost")).alias("cost"))
+
+
+@query("d19_zone_shading", sql=with_base("""
+SELECT scenario_id, zone_id, units, 0.15 + 0.55 * units / greatest(1, max(units) OVER (PARTITION BY scenario_id))
+  AS shade FROM (SELECT scenario_id, zone_id, CAST(sum(zone_units) AS BIGINT) AS units FROM zsplit
+                 GROUP BY scenario_id, zone_id)""", extra=_ZONE_CTES))
+def d19_zone_shading(spark, sf):
+    """Units per zone and map shade 0.15 + 0.55 * u / max(1, max u)."""
+    from pyspark.sql import Window
+    z, _ = _zone_split(spark, sf)
+    per = z.groupBy("scenario_id", "zone_id").agg(F.sum("zone_units").alias("units"))
+    mx = F.greatest(F.lit(1), F.max("units").over(Window.partitionBy("scenario_id")))
+    return per.withColumn("shade", F.lit(0.15) + F.lit(0.55) * F.col("units") / mx)
+
+
+@query("c17_referential_check", sql=with_base("""
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE zone_id NOT IN (SELECT zone_id FROM zones z
+                                                       WHERE z.entity = zs.entity)) AS n_violations
+FROM zsplit zs""", extra=_ZONE_CTES))
+def c17_referential_check(spark, sf):
+    """Every allocation zone must belong to its entity: left-anti join count (C17)."""
+    z, _ = _zone_split(spark, sf)
+    known = zones(spark, sf).select("entity", "zone_id", F.lit(True).alias("_known"))
+    j = z.join(known, ["entity", "zone_id"], "left")
+    return j.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("_known").isNull()).alias("n_violations"))

@@ -102,7 +102,8 @@ def scenario_norm_sql(src: str) -> str:
 def best_sql(scen: str, cands: str = "cands", sample_join: bool = False) -> str:
     order = ", ".join([f"c.u{i} DESC" for i in range(N)])
     samp = "AND c.sample = s.sample " if sample_join else ""
-    return (f"(SELECT * FROM (SELECT s.scenario_id, c.*, row_number() OVER (PARTITION BY s.scenario_id "
+    part = "s.scenario_id, s.sample" if sample_join else "s.scenario_id"
+    return (f"(SELECT * FROM (SELECT s.scenario_id, c.*, row_number() OVER (PARTITION BY {part} "
             f"ORDER BY floor((s.p_fire * c.lin_fire + s.p_drought * c.lin_drought + s.p_veg * c.lin_vegetation)"
             f" * 1e9 + 0.5) DESC, c.cost_c ASC, {order}) AS rn "
             f"FROM {scen} s JOIN {cands} c ON {feasible_sql()} {samp}) WHERE rn = 1)")
@@ -146,3 +147,21 @@ def risk_sql(u: str = "u", p: dict | None = None) -> str:
     cols.append(f"CAST(floor(({' + '.join(red)}) * 1e6 + 0.5) AS DOUBLE) / 1e6 AS total_score")
     cols.append(f"CAST(floor((0.0 + {cost}) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS total_cost")
     return ", ".join(cols)
+
+
+def uniform_sql(sample: str, ident: str, param: str, seed: int = 42) -> str:
+    txt = f"concat_ws(':', '{seed}', CAST({sample} AS VARCHAR), '{ident}', '{param}')"
+    return f"(CAST(('0x' || substr(md5({txt}), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def perturbed_sql(samples: str = "samples", pct: float = 0.25) -> str:
+    """Relation (sample, cc<i>, e_<threat>_<i>) of perturbed catalogs."""
+    cols = []
+    for i, row in enumerate(CAT):
+        f = f"(1.0 + ({uniform_sql('sample', row[0], 'cost')} * 2 - 1) * {d(pct)})"
+        cost = f"(CAST(floor(greatest(1.0, {d(row[3])} * {f}) * 100.0 + 0.5) AS DOUBLE) / 100.0)"
+        cols.append(f"CAST(round({cost} * 100.0) AS BIGINT) AS cc{i}")
+        for t, k in EFFI.items():
+            fe = f"(1.0 + ({uniform_sql('sample', row[0], t)} * 2 - 1) * {d(pct)})"
+            cols.append(f"least(1.0, greatest(0.0, {d(row[k])} * {fe})) AS e_{t}_{i}")
+    return f"(SELECT sample, {', '.join(cols)} FROM {samples})"

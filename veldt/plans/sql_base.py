@@ -129,16 +129,16 @@ fc AS (
     fire_within_30d, drought_within_30d, vegetation_within_30d, ndvi_missing,
     rain_7d, rain_30d, rain_60d, rain_deficit_30d, temp_max_7d, temp_max_30d, hot_days_30d,
     ndvi, ndvi_30d_lag, ndvi_change_30d, ndvi_90d_avg, ndvi_deviation, fire_30d, fire_90d,
-    days_since_fire, doy_sin, doy_cos, dry_season, park_id, rn
+    days_since_fire, doy_sin, doy_cos, dry_season, park_id, rn AS row_idx
   FROM feat),
 ev AS (
   SELECT entity, day, threat, y, p FROM (
     SELECT entity, day, 'fire' AS threat, fire_within_30d AS y, fire_prob AS p FROM fc
-      WHERE rn > 60 AND day >= DATE '2000-01-01' AND ndvi_missing = 0
+      WHERE row_idx > 60 AND day >= DATE '2000-01-01' AND ndvi_missing = 0
     UNION ALL SELECT entity, day, 'drought', drought_within_30d, drought_prob FROM fc
-      WHERE rn > 60 AND day >= DATE '2000-01-01' AND ndvi_missing = 0
+      WHERE row_idx > 60 AND day >= DATE '2000-01-01' AND ndvi_missing = 0
     UNION ALL SELECT entity, day, 'vegetation', vegetation_within_30d, veg_prob FROM fc
-      WHERE rn > 60 AND day >= DATE '2000-01-01' AND ndvi_missing = 0)
+      WHERE row_idx > 60 AND day >= DATE '2000-01-01' AND ndvi_missing = 0)
   WHERE y IS NOT NULL)"""
 
 
