@@ -469,7 +469,7 @@ def sensitivity(scen: DataFrame, catalog: DataFrame, n_samples: int = 100, pct:
     n = len(items)
     aggs = [F.avg("total_score").alias("score_mean"), F.stddev_pop("total_score").alias("score_std"),
             F.min("total_score").alias("score_min"), F.max("total_score").alias("score_max"),
-            F.percentile("total_score", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"),
+            F.sort_array(F.collect_list("total_score")).alias("_vals"),
             F.count_if(F.col("status") == "Optimal").alias("n_optimal"), F.count(F.lit(1)).alias("n_samples")]
     for it in items:
         u = F.element_at("units", it["pos"] + 1)
@@ -477,10 +477,23 @@ def sensitivity(scen: DataFrame, catalog: DataFrame, n_samples: int = 100, pct:
                  F.avg(u.cast("double")).alias(f"units_mean_{it['id']}"),
                  F.stddev_pop(u.cast("double")).alias(f"units_std_{it['id']}")]
     summary = scored.groupBy("scenario_id").agg(*aggs)
-    summary = summary.select("*", F.col("_ci")[0].alias("score_ci_lo"), F.col("_ci")[1].alias("score_ci_hi")).drop("_ci")
+    # the group holds exactly n_samples values (a parameter, not data-sized)
+    summary = summary.select("*", sorted_quantile("_vals", 0.025).alias("score_ci_lo"),
+                             sorted_quantile("_vals", 0.975).alias("score_ci_hi")).drop("_vals")
     return scored, summary
 
 
+def sorted_quantile(arr: str, q: float) -> Column:
+    """Linear-interpolated quantile (NumPy default) of a sorted array column."""
+    n = F.size(arr)
+    pos = F.lit(q) * (n - 1).cast("double")
+    lo = F.floor(pos).cast("int")
+    frac = pos - lo.cast("double")
+    a = F.element_at(arr, lo + 1)
+    b = F.element_at(arr, F.least(lo + 2, n))
+    return a + frac * (b - a)
+
+
 def selection_classes(summary: DataFrame, catalog_ids: list[str], core: float = 0.80,
                       opportunistic: float = 0.50) -> DataFrame:
     """Long selection frequency per intervention with core/opportunistic class."""
