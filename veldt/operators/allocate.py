@@ -408,9 +408,11 @@ def rationale(plans: DataFrame, catalog: DataFrame) -> DataFrame:
     return plans.withColumn("summary", summary).withColumn("floor_note", floor_note).withColumn("budget_note", budget_note)
 
 
-def item_reasons(items: DataFrame, scen: DataFrame) -> DataFrame:
+def item_reasons(items: DataFrame, scen: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per selected intervention: the threat it most reduces (p*eff, first wins ties)."""
-    j = items.join(scen.select("scenario_id", *PROB.values()), "scenario_id")
+    effs = catalog.select("pos", *EFF.values())  # a few catalog rows
+    j = (items.join(scen.select("scenario_id", *PROB.values()), "scenario_id")
+              .join(F.broadcast(effs), "pos"))
     contrib = F.array(*[F.struct((F.col(PROB[t]) * F.col(EFF[t])).alias("c"), F.lit(-i).alias("o"),
                                  F.lit(C.THREAT_TEXT[t]).alias("l"), F.col(EFF[t]).alias("e"))
                         for i, t in enumerate(THREATS)])

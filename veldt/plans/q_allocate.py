@@ -404,3 +404,124 @@ def c17_referential_check(spark, sf):
     known = zones(spark, sf).select("entity", "zone_id", F.lit(True).alias("_known"))
     j = z.join(known, ["entity", "zone_id"], "left")
     return j.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("_known").isNull()).alias("n_violations"))
+
+
+# ------------------------------------------------------------------ K14 / K15 / S8
+
+def _urgent_plans(spark, sf):
+    plans, cat = plans_for(spark, sf, [f for f in FAMILIES if f[0] in ("urgent", "strict")])
+    return A.risk_reduction(plans, cat), cat
+
+
+_TXT = {t: C.THREAT_TEXT[t] for t in C.THREATS}
+
+
+def _tier_sql(p):
+    return f"(CASE WHEN {p} >= 0.85 THEN 'critical' WHEN {p} >= 0.70 THEN 'high' WHEN {p} >= 0.50 THEN 'moderate' ELSE 'low' END)"
+
+
+_RAT_CTES = plan_ctes([f for f in FAMILIES if f[0] in ("urgent", "strict")]) + f""",
+rp AS (SELECT *, {SA.risk_sql()} FROM plan),
+prof AS (
+  SELECT scenario_id, string_agg(lbl || ' ' || CAST(CAST(floor(p * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% ('
+                                 || {_tier_sql('p')} || ')', ', ' ORDER BY p DESC, i) AS profile
+  FROM (SELECT scenario_id, p_fire AS p, 0 AS i, '{_TXT['fire']}' AS lbl FROM rp
+        UNION ALL SELECT scenario_id, p_drought, 1, '{_TXT['drought']}' FROM rp
+        UNION ALL SELECT scenario_id, p_veg, 2, '{_TXT['vegetation']}' FROM rp) GROUP BY scenario_id),
+fl AS (
+  SELECT scenario_id,
+    string_agg(lbl, ' and ' ORDER BY f DESC, i) AS names,
+    string_agg(CAST(CAST(floor(f / budget * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% of the budget on ' || lbl, ', '
+               ORDER BY f DESC, i) AS floor_txt
+  FROM (SELECT scenario_id, budget, floor_fire AS f, 0 AS i, '{_TXT['fire']}' AS lbl FROM rp
+        UNION ALL SELECT scenario_id, budget, floor_drought, 1, '{_TXT['drought']}' FROM rp
+        UNION ALL SELECT scenario_id, budget, floor_vegetation, 2, '{_TXT['vegetation']}' FROM rp)
+  WHERE f > 0 GROUP BY scenario_id)"""
+
+
+@query("k14_rationale", sql=with_base("""
+SELECT rp.scenario_id,
+  'Current 30-day risk is ' || prof.profile || '. The plan spends on the highest risks first, staying within budget.'
+    AS summary,
+  CASE WHEN fl.names IS NOT NULL THEN 'Because ' || fl.names
+       || ' risk is elevated, the planner reserved a minimum spend (' || fl.floor_txt
+       || ') before allocating the rest to the best overall value.' END AS floor_note,
+  CASE WHEN budget <= 0 THEN 'No budget was available, so no interventions were selected.'
+       WHEN floor(total_cost / budget * 100 + 0.5) < 95 THEN 'The plan uses about '
+         || CAST(CAST(floor(total_cost / budget * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% of the budget. The rest is '
+         || 'left unspent because the most effective interventions reached their capacity limits, and weaker ones '
+         || 'would not reduce risk enough to be worthwhile.'
+       ELSE 'The plan uses essentially the full budget, placing it where it removes the most risk.' END AS budget_note
+FROM rp JOIN prof USING (scenario_id) LEFT JOIN fl USING (scenario_id)""", extra=_RAT_CTES))
+def k14_rationale(spark, sf):
+    """Plain-language risk profile, floor note and budget-use note per plan."""
+    rr, cat = _urgent_plans(spark, sf)
+    return A.rationale(rr, cat).select("scenario_id", "summary", "floor_note", "budget_note")
+
+
+@query("k14_item_reasons", sql=with_base("""
+SELECT scenario_id, id, 'Targets ' || lbl || ' risk: ' || CAST(CAST(floor(e * 100 + 0.5) AS BIGINT) AS VARCHAR)
+  || '% reduction per unit.' AS reason
+FROM (SELECT l.scenario_id, c.id, t.lbl, t.e, row_number() OVER (PARTITION BY l.scenario_id, l.pos
+        ORDER BY t.contrib DESC, t.i) AS r
+      FROM lines2 l JOIN cat2 c USING (pos),
+      LATERAL (SELECT * FROM (VALUES (0, '""" + _TXT["fire"] + """', l.p_fire * c.ef, c.ef),
+                                     (1, '""" + _TXT["drought"] + """', l.p_drought * c.ed, c.ed),
+                                     (2, '""" + _TXT["vegetation"] + """', l.p_veg * c.ev, c.ev)) v(i, lbl, contrib, e)) t)
+WHERE r = 1""", extra=_RAT_CTES + ",\nlines2 AS (" + " UNION ALL ".join(
+    f"SELECT scenario_id, {i} AS pos, p_fire, p_drought, p_veg FROM plan WHERE u{i} > 0" for i in range(SA.N))
+    + "),\ncat2 AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{r[0]}', {SA.d(r[5])}, {SA.d(r[6])}, {SA.d(r[7])})" for i, r in enumerate(C.CATALOG_ROWS))
+    + ") c(pos, id, ef, ed, ev))"))
+def k14_item_reasons(spark, sf):
+    """Per selected intervention: the threat it most reduces and its per-unit effect."""
+    rr, cat = _urgent_plans(spark, sf)
+    return A.item_reasons(A.allocation_items(rr, cat), rr, cat).select("scenario_id", "id", "reason")
+
+
+def _even_patrol(spark, sf, scen, cat):
+    ev = A.risk_reduction(A.even_split(scen, cat), cat).select(
+        "scenario_id", F.col("total_score").alias("even_score"), F.col("total_cost").alias("even_cost"))
+    pa = A.risk_reduction(A.patrol_only(scen, cat), cat).select(
+        "scenario_id", F.col("total_score").alias("patrol_score"), F.col("total_cost").alias("patrol_cost"))
+    return ev, pa
+
+
+@query("k15_full_response", sql=with_base("""
+SELECT rp.scenario_id, rp.entity, CASE WHEN feasible THEN 'Optimal' ELSE 'Infeasible' END AS status,
+  """ + SA.units_str_sql("rp.") + """ AS plan, rp.total_cost, rp.total_score,
+  rp.floor_fire, rp.floor_drought, rp.floor_vegetation,
+  rp.p_fire AS current_fire, rp.p_drought AS current_drought, rp.p_veg AS current_vegetation,
+  rp.after_fire AS post_fire, rp.after_drought AS post_drought, rp.after_vegetation AS post_vegetation,
+  e.total_score AS even_score, e.total_cost AS even_cost, pt.total_score AS patrol_score,
+  pt.total_cost AS patrol_cost
+FROM rp JOIN (SELECT scenario_id, """ + SA.risk_sql() + " FROM (" + _baseline_sql("even") + """)) e USING (scenario_id)
+JOIN (SELECT scenario_id, """ + SA.risk_sql() + " FROM (" + _baseline_sql("patrol") + """)) pt USING (scenario_id)""",
+    extra=_RAT_CTES))
+def k15_full_response(spark, sf):
+    """Whole recommendation per scenario: plan, floors, before/after, baselines."""
+    rr, cat = _urgent_plans(spark, sf)
+    scen = scenario_grid(spark, sf, [f for f in FAMILIES if f[0] in ("urgent", "strict")])
+    ev, pa = _even_patrol(spark, sf, scen, cat)
+    out = rr.select("scenario_id", "entity", "status", _units_str().alias("plan"), "total_cost", "total_score",
+                    "floor_fire", "floor_drought", "floor_vegetation",
+                    F.col("p_fire").alias("current_fire"), F.col("p_drought").alias("current_drought"),
+                    F.col("p_veg").alias("current_vegetation"), F.col("after_fire").alias("post_fire"),
+                    F.col("after_drought").alias("post_drought"), F.col("after_vegetation").alias("post_vegetation"))
+    return out.join(ev, "scenario_id").join(pa, "scenario_id")
+
+
+@query("s08_recommendation_rows", sql=with_base("""
+SELECT count(*) AS n_headers, count(DISTINCT scenario_id) AS n_distinct, sum(total_cost) AS spend,
+  sum(CAST(total_cost AS DECIMAL(12,2))) AS spend_decimal
+FROM rp""", extra=_RAT_CTES))
+def s08_recommendation_rows(spark, sf):
+    """Recommendation headers with deterministic ids and DECIMAL(12,2) money."""
+    rr, _ = _urgent_plans(spark, sf)
+    hdr = rr.select(A.recommendation_id(F.col("entity"), F.col("day"), F.col("budget"), F.col("scenario_id"))
+                    .alias("recommendation_id"), "scenario_id",
+                    F.col("budget").cast("decimal(12,2)").alias("budget"),
+                    F.col("total_cost").cast("decimal(12,2)").alias("total_cost_dec"), "total_cost",
+                    F.col("total_score").cast("decimal(8,6)").alias("total_risk_reduction"))
+    return hdr.agg(F.count(F.lit(1)).alias("n_headers"), F.count_distinct("recommendation_id").alias("n_distinct"),
+                   F.sum("total_cost").alias("spend"), F.sum("total_cost_dec").cast("double").alias("spend_decimal"))
