@@ -8,6 +8,7 @@ MODULES = [
     "veldt.plans.q_allocate",
     "veldt.plans.q_quality",
     "veldt.plans.q_evaluate",
+    "veldt.plans.q_misc",
 ]
 
 
