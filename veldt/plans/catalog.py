@@ -9,6 +9,7 @@ MODULES = [
     "veldt.plans.q_quality",
     "veldt.plans.q_evaluate",
     "veldt.plans.q_misc",
+    "veldt.plans.q_ml",
 ]
 
 
