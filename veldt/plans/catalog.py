@@ -10,6 +10,7 @@ MODULES = [
     "veldt.plans.q_evaluate",
     "veldt.plans.q_misc",
     "veldt.plans.q_ml",
+    "veldt.plans.q_stream",
 ]
 
 
