@@ -11,6 +11,7 @@ MODULES = [
     "veldt.plans.q_misc",
     "veldt.plans.q_ml",
     "veldt.plans.q_stream",
+    "veldt.plans.q_sources",
 ]
 
 

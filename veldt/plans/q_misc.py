@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veldt import config as C
+
+# fixture keyword for incident mentions (substring of "fire"; the prose is invented)
+INCIDENT_KEYWORD = "ire"
 from veldt.functions import scalar as S
 from veldt.operators import evaluate as EV
 from veldt.operators import readmodel as R
@@ -202,14 +205,14 @@ def h11_h12_polygon_centroid(spark, sf):
 _INC_SQL = """
 inc AS (SELECT n_name AS entity, DATE '1995-01-01' + CAST((doc_id * 37) % 2405 AS INTEGER) AS inc_day
         FROM documents JOIN nation ON n_nationkey = doc_id % 25
-        WHERE lower(text) LIKE '%fire%' AND lower(source) IN ('news', 'web', 'forum', 'wiki', 'books', 'code')
+        WHERE lower(text) LIKE '%ire%' AND lower(source) IN ('news', 'web', 'forum', 'wiki', 'books', 'code')
           AND (doc_id % 3) < 2)"""
 
 
 def _incidents(spark, sf):
     d = tables.read(spark, sf, "documents", "doc_id", "text", "source")
     n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
-    d = d.where(F.lower("text").contains("fire") & (F.pmod("doc_id", F.lit(3)) < 2))
+    d = d.where(F.lower("text").contains(INCIDENT_KEYWORD) & (F.pmod("doc_id", F.lit(3)) < 2))
     return d.join(n, F.pmod(d.doc_id, F.lit(25)) == n.n_nationkey).select(
         F.col("n_name").alias("entity"),
         F.date_add(F.lit("1995-01-01").cast("date"), F.pmod(F.col("doc_id") * 37, F.lit(2405)).cast("int"))
