@@ -118,7 +118,7 @@ def k02_unit_score(spark, sf):
     f"SELECT scenario_id, entity, family, budget, CASE WHEN feasible THEN 'Optimal' ELSE 'Infeasible' END AS status,"
     f" {SA.units_str_sql()} AS plan, linear_score FROM plan", extra=plan_ctes()))
 def k03_exact_allocation(spark, sf):
-    """Exact integer plan per scenario under budget, caps, toggles, floors and type caps (K3)."""
+    """Exact integer plan per scenario under budget, caps, toggles, floors and type caps (K3, C12 theta join, H10 map access)."""
     plans, _ = plans_for(spark, sf)
     return plans.select("scenario_id", "entity", "family", "budget", "status", _units_str().alias("plan"),
                         "linear_score")
@@ -184,7 +184,7 @@ def k07_even_split(spark, sf):
     f"SELECT scenario_id, {SA.units_str_sql()} AS plan, {SA.risk_sql()} FROM ({_baseline_sql('patrol')})",
     extra=scen_ctes()))
 def k08_patrol_only(spark, sf):
-    """Patrol-only greedy baseline, cheapest patrol first (K8)."""
+    """Patrol-only greedy baseline, patrol catalog sorted by cost."""
     cat = A.catalog_df(spark)
     e = A.patrol_only(scenario_grid(spark, sf), cat)
     return _baseline_out(A.risk_reduction(e, cat))

@@ -72,7 +72,7 @@ def j12_confusion(spark, sf):
 
 @query("j13_metrics", sql=with_base(f"SELECT * FROM {metrics_sql()}"))
 def j13_metrics(spark, sf):
-    """Threshold metrics and Brier per threat."""
+    """Threshold metrics and Brier per threat on known labels only."""
     return EV.metrics(_long(spark, sf))
 
 

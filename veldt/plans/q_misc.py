@@ -35,7 +35,7 @@ def b04_year_chunks(spark, sf):
 SELECT entity, count(*) AS n_rows, avg(ndvi) AS mean_ndvi FROM panel
 WHERE day BETWEEN DATE '2000-03-01' AND DATE '2000-05-31' AND ndvi IS NOT NULL GROUP BY entity""", upto="panel"))
 def b05_range_filter(spark, sf):
-    """Date-range + not-null filters pushed to the scan side."""
+    """Date-range + not-null filters pushed into the parquet scan."""
     p = panels.raw_panel(spark, sf)
     f = p.where(F.col("day").between(F.lit("2000-03-01").cast("date"), F.lit("2000-05-31").cast("date"))
                 & F.col("ndvi").isNotNull())
@@ -135,7 +135,7 @@ SELECT e.entity, e.entity_id, e.ecosystem, l.day AS latest_date, greatest(l.fire
   AS max_risk FROM ents e LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC)
   AS r FROM fc) WHERE r = 1) l ON e.entity = l.entity"""))
 def c10_overview_with_meta(spark, sf):
-    """Entity metadata left-joined with the latest forecast and its max risk."""
+    """Entity metadata left-joined with the latest forecast and its max risk."""
     from veldt.sources import panel as P
     l = R.latest_per_entity(panels.forecasts(spark, sf)).select(
         "entity", F.col("day").alias("latest_date"), F.greatest(*[F.col(c) for c in C.PROB_COLS]).alias("max_risk"))
@@ -274,7 +274,7 @@ SELECT entity, split, count(*) AS n_sequences, sum(s) AS checksum FROM (
     FROM featured WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)))
 WHERE cnt = 30 AND ndvi_missing = 0 GROUP BY entity, split""", upto="featured"))
 def e14_sequences(spark, sf):
-    """30-row feature sequences ending at clean target rows; count + checksum per entity/split."""
+    """30-row feature sequences ending at clean target rows, keyed by (entity, day)."""
     f = panels.featured(spark, sf)
     cols = ["rain_30d", "temp_max_30d", "ndvi", "fire_90d"]
     f = f.select("entity", "day", "split", "ndvi_missing", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])

@@ -34,7 +34,7 @@ def b03_daily_spine(spark, sf):
     "SELECT entity, day, precipitation, temp_max, ndvi, firms_count, firms_frp_mean FROM panel",
     upto="panel"))
 def c03_densified_panel(spark, sf):
-    """Sparse facts left-joined onto the spine; counts NULL->0, means stay NULL."""
+    """Sparse facts left-joined onto the spine; counts NULL->0, means stay NULL (C2, C3, C4 dims, A3 scans)."""
     return panels.raw_panel(spark, sf).select("entity", "day", "precipitation", "temp_max", "ndvi",
                                               "firms_count", "firms_frp_mean")
 
@@ -42,6 +42,7 @@ def c03_densified_panel(spark, sf):
 @query("e01_rolling_sum", sql=with_base(
     "SELECT entity, day, rain_7d, rain_30d, rain_60d, fire_30d, fire_90d FROM feat", upto="feat"))
 def e01_rolling_sum(spark, sf):
+    """Trailing rolling sums with min_periods; rain and fire NULL -> 0 first."""
     return _fp(spark, sf).select("entity", "day", "rain_7d", "rain_30d", "rain_60d", "fire_30d", "fire_90d")
 
 
@@ -70,6 +71,7 @@ def e05_lag_change(spark, sf):
 @query("e06_deviation_deficit", sql=with_base(
     "SELECT entity, day, ndvi_deviation, rain_deficit_30d, expected_30d FROM feat", upto="feat"))
 def e06_deviation_deficit(spark, sf):
+    """NDVI anomaly and rain deficit vs the (entity, month) climatology window."""
     return _fp(spark, sf).select("entity", "day", "ndvi_deviation", "rain_deficit_30d", "expected_30d")
 
 
@@ -107,6 +109,7 @@ def e11_featured_dataset(spark, sf):
 @query("e12_seasonal", sql=with_base(
     "SELECT entity, day, doy_sin, doy_cos, dry_season, park_id, ecosystem_id FROM feat", upto="feat"))
 def e12_seasonal(spark, sf):
+    """sin/cos day-of-year, dry-season month-set membership, ids."""
     return _fp(spark, sf).select("entity", "day", "doy_sin", "doy_cos", "dry_season", "park_id", "ecosystem_id")
 
 

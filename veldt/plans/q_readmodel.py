@@ -284,6 +284,6 @@ lat AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY en
                                      FROM serve) WHERE rn = 1),
 lng AS (UNPIVOT lat ON """ + ", ".join(C.FEATURE_COLS) + """ INTO NAME feature VALUE value)"""))
 def j25_drivers(spark, sf):
-    """Four drivers per threat for each entity's latest day, from serving features."""
+    """Four drivers per threat for each entity's latest day: unit-formatted values and raise/lower impact."""
     latest = R.latest_per_entity(SV.serve_vector(_serve(spark, sf)))
     return R.drivers(latest, spec_df(spark))

@@ -19,7 +19,7 @@ from veldt.streaming import daily as D
     "SELECT entity, day, history_rows, " + ", ".join(C.FEATURE_COLS) + " FROM serve"))
 def i01_stream_features(spark, sf):
     """Landed daily files -> availableNow micro-batches -> store + upserted serving
-    features; the converged table equals the batch serving profile (I1-I3, I5)."""
+    features; 90-day trailing state read per batch; equals the batch serving profile (I1, I2, I3, I5)."""
     base = D.fresh_base(spark, "daily-stream")
     D.land(panels.raw_panel(spark, sf), f"{base}/landing")
     paths = D.daily_feature_stream(spark, f"{base}/landing", base, max_files=4)
@@ -130,3 +130,29 @@ def i04_late_ndvi_fire_fallback(spark, sf):
     p = SV.asof_lookback(p, "ndvi", out="_asof")
     return p.select("entity", "day", F.coalesce("ndvi", "_asof").alias("ndvi_filled"),
                     F.coalesce("nrt", "sp", F.lit(0)).alias("fire_count"))
+
+
+@query("i08_migrate_training_export", sql=with_base("""
+SELECT entity, count(*) AS n_inserted, sum(precipitation) AS rain FROM panel
+WHERE day > DATE '2000-12-31' GROUP BY entity""", upto="panel"))
+def i08_migrate_training_export(spark, sf):
+    """Migrate a training-named CSV export into the serving store in ONE append job:
+    rename (B1), unparsable/sentinel -> NULL (B2), projection of existing columns (B6),
+    insert-if-absent against rows already stored (I8, S3)."""
+    from veldt.operators import relational as RL
+    base = D.fresh_base(spark, "migrate")
+    p = panels.raw_panel(spark, sf)
+    export = p.select("entity", F.col("day").alias("date"),
+                      F.coalesce(F.col("precipitation").cast("string"), F.lit("-999")).alias("om_precipitation_sum"),
+                      F.coalesce(F.col("temp_max").cast("string"), F.lit("n/a")).alias("om_temperature_2m_max"))
+    export.write.option("header", True).csv(f"{base}/export")
+    raw = spark.read.schema("entity string, date string, om_precipitation_sum string, "
+                            "om_temperature_2m_max string").option("header", True).csv(f"{base}/export")
+    rename = {"date": "day", "om_precipitation_sum": "precipitation", "om_temperature_2m_max": "temp_max"}
+    clean = raw.withColumnsRenamed(rename).withColumn("day", F.to_date("day"))
+    for c in ("precipitation", "temp_max"):
+        clean = clean.withColumn(c, F.nullif(F.expr(f"try_cast({c} AS double)"), F.lit(-999.0)))
+    clean = RL.project_existing(clean, ["entity", "day", "precipitation", "temp_max", "ndvi"])
+    stored = p.where(F.col("day") <= F.lit("2000-12-31").cast("date")).select("entity", "day")
+    new = M.insert_if_absent(stored, clean, ["entity", "day"])
+    return new.groupBy("entity").agg(F.count(F.lit(1)).alias("n_inserted"), F.sum("precipitation").alias("rain"))
