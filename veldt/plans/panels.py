@@ -6,29 +6,62 @@ plain function so callers can stop at any level.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import config as C
 from veldt.operators import features, labels
+from veldt.session import scratch_path
 from veldt.sources import panel as P
 
+# Feature-store tables written once per (application, source, stage) into the
+# shared checkpoint folder and read back by every downstream query — the
+# panel -> labels -> features -> forecasts chain is built once, lineage is cut,
+# and the tables survive executor loss.
+_STORE: dict = {}
+MATERIALIZE = True
 
-def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.build_panel(spark, sf_dir)
+
+def materialized(spark: SparkSession, sf_dir: str, stage: str, build) -> DataFrame:
+    if not MATERIALIZE:
+        return build()
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), stage)
+    path = _STORE.get(key)
+    if path is None:
+        tag = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:8]
+        path = scratch_path(spark, f"store/{stage}-{tag}-{uuid.uuid4().hex[:8]}")
+        build().write.mode("overwrite").parquet(path)
+        _STORE[key] = path
+    return spark.read.parquet(path)
 
 
 def labelled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.label_panel(raw_panel(spark, sf_dir))
+    """Raw panel + forward labels (materialised)."""
+    return materialized(spark, sf_dir, "labelled",
+                        lambda: labels.label_panel(P.build_panel(spark, sf_dir)))
 
 
-def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.featurize(labelled_panel(spark, sf_dir))
+def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily panel (the labelled table without its label columns)."""
+    return labelled_panel(spark, sf_dir).drop(*C.LABEL_COLS)
 
 
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All panel rows (no warm-up drop) with features, labels and row number."""
-    return features.add_features(labelled_panel(spark, sf_dir))
+    """All panel rows (no warm-up drop) with features, labels and row number (materialised)."""
+    return materialized(spark, sf_dir, "features",
+                        lambda: features.add_features(labelled_panel(spark, sf_dir)))
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training table: warm-up dropped, split assigned."""
+    f = feature_panel(spark, sf_dir)
+    f = f.where(F.col("_rn") > C.WARMUP_DAYS).drop("_rn")
+    return f.withColumn("split", features.split_col()).select(
+        "entity", "ecosystem", "day", *C.FEATURE_COLS, *C.LABEL_COLS, "ndvi_missing", "split")
 
 
 def deterministic_scores(df: DataFrame) -> DataFrame:
@@ -52,9 +85,11 @@ def deterministic_scores(df: DataFrame) -> DataFrame:
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast table ``(entity, day, fire_prob, drought_prob, veg_prob)`` plus
     labels and ``ndvi_missing`` for evaluation, over every panel day."""
-    f = deterministic_scores(feature_panel(spark, sf_dir))
-    return f.select("entity", "entity_id", "ecosystem", "day", *C.PROB_COLS, *C.LABEL_COLS,
-                    "ndvi_missing", *C.FEATURE_COLS, F.col("_rn").alias("row_idx"))
+    def build():
+        f = deterministic_scores(feature_panel(spark, sf_dir))
+        return f.select("entity", "entity_id", "ecosystem", "day", *C.PROB_COLS, *C.LABEL_COLS,
+                        "ndvi_missing", *C.FEATURE_COLS, F.col("_rn").alias("row_idx"))
+    return materialized(spark, sf_dir, "forecasts", build)
 
 
 def eval_rows(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
