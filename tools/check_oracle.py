@@ -63,10 +63,13 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--update-types", action="store_true")
+    ap.add_argument("--tz", default=None, help="session time zone to simulate a foreign driver session")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     catalog.load_all()
     spark = get_spark("local[8]", 8)
+    if a.tz:
+        spark.conf.set("spark.sql.session.timeZone", a.tz)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")

@@ -87,7 +87,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 EVENT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
@@ -100,14 +100,19 @@ def event_counts_stream(spark: SparkSession, sf_dir: str, base: str, watermark:
     Update mode emits changed windows each micro-batch; ``foreachBatch``
     appends them with the batch id and readers keep the newest version."""
     out, ckpt = os.path.join(base, "counts"), os.path.join(base, "_checkpoint_counts")
+    # event times are stored as wall-clock UTC (TIMESTAMP_NTZ); watermarks need
+    # TIMESTAMP, so the job pins the session zone to UTC for the conversion
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     src = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-    w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    agg = (src.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+           .option("maxFilesPerTrigger", max_files).parquet(sf_dir)
+           .withColumn("event_time", F.col("ts").cast("timestamp")))
+    w = F.window("event_time", window, slide) if slide else F.window("event_time", window)
+    agg = (src.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
               .groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+        (batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"),
                       "event_type", "n", F.lit(batch_id).cast("bigint").alias("version"))
               .write.mode("append").parquet(out))
 
