@@ -222,7 +222,7 @@ def self_train(train: DataFrame, pool: DataFrame, kind: str = "rf", params: dict
     lab, pl = train, pool.withColumn("_pool_id", F.monotonically_increasing_id()).checkpoint(eager=True)
     bundle = fit_bundle(lab, kind, params)
     for r in range(rounds):
-        if pl.rdd.isEmpty():
+        if pl.isEmpty():
             break
         scored = predict_bundle(bundle, pl, prefix="")
         conf = [F.greatest(F.col(p), F.lit(1.0) - F.col(p)) > gate for p in C.PROB_COLS]
