@@ -36,6 +36,7 @@ TYPES = C.INTERVENTION_TYPES
 MAX_ITEMS = 24
 BROADCAST_MAX_CANDIDATES = 250_000
 BLOCK_ROWS = 250_000
+BAND_CENTS = 100_000          # $1,000 cost bands
 
 
 def rnd(c: Column, digits: int) -> Column:
@@ -224,13 +225,18 @@ def solve(scen: DataFrame, catalog: DataFrame, cands: DataFrame | None = None,
     cside = ranked.select("sample", "cost_c", *[f"lin_{t}" for t in THREATS],
                           *[f"spend_{t}_c" for t in THREATS], *[f"tu{k}" for k in range(len(TYPES))],
                           "type_mask", "tb")
+    # cost bands: a what-if is replicated only over the bands at or below its
+    # budget (<= total cap cost / band rows), so the join becomes an equi-join
+    # on (sample, band) and each what-if only meets candidates it can afford
+    cside = cside.withColumn("band", F.floor(F.col("cost_c") / F.lit(BAND_CENTS)))
+    distinct = distinct.withColumn("band", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor(F.col("budget_c") / F.lit(BAND_CENTS)))))
     blocks = 1
     if n_c <= BROADCAST_MAX_CANDIDATES:
         cside = F.broadcast(cside)  # bounded by the catalog: prod(cap+1) rows, counted above
     else:
-        # too large to broadcast: split candidates into blocks and replicate each
-        # distinct scenario to every block, so the theta join runs as an
-        # equi-join on (sample, block) spread over many tasks
+        # too large to broadcast: also split candidates into blocks and replicate
+        # each (what-if, band) to every block -> equi-join on (sample, band, block)
         blocks = -(-n_c // BLOCK_ROWS)
         cside = cside.withColumn("blk", F.pmod(F.col("tb"), F.lit(blocks)))
         distinct = distinct.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -238,11 +244,12 @@ def solve(scen: DataFrame, catalog: DataFrame, cands: DataFrame | None = None,
              + F.col("s.p_veg") * F.col("c.lin_vegetation"))
     key = (F.floor(score * F.lit(1e9) + F.lit(0.5)).cast("bigint") * F.lit(M)
            + (F.lit(M) - F.col("c.tb")))
-    on = (F.col("s.sample") == F.col("c.sample")) & _feasible()
+    on = (F.col("s.sample") == F.col("c.sample")) & (F.col("s.band") == F.col("c.band")) & _feasible()
     if blocks > 1:
         on = on & (F.col("s.blk") == F.col("c.blk"))
     j = distinct.alias("s").join(cside.alias("c"), on)
     best = j.groupBy(F.col("s.pkey").alias("pkey")).agg(F.max(key).alias("best_key"))
+    distinct = distinct.where(F.col("band") == 0).drop("band")
     if blocks > 1:
         distinct = distinct.where(F.col("blk") == 0).drop("blk")
     best = best.withColumn("tb", F.lit(M) - F.pmod(F.col("best_key"), F.lit(M)))
