@@ -34,7 +34,7 @@ EFF = {"fire": "eff_fire", "drought": "eff_drought", "vegetation": "eff_veg"}
 PROB = {"fire": "p_fire", "drought": "p_drought", "vegetation": "p_veg"}
 TYPES = C.INTERVENTION_TYPES
 MAX_ITEMS = 24
-BROADCAST_MAX_CANDIDATES = 250_000
+BROADCAST_MAX_CANDIDATES = 250_000   # ~150 B per row -> <= ~40 MB, counted before use
 BLOCK_ROWS = 250_000
 BAND_CENTS = 100_000          # $1,000 cost bands
 
