@@ -178,3 +178,48 @@ SELECT threat, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, avg(p) AS mean_p
 def j21_reliability(spark, sf):
     """10-bin reliability curve per threat, empty bins dropped."""
     return EV.reliability(_long(spark, sf))
+
+
+def _configs(spark, sf):
+    lg = _long(spark, sf)
+    score = EV.metrics(lg).select(F.lit("score").alias("config"), "threat", "f2", "recall")
+    pers = EV.metrics(EV.persistence(lg)).select(F.lit("persistence").alias("config"), "threat", "f2", "recall")
+    return score.unionByName(pers)
+
+
+_CFG_SQL = ("cfg AS (SELECT 'score' AS config, threat, f2, recall FROM " + metrics_sql()
+            + " UNION ALL SELECT 'persistence', threat, f2, recall FROM " + metrics_sql("pers") + ")")
+
+
+@query("d22_f2_pivot", sql=with_base("""
+SELECT config, max(f2) FILTER (WHERE threat = 'fire') AS fire, max(f2) FILTER (WHERE threat = 'drought') AS drought,
+  max(f2) FILTER (WHERE threat = 'vegetation') AS vegetation FROM cfg GROUP BY config""",
+    extra=PERSIST_SQL + "," + _CFG_SQL))
+def d22_f2_pivot(spark, sf):
+    """Long (config, threat, f2) -> wide per-threat columns."""
+    return _configs(spark, sf).groupBy("config").pivot("threat", ["fire", "drought", "vegetation"]).agg(F.max("f2"))
+
+
+@query("f04_leaderboard", sql=with_base("""
+SELECT config, mean_f2, row_number() OVER (ORDER BY mean_f2 DESC, config) AS rank
+FROM (SELECT config, avg(f2) AS mean_f2 FROM cfg GROUP BY config)""", extra=PERSIST_SQL + "," + _CFG_SQL))
+def f04_leaderboard(spark, sf):
+    """Configurations ranked by mean F2, highest first."""
+    from veldt.functions.ranking import global_row_number
+    m = _configs(spark, sf).groupBy("config").agg(F.avg("f2").alias("mean_f2"))
+    return global_row_number(m, [F.col("mean_f2").desc(), F.col("config")], out="rank")
+
+
+@query("c15_config_delta", sql=with_base("""
+SELECT a.threat, a.f2 AS f2_score, b.f2 AS f2_persistence, a.f2 - b.f2 AS delta_f2, a.recall - b.recall AS delta_recall
+FROM cfg a JOIN cfg b ON a.threat = b.threat AND a.config = 'score' AND b.config = 'persistence'""",
+    extra=PERSIST_SQL + "," + _CFG_SQL))
+def c15_config_delta(spark, sf):
+    """Self-join of two configurations on threat with F2 / recall deltas."""
+    c = _configs(spark, sf)
+    a = c.where("config = 'score'").select("threat", F.col("f2").alias("f2_score"), F.col("recall").alias("ra"))
+    b = c.where("config = 'persistence'").select("threat", F.col("f2").alias("f2_persistence"),
+                                                  F.col("recall").alias("rb"))
+    j = a.join(b, "threat")
+    return j.select("threat", "f2_score", "f2_persistence", (F.col("f2_score") - F.col("f2_persistence")).alias("delta_f2"),
+                    (F.col("ra") - F.col("rb")).alias("delta_recall"))
