@@ -49,22 +49,26 @@ def e01_rolling_sum(spark, sf):
 @query("e02_rolling_mean", sql=with_base(
     "SELECT entity, day, temp_max_7d, temp_max_30d, ndvi_90d_avg FROM feat", upto="feat"))
 def e02_rolling_mean(spark, sf):
+    """Trailing rolling means of temperature (7/30, min 4/15) and NDVI (90, min 30)."""
     return _fp(spark, sf).select("entity", "day", "temp_max_7d", "temp_max_30d", "ndvi_90d_avg")
 
 
 @query("e03_hot_days", sql=with_base("SELECT entity, day, hot_days_30d FROM feat", upto="feat"))
 def e03_hot_days(spark, sf):
+    """Rolling 30-day count of days above 35 C; NULL temperature counts as 0."""
     return _fp(spark, sf).select("entity", "day", "hot_days_30d")
 
 
 @query("e04_ffill_ndvi", sql=with_base("SELECT entity, day, ndvi, ndvi_missing FROM feat", upto="feat"))
 def e04_ffill_ndvi(spark, sf):
+    """NDVI forward-filled at most 7 rows plus the missing flag."""
     return _fp(spark, sf).select("entity", "day", "ndvi", "ndvi_missing")
 
 
 @query("e05_lag_change", sql=with_base(
     "SELECT entity, day, ndvi_30d_lag, ndvi_change_30d FROM feat", upto="feat"))
 def e05_lag_change(spark, sf):
+    """NDVI 30-row lag and change versus it (E5)."""
     return _fp(spark, sf).select("entity", "day", "ndvi_30d_lag", "ndvi_change_30d")
 
 
@@ -77,24 +81,28 @@ def e06_deviation_deficit(spark, sf):
 
 @query("e07_days_since_fire", sql=with_base("SELECT entity, day, days_since_fire FROM feat", upto="feat"))
 def e07_days_since_fire(spark, sf):
+    """Days since the last fire day, capped at 365, none -> 365."""
     return _fp(spark, sf).select("entity", "day", "days_since_fire")
 
 
 @query("e08_forward_label", sql=with_base(
     "SELECT entity, day, fire_within_30d FROM labelled", upto="labelled"))
 def e08_forward_label(spark, sf):
+    """Fire within the next 30 rows (today excluded), NULL without a full horizon."""
     return panels.labelled_panel(spark, sf).select("entity", "day", "fire_within_30d")
 
 
 @query("e09_drought_label", sql=with_base(
     "SELECT entity, day, drought_within_30d FROM labelled", upto="labelled"))
 def e09_drought_label(spark, sf):
+    """Drought: 30-day rain below 40 % of the month climatology outside dry months, forward 30."""
     return panels.labelled_panel(spark, sf).select("entity", "day", "drought_within_30d")
 
 
 @query("e10_vegetation_label", sql=with_base(
     "SELECT entity, day, vegetation_within_30d FROM labelled", upto="labelled"))
 def e10_vegetation_label(spark, sf):
+    """Vegetation: >= 5 of 14 days with NDVI 0.10 below its 90-row mean, forward 30."""
     return panels.labelled_panel(spark, sf).select("entity", "day", "vegetation_within_30d")
 
 
@@ -117,6 +125,7 @@ def e12_seasonal(spark, sf):
     "SELECT split, count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day FROM featured GROUP BY split",
     upto="featured"))
 def b09_split_counts(spark, sf):
+    """Rows and date range per chronological split."""
     return (panels.featured(spark, sf).groupBy("split")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day")))
 

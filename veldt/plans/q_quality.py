@@ -30,6 +30,7 @@ SELECT entity, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER
   count(*) FILTER (WHERE split = 'test') AS test, count(*) AS total
 FROM featured GROUP BY ROLLUP (entity)""", upto="featured"))
 def d06_split_crosstab(spark, sf):
+    """Split x entity counts with totals via rollup."""
     return Q.split_crosstab(panels.featured(spark, sf))
 
 
@@ -40,6 +41,7 @@ SELECT entity, coalesce(sum(fire_within_30d), 0) AS fire_pos, coalesce(sum(fire_
   coalesce(sum(vegetation_within_30d), 0) < 30 AS vegetation_low
 FROM featured WHERE split = 'test' GROUP BY entity""", upto="featured"))
 def d07_test_positives(spark, sf):
+    """Test-split positives per entity and threat with the < 30 flag."""
     return Q.test_positives(panels.featured(spark, sf))
 
 
@@ -68,6 +70,7 @@ def d09_describe(spark, sf):
         f"1.0 - avg(ndvi_missing) FILTER (WHERE month(day) = {m}) AS \"{m}\"" for m in range(1, 13))
     + ", 1.0 - avg(ndvi_missing) AS coverage FROM featured GROUP BY entity", upto="featured"))
 def d10_ndvi_coverage(spark, sf):
+    """NDVI availability per entity, overall and per month pivot."""
     return Q.ndvi_coverage(panels.featured(spark, sf))
 
 
@@ -75,6 +78,7 @@ def d10_ndvi_coverage(spark, sf):
 SELECT CAST(month(day) AS INTEGER) AS month, avg(fire_within_30d) AS fire_rate, avg(drought_within_30d) AS drought_rate,
   avg(vegetation_within_30d) AS vegetation_rate FROM labelled GROUP BY month(day)""", upto="labelled"))
 def d11_monthly_seasonality(spark, sf):
+    """Month-of-year label rates pooled over entities."""
     return Q.monthly_seasonality(panels.labelled_panel(spark, sf))
 
 
@@ -83,6 +87,7 @@ def d11_monthly_seasonality(spark, sf):
     + ", ".join(f"{_xmean(c)} AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in STAT_COLS)
     + " FROM featured GROUP BY entity, month(day)", upto="featured"))
 def d12_month_entity_stats(spark, sf):
+    """Exact fixed-point mean and sample std per entity x month."""
     return Q.month_entity_stats(panels.featured(spark, sf), STAT_COLS)
 
 
@@ -91,6 +96,7 @@ SELECT entity, CAST(date_trunc('week', day) AS DATE) + 6 AS week_end, avg(fire_w
   avg(drought_within_30d) AS drought_rate, avg(vegetation_within_30d) AS vegetation_rate
 FROM labelled GROUP BY entity, CAST(date_trunc('week', day) AS DATE) + 6""", upto="labelled"))
 def d13_weekly_resample(spark, sf):
+    """Weekly (Mon-Sun, labelled by Sunday) label rates per entity."""
     return Q.weekly_resample(panels.labelled_panel(spark, sf))
 
 
@@ -100,6 +106,7 @@ def d13_weekly_resample(spark, sf):
                 f"'nan') AS {c}" for c in STAT_COLS)
     + " FROM featured WHERE split = 'train' AND ndvi_missing = 0 GROUP BY ecosystem", upto="featured"))
 def d14_ecosystem_summary(spark, sf):
+    """'mean ± std' text per ecosystem on clean train rows."""
     return Q.ecosystem_summary(panels.featured(spark, sf), STAT_COLS)
 
 
@@ -115,6 +122,7 @@ GROUP BY entity, feature, q""", upto="featured", extra=(
     "lng AS (SELECT * FROM (UNPIVOT (SELECT entity, " + ", ".join(BOX_COLS) + " FROM featured) ON "
     + ", ".join(BOX_COLS) + " INTO NAME feature VALUE value) WHERE value IS NOT NULL)")))
 def d15_box_stats(spark, sf):
+    """Quartiles and 1.5 IQR whiskers per entity x feature."""
     return Q.box_stats(panels.featured(spark, sf), BOX_COLS)
 
 
@@ -146,6 +154,7 @@ def d16_point_biserial(spark, sf):
     f" AS r FROM featured" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])
     + ") WHERE abs(r) > 0.8", upto="featured"))
 def d17_correlation_pairs(spark, sf):
+    """Feature pairs with |Pearson r| > 0.8, pairwise-complete, one pass."""
     return Q.correlation_pairs(panels.featured(spark, sf), CORR_COLS)
 
 
@@ -153,6 +162,7 @@ def d17_correlation_pairs(spark, sf):
 SELECT entity, count(*) AS n_rows, avg(CASE WHEN ndvi IS NOT NULL THEN 1.0 ELSE 0.0 END) AS ndvi_coverage,
   count(*) FILTER (WHERE firms_count > 0) AS fire_days FROM panel GROUP BY entity""", upto="panel"))
 def d18_source_coverage(spark, sf):
+    """NDVI share, fire days and rows per entity."""
     return Q.source_coverage(panels.raw_panel(spark, sf))
 
 
@@ -160,6 +170,7 @@ def d18_source_coverage(spark, sf):
 SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, min(day) AS first_day, max(day) AS last_day
 FROM featured""", upto="featured"))
 def d21_table_extent(spark, sf):
+    """Row count, distinct entities and date range of the training table."""
     return Q.table_extent(panels.featured(spark, sf))
 
 

@@ -26,6 +26,7 @@ def _serve(spark, sf):
 SELECT entity, day, {PROBS} FROM (
   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS rn FROM fc) WHERE rn = 1"""))
 def e19_latest_per_entity(spark, sf):
+    """Latest forecast per entity: grouped top-1 pruned by WindowGroupLimit."""
     return R.latest_per_entity(_fc(spark, sf)).select("entity", "day", *C.PROB_COLS)
 
 
@@ -61,12 +62,14 @@ wow AS (
 @query("c08_nearest_week_ago", sql=with_base(
     "SELECT entity, wa_day, wa_fire_prob, wa_drought_prob, wa_veg_prob FROM wa", extra=_WEEK_AGO_SQL))
 def c08_nearest_week_ago(spark, sf):
+    """Row nearest to latest - 7 days within 4 days, latest excluded, earliest wins ties."""
     return R.week_ago(_fc(spark, sf))
 
 
 @query("e22_week_over_week", sql=with_base("SELECT * EXCLUDE (rn_dummy) FROM (SELECT *, 0 AS rn_dummy FROM wow)",
                                             extra=_WEEK_AGO_SQL))
 def e22_week_over_week(spark, sf):
+    """Week-over-week delta in points per threat, JS half-up rounding."""
     return R.week_over_week(_fc(spark, sf)).select(
         "entity", "day", *C.PROB_COLS, "wa_day", "wa_fire_prob", "wa_drought_prob", "wa_veg_prob",
         "dp_fire_prob", "dp_drought_prob", "dp_veg_prob")
@@ -107,6 +110,7 @@ def h15_alerts(spark, sf):
 SELECT day, avg(fire_prob) AS fire, avg(drought_prob) AS drought, avg(veg_prob) AS veg
 FROM fc WHERE day >= (SELECT max(day) FROM fc) - 59 GROUP BY day"""))
 def d05_national_trend(spark, sf):
+    """Cross-entity daily average per threat over the last 60 dates."""
     return R.national_trend(_fc(spark, sf), 60)
 
 
@@ -142,6 +146,7 @@ SELECT entity, max_risk, dominant_threat, row_number() OVER (ORDER BY max_risk D
          WHEN drought_prob > fire_prob THEN 'Drought' ELSE 'Fire' END AS dominant_threat
   FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS rn FROM fc) WHERE rn = 1)"""))
 def e21_entity_ranking(spark, sf):
+    """Entities ranked by their highest threat with a distributed global row number."""
     return R.entity_ranking(R.latest_per_entity(_fc(spark, sf))).select(
         "entity", "max_risk", "dominant_threat", "priority")
 
