@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,6 @@ def update_only(existing: DataFrame, new: DataFrame, keys: list[str], cols: list
     return j
 
 
-def dedupe_within_watermark(stream: DataFrame, keys: list[str], ts: Column | str, delay: str) -> DataFrame:
+def dedupe_within_watermark(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """Streaming duplicate suppression on keys, state bounded by the watermark."""
-    ts_col = ts if isinstance(ts, str) else None
-    s = stream.withWatermark(ts_col, delay) if ts_col else stream
-    return s.dropDuplicatesWithinWatermark(keys)
+    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

@@ -107,7 +107,7 @@ def event_counts_stream(spark: SparkSession, sf_dir: str, base: str, watermark:
            .option("maxFilesPerTrigger", max_files).parquet(sf_dir)
            .withColumn("event_time", F.col("ts").cast("timestamp")))
     w = F.window("event_time", window, slide) if slide else F.window("event_time", window)
-    agg = (src.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    agg = (M.dedupe_within_watermark(src, ["event_id"], "event_time", watermark)
               .groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
