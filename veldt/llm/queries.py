@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import chat, exact_dedup, mixing, sharding
+from veldt.llm import chat, exact_dedup, minhash, mixing, sharding
 from veldt.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+_OP2 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE len(ws) WHEN 0 THEN [] WHEN 1 THEN [ws[1]] ELSE
+    list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS (SELECT s.doc_id, s.s, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.s) AS place
+  FROM s JOIN (SELECT s, count(*) AS f FROM s GROUP BY s) f USING (s)),
+prefix AS (SELECT r.doc_id, r.s, n.n FROM rare r JOIN n USING (doc_id) WHERE r.place <= n.n - ceil(0.8 * n.n) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b USING (s)
+  WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+link AS (SELECT c.a, c.b FROM cand c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.s = x.s
+  GROUP BY c.a, c.b, c.na, c.nb HAVING 100 * count(*) >= 80 * (c.na + c.nb - count(*))),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, way.b FROM reach JOIN way ON reach.r = way.a)
+SELECT w.doc_id, len(list_distinct(CASE len(ws) WHEN 0 THEN [] WHEN 1 THEN [ws[1]] ELSE
+    list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS n_shingles,
+  c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+
+@query("op2_minmax_near_dedup", _OP2)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over all documents: 2-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 _OP6 = rf"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
