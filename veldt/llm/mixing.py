@@ -29,6 +29,7 @@ MAX_PASSES = 3
 SEED = "mix-1"
 #: rows of one range on average, for running totals and for the cut
 ROWS_PER_BIN = 20_000
+MIN_BINS = 64
 #: tables of at most so many sources are broadcast, larger ones are joined by shuffle
 BROADCAST_SOURCES = 10_000
 
@@ -90,7 +91,7 @@ def schedule(docs: DataFrame, weights: tuple = WEIGHTS, max_passes: int = MAX_PA
     base = [F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")]
     thin = C.materialize(docs.select(*base), "sizes")
     n, most = thin.agg(F.count(F.lit(1)), F.max("size")).first()
-    bins = max(1, -(-n // rows_per_bin))
+    bins = max(MIN_BINS, -(-n // rows_per_bin))
 
     def ordered(df: DataFrame) -> DataFrame:
         h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
