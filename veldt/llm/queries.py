@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import chat, decontam, exact_dedup, minhash, mixing, sharding
+from veldt.llm import chat, decontam, exact_dedup, langid, minhash, mixing, sharding
 from veldt.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def _crc(key: str, by: int):
+    """crc32 of the id as text, modulo ``by`` (null for a null id)."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(by))
+
+
+@query("op4_ftrl_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learnt where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_crc("doc_id", 5) != 0))
+    return langid.identify(docs, model).select(
+        "doc_id", F.coalesce(_crc("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_template_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document against all benchmark items."""
