@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import chat, decontam, exact_dedup, langid, minhash, mixing, sharding
+from veldt.llm import chat, decontam, exact_dedup, langid, minhash, mixing, quality_cnn, sharding, toxicity
 from veldt.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,16 @@ def _crc(key: str, by: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(by))
 
 
+@query("op3_byte_cnn_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learnt where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(_crc("doc_id", 3) != 1)
+    return quality_cnn.score(docs, quality_cnn.train(docs, labels)).select(
+        "doc_id", F.coalesce(_crc("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_ftrl_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learnt where crc32(doc_id) mod 5 is not 0."""
@@ -127,6 +137,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_toxicity_chain")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each grade of toxicity and the verdict, of every document; learnt from the labelled rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels)).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 @query("op9_jump_hash_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and the shard after one more is added, of every document."""
