@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import chat, decontam, exact_dedup, langid, minhash, mixing, quality_cnn, sharding, toxicity
+from veldt.llm import chat, decontam, exact_dedup, html_extract, langid, minhash, mixing, quality_cnn, sharding, toxicity
 from veldt.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels)).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+@query("op8_min_cut_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 @query("op9_jump_hash_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and the shard after one more is added, of every document."""
