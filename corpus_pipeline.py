@@ -2,17 +2,35 @@
 
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs,
 sf_dir), and its result is written as Parquet and read again as the next one's
-docs.  All stages but the last return the columns of ``documents``.
+docs.  All stages but the last return the columns of ``documents``; rows with
+null ids, null texts and repeats are treated as each operator's module says.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veldt.llm import mixing, sharding
+from veldt.llm import decontam, langid, minhash, mixing, sharding
 from veldt.llm.common import materialize, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model names with a probability of 0.5 or more."""
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
+    return langid.keep_identified(docs, langid.train(docs.where(learn)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    return minhash.drop_near_duplicates(docs, k=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weighted fair mix takes them."""
     return mixing.mix(docs)
@@ -23,15 +41,20 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, sharding.SHARDS)
 
 
-STAGES = [("mix_sources", mix_sources), ("shard", shard)]
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("drop_contaminated", drop_contaminated),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
 
+#: models, near-duplicate hashing and text rules are beyond SQL; tests compare run() with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
