@@ -104,7 +104,7 @@ def _fit(categories: list[str]):
         if categories == GRADES:
             s = _graded(s)
         base = [(i.astype(np.int64), np.ones(len(i))) for i in s["idx"]]
-        fold, earlier, out = np.arange(len(s)) % FOLDS, [], {}
+        fold, earlier, out = np.random.default_rng(3).permutation(len(s)) % FOLDS, [], {}
         for c, name in enumerate(categories):
             y = s[name].to_numpy().astype(int)
             xs = [(np.concatenate([i, DIMS + np.arange(c)]), np.concatenate([v, [e[k] for e in earlier]]))
