@@ -7,13 +7,15 @@ signature.  Bands of ``BAND`` values, each from different permutations, are the
 bucket keys: a pair at similarity 0.8 misses all of them with a chance of 3e-6.
 
 Links: texts with equal shingle sets are one class, and only its smallest
-doc_id goes on.  In a bucket the smallest id is the pivot, and every member is
-compared with it on both whole texts.  Jaccard distance is a metric, so a
-member within 0.2 of the pivot can link to another one only if that one is not
-farther from the pivot than its own distance plus 0.2; members that no
-undecided member can reach leave the bucket, and what is left gets new pivots
-until no bucket holds an undecided pair.  No bucket is collected, none is
-capped, and pairs are made only against pivots.
+doc_id goes on.  In a bucket one row is the pivot (first the smallest id, then
+a row picked by hash), and rows not yet known to be in the pivot's component
+are compared with it on both whole texts.  After each round buckets whose rows
+are all in one component are finished; in a large group of near copies that
+soon holds for all.  What is left after ``ROUNDS`` rounds is settled outright:
+in each bucket the rows outside its largest component are compared with all
+rows of other components.  Jaccard distance is a metric, so pairs whose
+distances to the first pivot differ by more than 0.2 are known to be apart
+unread.  No bucket is collected and none is capped.
 
 Defined cases: null or blank text has the empty set, is linked with nothing
 and stays; rows with one doc_id are one node of the graph; a row with a null
@@ -34,8 +36,8 @@ from veldt.llm import common as C
 
 PERMUTATIONS = 80
 BAND = 5
-#: pivots that a bucket's undecided rows are compared with in one round
-PIVOTS = 64
+#: rounds with one pivot in each bucket before the rest is settled outright
+ROUNDS = 4
 
 _rng = np.random.default_rng(20240)
 _FLIP = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -144,49 +146,70 @@ def _compare(k: int):
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(lead, rep, linked, d) of distinct pairs; a pair whose set sizes rule a link out gets
-    the distance that the sizes prove, unread."""
+    """pairs (lead, rep, ln, n, ...) with linked and the interval dl .. dh that holds their
+    distance; where the set sizes rule a link out, the texts are not read."""
     small, large = F.least("n", "ln"), F.greatest("n", "ln")
     pairs = pairs.withColumn("maybe", 100 * small >= percent * large)
-    far = pairs.where("not maybe").select("lead", "rep", F.lit(False).alias("linked"), (1 - small / large).alias("d"))
-    t = texts.select("doc_id", "text")
-    read = (pairs.where("maybe").select("lead", "rep")
+    far = pairs.where("not maybe").drop("maybe").withColumn("linked", F.lit(False)) \
+               .withColumn("dl", 1 - small / large).withColumn("dh", F.lit(1.0))
+    t, near = texts.select("doc_id", "text"), pairs.where("maybe").drop("maybe")
+    read = (near.select("lead", "rep")
             .join(t.select(F.col("doc_id").alias("rep"), F.col("text").alias("rt")), "rep")
             .join(t.select(F.col("doc_id").alias("lead"), F.col("text").alias("lt")), "lead")
             .select("lead", "rep", "lt", "rt").mapInArrow(_compare(k), "lead long, rep long, both long, either long"))
-    near = read.groupBy("lead", "rep").agg(F.max(100 * F.col("both") >= percent * F.col("either")).alias("linked"),
-                                           F.min(1 - F.col("both") / F.col("either")).alias("d"))
-    return near.unionByName(far)
+    d = F.min(1 - F.col("both") / F.col("either"))
+    got = read.groupBy("lead", "rep").agg(F.max(100 * F.col("both") >= percent * F.col("either")).alias("linked"),
+                                          d.alias("dl"), d.alias("dh"))
+    return near.join(got, ["lead", "rep"]).unionByName(far)
+
+
+def _pairs(rows: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """rows (pr, pn, pc: one side; rep, n, c: the other) as distinct pairs lead < rep, not tested yet."""
+    swap = F.col("pr") > F.col("rep")
+
+    def pick(x: str, y: str, name: str):
+        return F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
+
+    out = rows.select(pick("rep", "pr", "lead"), pick("pr", "rep", "rep"), pick("n", "pn", "ln"), pick("pn", "n", "n"),
+                      pick("c", "pc", "lc"), pick("pc", "c", "c")).distinct()
+    return out if tested is None else out.join(tested, ["lead", "rep"], "anti")
 
 
 def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> list[DataFrame]:
-    """Tables of links (lead, rep).  members: key, rep, n, and the bucket's pivot lead, ln."""
+    """Tables of links (lead, rep).  members: key, rep, n of buckets with two rows or more."""
     reach = 1 - percent / 100 + 1e-9
-    dist = C.materialize(_distances(members.select("lead", "rep", "n", "ln").distinct(), texts, k, percent), "distances")
-    found = [dist.where("linked").select("lead", "rep")]
-    # only buckets that hold a row apart from the pivot need more
-    apart = members.join(dist.where("not linked").select("lead", "rep"), ["lead", "rep"], "semi").select("key").distinct()
-    rows = members.join(apart, "key", "semi").join(dist, ["lead", "rep"])
-    low = rows.groupBy("key").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("low"), F.count(F.lit(1)).alias("c"))
-    left = rows.join(low.where("c > 1"), "key").where(~F.col("linked") | (F.col("d") >= F.col("low") - reach)) \
-        .select("key", "rep", "n", (~F.col("linked")).alias("open"))
-    left = C.materialize(left, "left")
-    while True:
-        size = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("o")).where("c > 1 and o")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.col("open").desc(), "rep"))
-        pivots = (left.join(size, "key", "semi").where("open").withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
-                  .select("key", F.col("rep").alias("lead"), F.col("n").alias("ln")))
-        pivots = C.materialize(pivots, "pivots")
-        if pivots.isEmpty():
-            return found
-        # a pair of pivots is compared once, by its smaller id
-        done = pivots.select("key", F.col("lead").alias("rep"), F.lit(True).alias("is_pivot"))
-        pairs = (left.join(done, ["key", "rep"], "left").join(pivots, "key")
-                 .where((F.col("rep") > F.col("lead")) | (F.col("is_pivot").isNull() & (F.col("rep") != F.col("lead"))))
-                 .select("lead", "rep", "n", "ln").distinct())
-        dist = C.materialize(_distances(pairs, texts, k, percent), "distances")
+    near = F.greatest(F.col("pl") - F.col("dh"), F.col("dl") - F.col("ph")) <= reach
+    rows, tested, found = members.withColumn("c", F.col("rep")), None, []
+    for turn in range(ROUNDS):
+        order = F.col("rep") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
+        carry = ["rep", "n", "c"] if turn == 0 else ["rep", "n", "c", "dl", "dh"]
+        pivots = rows.groupBy("key").agg(*[F.min_by(x, order).alias(y) for x, y in zip(carry, ["pr", "pn", "pc", "pl", "ph"], strict=False)])
+        met = rows.join(pivots, "key").where("rep <> pr")
+        dist = C.materialize(_distances(_pairs(met.where((F.col("c") != F.col("pc")) & near) if turn else met, tested), texts, k, percent),
+                             "distances")
         found.append(dist.where("linked").select("lead", "rep"))
-        left = C.materialize(left.join(done, ["key", "rep"], "anti"), "left")
+        seen = dist.select("lead", "rep")
+        tested = seen if tested is None else tested.union(seen)
+        # the larger label of a link takes the smaller one, and that one's own new label
+        hook = dist.where("linked and lc <> c").groupBy(F.greatest("lc", "c").alias("was")).agg(F.min(F.least("lc", "c")).alias("now"))
+        hook = C.materialize(hook, "hooks")
+        jump = hook.join(hook.select(F.col("was").alias("now"), F.col("now").alias("then")), "now", "left") \
+                   .select(F.col("was").alias("c"), F.coalesce("then", "now").alias("to"))
+        if turn == 0:
+            met = met.join(dist.select(F.col("lead").alias("pr"), "rep", "dl", "dh"), ["pr", "rep"])
+        rest = met.select("key", "rep", "n", "c", "dl", "dh").join(jump, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+        mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        rows = C.materialize(rest.join(mixed, "key", "semi"), "rows")
+        if rows.isEmpty():
+            return found
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("s"))
+    big = sizes.groupBy("key").agg(F.max_by("c", "s").alias("big"))
+    side = rows.join(big, "key")
+    out = side.where("c <> big").select("key", F.col("rep").alias("pr"), F.col("n").alias("pn"), F.col("c").alias("pc"),
+                                        F.col("dl").alias("pl"), F.col("dh").alias("ph"))
+    met = side.join(out, "key").where((F.col("c") != F.col("pc")) & ((F.col("c") == F.col("big")) | (F.col("rep") > F.col("pr"))) & near)
+    dist = C.materialize(_distances(_pairs(met, tested), texts, k, percent), "distances")
+    return [*found, dist.where("linked").select("lead", "rep")]
 
 
 # ------------------------------------------------------------- operator
@@ -200,10 +223,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     classes = C.materialize(sig.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2")
                             .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     entries = classes.where("rep is not null").select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    heads = entries.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("ln"), F.count(F.lit(1)).alias("c")) \
-                   .where("c > 1").select("key", "lead", "ln")
-    members = C.materialize(entries.join(heads, "key").where("rep <> lead"), "members")
-    ids = members.select(F.explode(F.array("lead", "rep")).alias("doc_id")).distinct()
+    shared = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+    members = C.materialize(entries.join(shared, "key", "semi"), "members")
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = C.materialize(own.join(ids, "doc_id", "semi").select("doc_id", F.col("text").cast("binary").alias("text")), "texts")
     edges = None
     for t in _links(members, texts, k, percent):
