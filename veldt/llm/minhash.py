@@ -11,11 +11,11 @@ doc_id goes on.  In a bucket one row is the pivot (first the smallest id, then
 a row picked by hash), and rows not yet known to be in the pivot's component
 are compared with it on both whole texts.  After each round buckets whose rows
 are all in one component are finished; in a large group of near copies that
-soon holds for all.  What is left after ``ROUNDS`` rounds is settled outright:
-in each bucket the rows outside its largest component are compared with all
-rows of other components.  Jaccard distance is a metric, so pairs whose
-distances to the first pivot differ by more than 0.2 are known to be apart
-unread.  No bucket is collected and none is capped.
+soon holds for all.  What is left after ``ROUNDS`` rounds (texts that share a
+large part, but not enough) is settled by an exact set join: two sets with
+similarity s share at least one of the rarest (1 - s) n + 1 shingles of either,
+so only rows of different components that share such a shingle are compared.
+No bucket is collected and none is capped.
 
 Defined cases: null or blank text has the empty set, is linked with nothing
 and stays; rows with one doc_id are one node of the graph; a row with a null
@@ -36,8 +36,8 @@ from veldt.llm import common as C
 
 PERMUTATIONS = 80
 BAND = 5
-#: rounds with one pivot in each bucket before the rest is settled outright
-ROUNDS = 4
+#: rounds with one pivot in each bucket before the rest is settled by rare shingles
+ROUNDS = 2
 
 _rng = np.random.default_rng(20240)
 _FLIP = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -145,21 +145,18 @@ def _compare(k: int):
     return run
 
 
-def _distances(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (lead, rep, ln, n, ...) with linked and the interval dl .. dh that holds their
-    distance; where the set sizes rule a link out, the texts are not read."""
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (lead, rep, ln, n, lc, c) with ``linked``; where the set sizes rule a link out,
+    the texts are not read."""
     small, large = F.least("n", "ln"), F.greatest("n", "ln")
     pairs = pairs.withColumn("maybe", 100 * small >= percent * large)
-    far = pairs.where("not maybe").drop("maybe").withColumn("linked", F.lit(False)) \
-               .withColumn("dl", 1 - small / large).withColumn("dh", F.lit(1.0))
+    far = pairs.where("not maybe").drop("maybe").withColumn("linked", F.lit(False))
     t, near = texts.select("doc_id", "text"), pairs.where("maybe").drop("maybe")
     read = (near.select("lead", "rep")
             .join(t.select(F.col("doc_id").alias("rep"), F.col("text").alias("rt")), "rep")
             .join(t.select(F.col("doc_id").alias("lead"), F.col("text").alias("lt")), "lead")
             .select("lead", "rep", "lt", "rt").mapInArrow(_compare(k), "lead long, rep long, both long, either long"))
-    d = F.min(1 - F.col("both") / F.col("either"))
-    got = read.groupBy("lead", "rep").agg(F.max(100 * F.col("both") >= percent * F.col("either")).alias("linked"),
-                                          d.alias("dl"), d.alias("dh"))
+    got = read.groupBy("lead", "rep").agg(F.max(100 * F.col("both") >= percent * F.col("either")).alias("linked"))
     return near.join(got, ["lead", "rep"]).unionByName(far)
 
 
@@ -178,15 +175,12 @@ def _pairs(rows: DataFrame, tested: DataFrame | None) -> DataFrame:
 def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> list[DataFrame]:
     """Tables of links (lead, rep).  members: key, rep, n of buckets with two rows or more."""
     reach = 1 - percent / 100 + 1e-9
-    near = F.greatest(F.col("pl") - F.col("dh"), F.col("dl") - F.col("ph")) <= reach
     rows, tested, found = members.withColumn("c", F.col("rep")), None, []
     for turn in range(ROUNDS):
         order = F.col("rep") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
-        carry = ["rep", "n", "c"] if turn == 0 else ["rep", "n", "c", "dl", "dh"]
-        pivots = rows.groupBy("key").agg(*[F.min_by(x, order).alias(y) for x, y in zip(carry, ["pr", "pn", "pc", "pl", "ph"], strict=False)])
+        pivots = rows.groupBy("key").agg(*[F.min_by(x, order).alias(y) for x, y in (("rep", "pr"), ("n", "pn"), ("c", "pc"))])
         met = rows.join(pivots, "key").where("rep <> pr")
-        dist = C.materialize(_distances(_pairs(met.where((F.col("c") != F.col("pc")) & near) if turn else met, tested), texts, k, percent),
-                             "distances")
+        dist = C.materialize(_compared(_pairs(met.where("c <> pc"), tested), texts, k, percent), "compared")
         found.append(dist.where("linked").select("lead", "rep"))
         seen = dist.select("lead", "rep")
         tested = seen if tested is None else tested.union(seen)
@@ -195,21 +189,54 @@ def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> list[D
         hook = C.materialize(hook, "hooks")
         jump = hook.join(hook.select(F.col("was").alias("now"), F.col("now").alias("then")), "now", "left") \
                    .select(F.col("was").alias("c"), F.coalesce("then", "now").alias("to"))
-        if turn == 0:
-            met = met.join(dist.select(F.col("lead").alias("pr"), "rep", "dl", "dh"), ["pr", "rep"])
-        rest = met.select("key", "rep", "n", "c", "dl", "dh").join(jump, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+        rest = met.select("key", "rep", "n", "c").join(jump, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
         mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         rows = C.materialize(rest.join(mixed, "key", "semi"), "rows")
         if rows.isEmpty():
             return found
-    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("s"))
-    big = sizes.groupBy("key").agg(F.max_by("c", "s").alias("big"))
-    side = rows.join(big, "key")
-    out = side.where("c <> big").select("key", F.col("rep").alias("pr"), F.col("n").alias("pn"), F.col("c").alias("pc"),
-                                        F.col("dl").alias("pl"), F.col("dh").alias("ph"))
-    met = side.join(out, "key").where((F.col("c") != F.col("pc")) & ((F.col("c") == F.col("big")) | (F.col("rep") > F.col("pr"))) & near)
-    dist = C.materialize(_distances(_pairs(met, tested), texts, k, percent), "distances")
-    return [*found, dist.where("linked").select("lead", "rep")]
+    left = rows.groupBy("rep").agg(F.min("c").alias("c"))
+    return [*found, _settled(left, texts, tested, k, percent)]
+
+
+def _shingled(k: int):
+    schema = pa.schema([("rep", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = C.utf8(b.column(2).cast(pa.large_binary()).cast(pa.large_string()))
+            for i, j in C.slices(off):
+                part, o = C.lower_ascii(data[off[i]:off[j]]), off[i:j + 1] - off[i]
+                start, end, row = C.words(part, o)
+                sets = shingle_hashes(C.hash_spans(part, start, end), row, k, j - i)
+                n = [len(u) for u in sets]
+                if sum(n):
+                    rep, tid = (np.repeat(b.column(c).slice(i, j - i).to_numpy(), n) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tid), pa.array(np.repeat(n, n)),
+                                                      pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
+
+    return run
+
+
+def _settled(left: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (lead, rep) between components among the rows ``left`` (rep, c): every pair of texts with
+    enough in common shares one of the rarest shingles of each."""
+    t = texts.join(left, texts["doc_id"] == left["rep"], "semi").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("tid"), "text")
+    sh = C.materialize(t.mapInArrow(_shingled(k), "rep long, tid long, n long, h long"), "shingles")
+    often = sh.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("rep", "tid")
+    rare = sh.join(often, "h", "left") \
+        .withColumn("place", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "h"))) \
+        .withColumn("s", F.count("df").over(own))  # the others occur in no second text, so at most s are shared
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
+    rare = rare.where((F.col("place") <= most) & F.col("df").isNotNull() & (100 * F.col("s") >= percent * F.col("n"))) \
+               .select("rep", "n", "s", "h").join(left, "rep")
+    mixed = rare.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    rare = C.materialize(rare.join(mixed, "h", "semi"), "rare")
+    other = rare.select("h", F.col("rep").alias("pr"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("c").alias("pc"))
+    met = rare.join(other, "h").where((F.col("rep") > F.col("pr")) & (F.col("c") != F.col("pc"))
+                                      & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+                                      & ((100 + percent) * F.least("s", "ps") >= percent * (F.col("n") + F.col("pn"))))
+    return C.materialize(_compared(_pairs(met, tested), texts, k, percent), "compared").where("linked").select("lead", "rep")
 
 
 # ------------------------------------------------------------- operator
