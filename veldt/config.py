@@ -23,6 +23,10 @@ FEATURE_COLS = [
     "doy_sin", "doy_cos", "dry_season", "park_id", "ecosystem_id",
 ]
 
+CIRCLE_VERTICES = 48
+KM_PER_DEGREE_LAT = 110.574
+KM_PER_DEGREE_LON = 111.320
+
 FORWARD_DAYS = 30
 WARMUP_DAYS = 60
 NDVI_FILL_LIMIT = 7

@@ -1,29 +1,25 @@
 """Budget-constrained intervention plans for many scenarios at once.
 
-Exact solver, re-expressed for Spark (K3):
-
-1. **Candidates** — every integer unit vector within the catalog caps whose
-   cost fits the largest budget, generated by one ``explode(sequence(0, cap))``
-   per catalog item with the running cost pruned after each step.  Its size is
-   bounded by the catalog (prod(cap+1)), never by the data; costs are exact
-   integer cents.
-2. **Feasibility** — a non-equi join of scenarios with candidates on budget,
-   type toggles (bitmask), per-threat minimum spend (only when an enabled
-   intervention addresses the threat, T18) and per-type unit caps.
-3. **Objective** — linear score sum_t p_t * sum_i eff_it * u_i rounded to 9
-   digits; ties: cheaper first, then larger units in catalog order (T12).
-   Both the score and the candidate's tie-break rank are packed into ONE
-   BIGINT key, so the per-scenario argmax is a plain ``max`` that Spark
-   aggregates partially inside the join stage: candidate pairs are never
-   materialised, shuffled or sorted.  The winner is fetched back by rank.
+Exact solver, re-expressed for Spark (K3): branch and bound as a chain of
+generators.  Every distinct what-if (budget, risks, floors, toggles, caps, and
+its own catalog where it has one) is one row.  For each catalog item the row
+is exploded over the item's units, and a partial vector goes on only if it can
+still satisfy every constraint and still reach the score of a greedy plan.  So
+there is no table of candidates, no join of what-ifs with vectors and no limit
+on catalog items or vectors; work grows with the distinct what-ifs and is
+spread over tasks by them.  Costs are exact integer cents.
+
+Objective: linear score sum_t p_t * sum_i eff_it * u_i rounded to 9 digits;
+ties: cheaper first, then larger units in catalog order (T12).  The order is
+carried in one ``max(struct)`` that combines inside the generating stage.
 
 Scenarios with no feasible vector are ``Infeasible`` with an all-zero plan.
-Scenario parameter tuples are de-duplicated before the join, so the join
-work grows with distinct what-ifs, not with how many entities share them.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +29,6 @@ THREATS = C.THREATS
 EFF = {"fire": "eff_fire", "drought": "eff_drought", "vegetation": "eff_veg"}
 PROB = {"fire": "p_fire", "drought": "p_drought", "vegetation": "p_veg"}
 TYPES = C.INTERVENTION_TYPES
-MAX_ITEMS = 24
-BROADCAST_MAX_CANDIDATES = 250_000   # ~150 B per row -> <= ~40 MB, counted before use
-BLOCK_ROWS = 250_000
-BAND_CENTS = 100_000          # $1,000 cost bands
 
 
 def rnd(c: Column, digits: int) -> Column:
@@ -57,10 +49,7 @@ def catalog_df(spark: SparkSession, rows=None) -> DataFrame:
 
 def _catalog_items(catalog: DataFrame) -> list:
     """The catalog is a dimension of a few rows; it shapes the plan (one
-    generator per item), so it is read on the driver — size checked."""
-    n = catalog.count()
-    if n > MAX_ITEMS:
-        raise ValueError(f"catalog of {n} items exceeds exhaustive-enumeration limit {MAX_ITEMS}")
+    generator per item), so it is read on the driver."""
     return [r.asDict() for r in catalog.orderBy("pos").collect()]
 
 
@@ -97,68 +86,15 @@ def urgency_floors(probs: DataFrame, budget: str = "budget") -> DataFrame:
     return out
 
 
-# ----------------------------------------------------------------- candidates
-
-def candidates(catalog: DataFrame, max_budget: float | Column, per: DataFrame | None = None) -> DataFrame:
-    """Enumerate unit vectors with cost <= max_budget (K3 step 1).
-
-    With ``per`` (rows carrying ``sample`` and per-item ``cost_<pos>`` /
-    ``eff_<threat>_<pos>`` columns) the enumeration runs once per row, so each
-    perturbed catalog gets its own candidate set (K11)."""
-    items = _catalog_items(catalog)
-    spark = catalog.sparkSession
-    base = per if per is not None else spark.range(1).select(F.lit(0).alias("sample"))
-    budget_c = (max_budget if isinstance(max_budget, Column) else F.lit(float(max_budget))) * F.lit(100.0)
-    df = base.withColumn("_bud", F.floor(budget_c + F.lit(1e-6)).cast("bigint")).withColumn("cost_c", F.lit(0).cast("bigint"))
-    for it in items:
-        p = it["pos"]
-        cc = (F.col(f"cost_{p}") if per is not None else F.lit(float(it["cost"])))
-        df = df.withColumn(f"_cc{p}", F.round(cc * F.lit(100.0)).cast("bigint"))
-        df = df.withColumn(f"u{p}", F.explode(F.sequence(F.lit(0), F.lit(int(it["max_units"])))))
-        df = df.withColumn("cost_c", F.col("cost_c") + F.col(f"u{p}").cast("bigint") * F.col(f"_cc{p}"))
-        df = df.where(F.col("cost_c") <= F.col("_bud"))
-    for t in THREATS:
-        lin = None
-        spend = F.lit(0).cast("bigint")
-        for it in items:
-            p = it["pos"]
-            eff = F.col(f"eff_{t}_{p}") if per is not None else F.lit(float(it[EFF[t]]))
-            term = eff * F.col(f"u{p}").cast("double")
-            lin = term if lin is None else lin + term
-            relevant = (F.col(f"eff_{t}_{p}") > 0) if per is not None else F.lit(it[EFF[t]] > 0)
-            spend = spend + F.when(relevant, F.col(f"u{p}").cast("bigint") * F.col(f"_cc{p}")).otherwise(F.lit(0))
-        df = df.withColumn(f"lin_{t}", lin).withColumn(f"spend_{t}_c", spend)
-    mask = F.lit(0)
-    for k, typ in enumerate(TYPES):
-        tu = F.lit(0)
-        for it in items:
-            if it["type"] == typ:
-                tu = tu + F.col(f"u{it['pos']}")
-        df = df.withColumn(f"tu{k}", tu)
-        mask = mask.bitwiseOR(F.when(F.col(f"tu{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)))
-    df = df.withColumn("type_mask", mask)
-    ucols = [f"u{it['pos']}" for it in items]
-    df = df.withColumn("units", F.array(*[F.col(u) for u in ucols]))
-    keep = ["sample", "units", *ucols, "cost_c", *[f"lin_{t}" for t in THREATS],
-            *[f"spend_{t}_c" for t in THREATS], *[f"tu{k}" for k in range(len(TYPES))], "type_mask"]
-    return df.select(*keep)
-
-
-def rank_candidates(cands: DataFrame, n_items: int) -> DataFrame:
-    """Tie-break rank per sample: cheaper first, then larger units in catalog order.
-
-    A window per ``sample``: each partition holds one catalog's candidates,
-    bounded by prod(cap+1) regardless of data size."""
-    w = Window.partitionBy("sample").orderBy(F.col("cost_c").asc(),
-                                             *[F.col(f"u{i}").desc() for i in range(n_items)])
-    return cands.withColumn("tb", F.row_number().over(w).cast("bigint"))
-
-
-# ----------------------------------------------------------------- scenarios
+# ----------------------------------------------------------------- exact solver
 
 def scenario_params(scen: DataFrame, catalog_items: list) -> DataFrame:
-    """Normalise scenario columns: budget cents, disabled-type mask, effective
-    floors (T18) and per-type caps (-1 = none)."""
+    """Normalise scenario columns: budget cents, effective floors (T18), caps per
+    type (-1 = none) and per item: cost in cents, cap (0 if its type is off),
+    effectiveness per threat.
+
+    A scenario may bring its own ``cost_<pos>`` / ``eff_<threat>_<pos>`` columns
+    (a perturbed catalog, K11); otherwise the catalog's values hold."""
     s = scen
     for col, default in [("disabled_types", F.array().cast("array<string>")),
                          ("type_caps", F.create_map().cast("map<string,int>"))]:
@@ -167,105 +103,136 @@ def scenario_params(scen: DataFrame, catalog_items: list) -> DataFrame:
     for t in THREATS:
         if f"floor_{t}" not in s.columns:
             s = s.withColumn(f"floor_{t}", F.lit(0.0))
-    dis = F.lit(0)
-    for k, typ in enumerate(TYPES):
-        dis = dis.bitwiseOR(F.when(F.array_contains("disabled_types", typ), F.lit(1 << k)).otherwise(F.lit(0)))
-    s = s.withColumn("disabled_mask", dis).withColumn("budget_c", F.floor(F.col("budget") * 100 + 1e-6).cast("bigint"))
+    s = s.withColumn("_bud", F.floor(F.col("budget") * 100 + 1e-6).cast("bigint"))
+    for it in catalog_items:
+        q = it["pos"]
+        cost = F.col(f"cost_{q}") if f"cost_{q}" in s.columns else F.lit(float(it["cost"]))
+        off = F.coalesce(F.array_contains("disabled_types", it["type"]), F.lit(False))
+        s = s.withColumn(f"_c{q}", F.round(cost * F.lit(100.0)).cast("bigint")) \
+             .withColumn(f"_m{q}", F.when(off, F.lit(0)).otherwise(F.lit(int(it["max_units"]))))
+        for t in THREATS:
+            own = f"eff_{t}_{q}"
+            s = s.withColumn(f"_e_{t}_{q}", F.col(own) if own in s.columns else F.lit(float(it[EFF[t]])))
     for t in THREATS:
-        rel = 0
-        for it in catalog_items:
-            if it[EFF[t]] > 0:
-                rel |= 1 << TYPES.index(it["type"])
-        active = (F.lit(rel).bitwiseAND(F.bitwise_not(F.col("disabled_mask"))) != 0) & (F.col(f"floor_{t}") > 0)
-        s = s.withColumn(f"efloor_{t}", F.when(active, F.col(f"floor_{t}")).otherwise(F.lit(0.0)))
+        # the nominal catalog says which interventions address a threat
+        able = [F.col(f"_m{it['pos']}") > 0 for it in catalog_items if it[EFF[t]] > 0]
+        active = functools.reduce(Column.__or__, able, F.lit(False)) & (F.col(f"floor_{t}") > 0)
+        s = s.withColumn(f"_f_{t}", F.when(active, F.col(f"floor_{t}")).otherwise(F.lit(0.0)))
     for k, typ in enumerate(TYPES):
-        s = s.withColumn(f"cap{k}", F.coalesce(F.element_at("type_caps", F.lit(typ)), F.lit(-1)))
+        s = s.withColumn(f"_t{k}", F.coalesce(F.element_at("type_caps", F.lit(typ)), F.lit(-1)))
     return s
 
 
-def _feasible(c: str = "c", s: str = "s") -> Column:
-    cond = (F.col(f"{c}.cost_c") <= F.col(f"{s}.budget_c")) & \
-           (F.col(f"{c}.type_mask").bitwiseAND(F.col(f"{s}.disabled_mask")) == 0)
+def _params(n: int) -> list[str]:
+    return (["_bud", *PROB.values(), *[f"_f_{t}" for t in THREATS], *[f"_t{k}" for k in range(len(TYPES))]]
+            + [f"_{x}{q}" for q in range(n) for x in ("c", "m")] + [f"_e_{t}_{q}" for q in range(n) for t in THREATS])
+
+
+def _total(terms: list[Column], zero) -> Column:
+    return functools.reduce(Column.__add__, terms) if terms else F.lit(zero)
+
+
+def _incumbent(s: DataFrame, items: list) -> DataFrame:
+    """``_low``: the score of a greedy plan (best score per cost first, whole units, type
+    caps kept), or -1 where that plan misses a floor.  The optimum is never below it."""
+    n, kinds = len(items), len(TYPES)
+    rows = F.array(*[F.struct((-F.col(f"_v{q}") / F.greatest(F.col(f"_c{q}"), F.lit(1))).alias("r"), F.lit(q).alias("q"),
+                              F.col(f"_c{q}").alias("c"), F.col(f"_m{q}").alias("m"), F.col(f"_v{q}").alias("v"),
+                              F.lit(TYPES.index(items[q]["type"])).alias("k"),
+                              F.array(*[F.col(f"_e_{t}_{q}") > 0 for t in THREATS]).alias("a")) for q in range(n)])
+    begin = F.struct(F.col("_bud").alias("left"), F.lit(0.0).alias("score"),
+                     F.array(*[F.when(F.col(f"_t{k}") < 0, F.lit(1 << 30)).otherwise(F.col(f"_t{k}")) for k in range(kinds)]).alias("caps"),
+                     F.array(*[F.lit(0).cast("bigint") for _ in THREATS]).alias("spent"))
+
+    def take(acc: Column, x: Column) -> Column:
+        u = F.least(x["m"].cast("bigint"), F.floor(acc["left"] / F.greatest(x["c"], F.lit(1))).cast("bigint"),
+                    F.element_at(acc["caps"], x["k"] + 1).cast("bigint"))
+        return F.struct((acc["left"] - u * x["c"]).alias("left"), (acc["score"] + u * x["v"]).alias("score"),
+                        F.transform(acc["caps"], lambda c, i: F.when(i == x["k"], c - u.cast("int")).otherwise(c)).alias("caps"),
+                        F.transform(acc["spent"], lambda c, i: c + F.when(F.element_at(x["a"], i + 1), u * x["c"])
+                                    .otherwise(F.lit(0).cast("bigint"))).alias("spent"))
+
+    g = s.withColumn("_g", F.aggregate(F.array_sort(rows), begin, take))
+    met = functools.reduce(Column.__and__, [F.element_at(F.col("_g.spent"), i + 1) / F.lit(100.0) >= F.col(f"_f_{t}")
+                                            for i, t in enumerate(THREATS)])
+    return g.withColumn("_low", F.when(met, F.col("_g.score") - F.lit(2e-9)).otherwise(F.lit(-1.0))).drop("_g")
+
+
+def _plans(distinct: DataFrame, items: list) -> DataFrame:
+    """All vectors that can still be the best plan of their what-if, item by item.
+
+    One generator per item.  After each, a vector goes on only if it is within
+    the budget and the type caps, can still reach every floor with the money
+    left, and its score plus a bound on what the rest can add (by their caps,
+    and by the money left at the best remaining score per cost) is not below
+    the greedy plan's."""
+    n = len(items)
+    s = distinct
+    for q in range(n):
+        s = s.withColumn(f"_v{q}", _total([F.col(PROB[t]) * F.col(f"_e_{t}_{q}") for t in THREATS], 0.0))
+    s = _incumbent(s, items)
+    s = s.withColumn("cost_c", F.lit(0).cast("bigint"))
     for t in THREATS:
-        cond = cond & (F.col(f"{c}.spend_{t}_c").cast("double") / F.lit(100.0) >= F.col(f"{s}.efloor_{t}"))
-    for k in range(len(TYPES)):
-        cond = cond & ((F.col(f"{s}.cap{k}") < 0) | (F.col(f"{c}.tu{k}") <= F.col(f"{s}.cap{k}")))
-    return cond
+        s = s.withColumn(f"lin_{t}", F.lit(0.0)).withColumn(f"spend_{t}_c", F.lit(0).cast("bigint"))
+    used: dict[int, list[int]] = {}
+    for q, it in enumerate(items):
+        k = TYPES.index(it["type"])
+        used.setdefault(k, []).append(q)
+        s = s.withColumn(f"u{q}", F.explode(F.sequence(F.lit(0), F.col(f"_m{q}"))))
+        u = F.col(f"u{q}")
+        spent = u.cast("bigint") * F.col(f"_c{q}")
+        s = s.withColumn("cost_c", F.col("cost_c") + spent)
+        for t in THREATS:
+            s = s.withColumn(f"lin_{t}", F.col(f"lin_{t}") + F.col(f"_e_{t}_{q}") * u.cast("double")) \
+                 .withColumn(f"spend_{t}_c", F.col(f"spend_{t}_c") + F.when(F.col(f"_e_{t}_{q}") > 0, spent).otherwise(F.lit(0)))
+        left, rest = F.col("_bud") - F.col("cost_c"), range(q + 1, n)
+        ok = (left >= 0) & ((F.col(f"_t{k}") < 0) | (_total([F.col(f"u{j}") for j in used[k]], 0) <= F.col(f"_t{k}")))
+        for t in THREATS:
+            more = F.least(left, _total([F.when(F.col(f"_e_{t}_{j}") > 0, F.col(f"_m{j}") * F.col(f"_c{j}")).otherwise(F.lit(0))
+                                         for j in rest], 0).cast("bigint"))
+            ok = ok & ((F.col(f"spend_{t}_c") + more).cast("double") / F.lit(100.0) >= F.col(f"_f_{t}"))
+        bound = F.lit(0.0)
+        if rest:
+            per_cent = [F.when(F.col(f"_m{j}") > 0, F.col(f"_v{j}") / F.greatest(F.col(f"_c{j}"), F.lit(1))).otherwise(F.lit(0.0))
+                        for j in rest]
+            best = F.greatest(*per_cent) if len(per_cent) > 1 else per_cent[0]
+            free = _total([F.when(F.col(f"_c{j}") <= 0, F.col(f"_m{j}") * F.col(f"_v{j}")).otherwise(F.lit(0.0)) for j in rest], 0.0)
+            bound = F.least(_total([F.col(f"_m{j}") * F.col(f"_v{j}") for j in rest], 0.0), left * best + free)
+        s = s.where(ok & (_linear() + bound >= F.col("_low")))
+    return s
+
 
+def _linear() -> Column:
+    return (F.col("p_fire") * F.col("lin_fire") + F.col("p_drought") * F.col("lin_drought")
+            + F.col("p_veg") * F.col("lin_vegetation"))
 
-def solve(scen: DataFrame, catalog: DataFrame, cands: DataFrame | None = None,
-          by_sample: bool = False) -> DataFrame:
+
+def solve(scen: DataFrame, catalog: DataFrame) -> DataFrame:
     """Exact plan per scenario (K3): one row per scenario with ``units`` array,
-    ``status``, ``linear_score`` and ``cost``.
+    ``status``, ``linear_score``.
 
     ``scen`` needs scenario_id, budget, p_fire, p_drought, p_veg and may have
-    floor_<threat>, disabled_types, type_caps and ``sample`` (K11)."""
+    floor_<threat>, disabled_types, type_caps and own catalog columns (K11).
+    A NULL probability or budget makes a scenario infeasible."""
     items = _catalog_items(catalog)
     n = len(items)
-    spark = scen.sparkSession
     sp = scenario_params(scen, items)
-    if "sample" not in sp.columns:
-        sp = sp.withColumn("sample", F.lit(0))
-    if cands is None:
-        total_cap = sum(it["cost"] * it["max_units"] for it in items)
-        max_b = sp.agg(F.max("budget")).scalar()
-        cands = candidates(catalog, F.least(max_b, F.lit(float(total_cap))))
-    ranked = rank_candidates(cands, n)
-    ranked = ranked.persist()
-    n_c = ranked.count()
-    m_bits = max(1, int(n_c).bit_length())
-    M = 1 << m_bits
-    if (1 << (63 - m_bits)) < 10 ** 11:
-        raise ValueError("too many candidates to pack the objective key")
-    params = ["sample", "budget_c", "disabled_mask", *[f"efloor_{t}" for t in THREATS],
-              *[f"cap{k}" for k in range(len(TYPES))], *PROB.values()]
-    # distinct what-ifs only; results are joined back to every scenario row
-    distinct = sp.select(*params).distinct().withColumn(
-        "pkey", F.xxhash64(*[F.col(c) for c in params]))
-    cside = ranked.select("sample", "cost_c", *[f"lin_{t}" for t in THREATS],
-                          *[f"spend_{t}_c" for t in THREATS], *[f"tu{k}" for k in range(len(TYPES))],
-                          "type_mask", "tb")
-    # cost bands: a what-if is replicated only over the bands at or below its
-    # budget (<= total cap cost / band rows), so the join becomes an equi-join
-    # on (sample, band) and each what-if only meets candidates it can afford
-    cside = cside.withColumn("band", F.floor(F.col("cost_c") / F.lit(BAND_CENTS)))
-    distinct = distinct.withColumn("band", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.floor(F.col("budget_c") / F.lit(BAND_CENTS)))))
-    blocks = 1
-    if n_c <= BROADCAST_MAX_CANDIDATES:
-        cside = F.broadcast(cside)  # bounded by the catalog: prod(cap+1) rows, counted above
-    else:
-        # too large to broadcast: also split candidates into blocks and replicate
-        # each (what-if, band) to every block -> equi-join on (sample, band, block)
-        blocks = -(-n_c // BLOCK_ROWS)
-        cside = cside.withColumn("blk", F.pmod(F.col("tb"), F.lit(blocks)))
-        distinct = distinct.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    score = (F.col("s.p_fire") * F.col("c.lin_fire") + F.col("s.p_drought") * F.col("c.lin_drought")
-             + F.col("s.p_veg") * F.col("c.lin_vegetation"))
-    key = (F.floor(score * F.lit(1e9) + F.lit(0.5)).cast("bigint") * F.lit(M)
-           + (F.lit(M) - F.col("c.tb")))
-    on = (F.col("s.sample") == F.col("c.sample")) & (F.col("s.band") == F.col("c.band")) & _feasible()
-    if blocks > 1:
-        on = on & (F.col("s.blk") == F.col("c.blk"))
-    j = distinct.alias("s").join(cside.alias("c"), on)
-    best = j.groupBy(F.col("s.pkey").alias("pkey")).agg(F.max(key).alias("best_key"))
-    distinct = distinct.where(F.col("band") == 0).drop("band")
-    if blocks > 1:
-        distinct = distinct.where(F.col("blk") == 0).drop("blk")
-    best = best.withColumn("tb", F.lit(M) - F.pmod(F.col("best_key"), F.lit(M)))
-    res = (distinct.join(best, "pkey", "left")
-                   .join(ranked.select("sample", "tb", "units", "cost_c", *[f"lin_{t}" for t in THREATS]),
-                         ["sample", "tb"], "left"))
+    params = _params(n)
+    # equal what-ifs are solved once; the generators need rows in many tasks, which
+    # adaptive coalescing would otherwise gather into one
+    tasks = int(scen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = sp.select(*params).distinct().repartition(max(tasks, 32), *params)
+    score9 = F.floor(_linear() * F.lit(1e9) + F.lit(0.5)).cast("bigint")
+    best = _plans(distinct, items).groupBy(*params).agg(F.max(F.struct(
+        score9.alias("s"), (-F.col("cost_c")).alias("c"), F.array(*[F.col(f"u{q}") for q in range(n)]).alias("units"),
+        _linear().alias("linear"))).alias("_b"))
+    match = functools.reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in params])
+    out = sp.alias("s").join(best.alias("b"), match, "left")
+    keep = [F.col(f"s.`{c}`") for c in sp.columns if c not in params or c in PROB.values()]
     zero = F.array(*[F.lit(0) for _ in range(n)])
-    lin = (F.col("p_fire") * F.col("lin_fire") + F.col("p_drought") * F.col("lin_drought")
-           + F.col("p_veg") * F.col("lin_vegetation"))
-    res = res.select(*params,
-                     F.when(F.col("best_key").isNull(), F.lit("Infeasible")).otherwise(F.lit("Optimal")).alias("status"),
-                     F.coalesce(F.col("units"), zero).alias("units"),
-                     F.coalesce(lin, F.lit(0.0)).alias("linear_score"))
-    out = sp.join(res, params, "left")
-    return out.drop("budget_c", "disabled_mask", *[f"cap{k}" for k in range(len(TYPES))],
-                    *[f"efloor_{t}" for t in THREATS])
+    return out.select(*keep, F.when(F.col("b._b").isNull(), F.lit("Infeasible")).otherwise(F.lit("Optimal")).alias("status"),
+                      F.coalesce(F.col("b._b.units"), zero).alias("units"),
+                      F.coalesce(F.col("b._b.linear"), F.lit(0.0)).alias("linear_score"))
 
 
 # ----------------------------------------------------------------- K4-K6
@@ -460,9 +427,8 @@ def sensitivity(scen: DataFrame, catalog: DataFrame, n_samples: int = 100, pct:
                 seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Perturbed-catalog re-solves per scenario.
 
-    Candidates are enumerated once per perturbed catalog (costs differ per
-    sample) and joined to the scenarios of that sample only, so work is
-    samples x scenarios x candidates-per-sample, spread over (sample, block).
+    Every (scenario, sample) is a what-if with its own catalog columns, joined
+    on the sample; work is spread over tasks by what-if.
     Each sample's plan is scored with the NOMINAL catalog (T10).
 
     Returns (per-sample plans with scores, per-scenario summary)."""
@@ -470,10 +436,8 @@ def sensitivity(scen: DataFrame, catalog: DataFrame, n_samples: int = 100, pct:
     items = _catalog_items(catalog)
     samples = spark.range(n_samples).select(F.col("id").cast("int").alias("sample"))
     pc = perturbed_catalogs(samples, catalog, pct, seed)
-    max_b = scen.agg(F.max("budget")).scalar()
-    cands = candidates(catalog, max_b, per=pc)
-    sx = scen.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    plans = solve(sx, catalog, cands=cands)
+    sx = scen.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))).join(pc, "sample")
+    plans = solve(sx, catalog).select(*scen.columns, "sample", "status", "units", "linear_score")
     scored = risk_reduction(plans, catalog)
     n = len(items)
     aggs = [F.avg("total_score").alias("score_mean"), F.stddev_pop("total_score").alias("score_std"),
@@ -518,7 +482,7 @@ def selection_classes(summary: DataFrame, catalog_ids: list[str], core: float =
 
 def recommendation_id(*cols: Column) -> Column:
     """Deterministic recommendation id from its defining values."""
-    return F.xxhash64(*cols)
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 
 
 def referential_violations(allocs: DataFrame, zones: DataFrame) -> DataFrame:

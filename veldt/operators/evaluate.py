@@ -122,8 +122,9 @@ def lead_time(long: DataFrame, entity: str = "entity", order: str = "day",
     hit = F.last(F.when(F.col("p") >= F.lit(thr), F.col("_i")), ignorenulls=True).over(w.rowsBetween(-window, -1))
     x = x.withColumn("_onset", onset).withColumn("_hit", hit)
     lead = F.when(F.col("_hit").isNotNull(), F.col("_i") - F.col("_hit")).otherwise(F.lit(0))
-    return (x.where("_onset").groupBy("threat")
-             .agg(F.avg(lead.cast("double")).alias("lead_time_days"), F.count(F.lit(1)).alias("n_onsets")))
+    # over all rows: a threat without an onset keeps its row (NULL lead, 0 onsets)
+    return x.groupBy("threat").agg(F.avg(F.when(F.col("_onset"), lead.cast("double"))).alias("lead_time_days"),
+                                   F.count_if("_onset").alias("n_onsets"))
 
 
 def persistence(long: DataFrame, entity: str = "entity", order: str = "day") -> DataFrame:
@@ -135,8 +136,11 @@ def persistence(long: DataFrame, entity: str = "entity", order: str = "day") ->
 
 
 def reliability(long: DataFrame, bins: int = 10) -> DataFrame:
-    """Uniform-bin reliability curve; empty bins absent."""
-    b = F.least(F.floor(F.col("p") * F.lit(bins)), F.lit(bins - 1)).cast("int")
+    """Uniform-bin reliability curve; a score on an edge belongs to the lower bin; empty bins absent."""
+    step = 1.0 / bins
+    b = F.lit(0)
+    for k in range(1, bins):
+        b = b + F.when(F.col("p") > F.lit(k * step), 1).otherwise(0)
     return long.groupBy("threat", b.alias("bin")).agg(
         F.avg("p").alias("mean_pred"), F.avg("y").alias("observed"), F.count(F.lit(1)).alias("n"))
 

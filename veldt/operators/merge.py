@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def first_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of rows that differ, the smallest by the other columns in order, NULLs
+    last (T3: the choice is explicit, so a retried task makes the same one)."""
+    rest = [c for c in df.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in rest]) if rest else None
+    if w is None:
+        return df.dropDuplicates(keys)
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose keys are not stored yet (S3/C9): left-anti join."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    return first_by(new, keys).join(existing.select(*keys), keys, "left_anti")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt import config as C
+
 
 def year_chunks(df: DataFrame, key: str = "entity", day: str = "day") -> DataFrame:
     """Inclusive (year-01-01, year-12-31) chunks spanning each key's days."""
@@ -75,16 +77,16 @@ def sequences(df: DataFrame, features: list[str], length: int = 30, key: str = "
 
 # ----------------------------------------------------------------- geometry
 
-def circle_ring(lon: Column, lat: Column, area_km2: Column, n: int = 48) -> Column:
-    """Equal-area circle polygon as a closed ring of n+1 [lon, lat] points (H12),
-    coordinates rounded to 5 decimals."""
-    r_km = F.sqrt(area_km2 / F.lit(math.pi))
-    dlat = r_km / F.lit(110.574)
-    dlon = r_km / (F.lit(111.320) * F.cos(F.radians(lat)))
-    pts = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(
-        F.round(lon + dlon * F.cos(F.lit(2 * math.pi) * i / F.lit(n)), 5),
-        F.round(lat + dlat * F.sin(F.lit(2 * math.pi) * i / F.lit(n)), 5)))
-    return pts
+def circle_ring(lon: Column, lat: Column, area_km2: Column, vertices: int = C.CIRCLE_VERTICES) -> Column:
+    """Closed ring of [lon, lat] points around a circle of the given area (H12), rounded to 5 decimals.
+
+    In degrees the circle is an ellipse: a kilometre is 1 / KM_PER_DEGREE_LAT
+    high and 1 / (KM_PER_DEGREE_LON * cos(lat)) wide."""
+    radius = F.sqrt(area_km2 / F.pi())
+    tall = radius / F.lit(C.KM_PER_DEGREE_LAT)
+    wide = radius / (F.lit(C.KM_PER_DEGREE_LON) * F.cos(F.radians(lat)))
+    turn = F.transform(F.sequence(F.lit(0), F.lit(vertices)), lambda i: F.lit(2 * math.pi) * i / F.lit(vertices))
+    return F.transform(turn, lambda a: F.array(F.round(lon + wide * F.cos(a), 5), F.round(lat + tall * F.sin(a), 5)))
 
 
 def ring_centroid(df: DataFrame, ring: str = "ring", key: str = "entity") -> DataFrame:

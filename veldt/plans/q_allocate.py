@@ -332,7 +332,7 @@ ZONES_SQL = """zones AS (
     FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment))"""
 
 _LINES_SQL = "lines AS (" + " UNION ALL ".join(
-    f"SELECT scenario_id, entity, {i} AS pos, u{i} AS units FROM plan WHERE family = 'urgent' AND u{i} > 0"
+    f"SELECT scenario_id, entity, {i} AS pos, u{i} AS units FROM plan WHERE u{i} > 0"
     for i in range(SA.N)) + ")"
 
 _SPLIT_SQL = """zsplit AS (
@@ -353,7 +353,7 @@ _ZONE_CTES = plan_ctes() + ",\n" + ZONES_SQL + ",\n" + _LINES_SQL + ",\n" + _SPL
 
 def _zone_split(spark, sf):
     plans, cat = plans_for(spark, sf)
-    lines = (A.explode_plan(plans.where("family = 'urgent'"), cat, keep=("scenario_id", "entity"))
+    lines = (A.explode_plan(plans, cat, keep=("scenario_id", "entity"))
              .where(F.col("units_n") > 0).select("scenario_id", "entity", "pos", F.col("units_n").alias("units")))
     return A.distribute_units(lines, zones(spark, sf), keys=("scenario_id",)), cat
 
@@ -395,21 +395,22 @@ def d19_zone_shading(spark, sf):
 
 
 @query("c17_referential_check", sql=with_base("""
-SELECT count(*) AS n_lines, count(*) FILTER (WHERE zone_id NOT IN (SELECT zone_id FROM zones z
-                                                       WHERE z.entity = zs.entity)) AS n_violations
-FROM zsplit zs""", extra=_ZONE_CTES))
+SELECT entity, count(*) AS n_violations, sum(zone_units)::BIGINT AS units FROM (
+  SELECT entity, zone_units, CASE WHEN zone_units >= 3 THEN 'ELSEWHERE:' || zone_id ELSE zone_id END AS zone_id FROM zsplit) zs
+WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.entity = zs.entity AND z.zone_id = zs.zone_id) GROUP BY entity""", extra=_ZONE_CTES))
 def c17_referential_check(spark, sf):
-    """Every allocation zone must belong to its entity: left-anti join count (C17)."""
+    """Allocation lines whose zone is not one of the entity's (C17); lines of three units or more are sent elsewhere first."""
     z, _ = _zone_split(spark, sf)
-    known = zones(spark, sf).select("entity", "zone_id", F.lit(True).alias("_known"))
-    j = z.join(known, ["entity", "zone_id"], "left")
-    return j.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("_known").isNull()).alias("n_violations"))
+    moved = z.withColumn("zone_id", F.when(F.col("zone_units") >= 3, F.concat(F.lit("ELSEWHERE:"), F.col("zone_id")))
+                         .otherwise(F.col("zone_id")))
+    return A.referential_violations(moved, zones(spark, sf)).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_violations"), F.sum("zone_units").alias("units"))
 
 
 # ------------------------------------------------------------------ K14 / K15 / S8
 
-def _urgent_plans(spark, sf):
-    plans, cat = plans_for(spark, sf, [f for f in FAMILIES if f[0] in ("urgent", "strict")])
+def _scored_plans(spark, sf):
+    plans, cat = plans_for(spark, sf)
     return A.risk_reduction(plans, cat), cat
 
 
@@ -420,7 +421,7 @@ def _tier_sql(p):
     return f"(CASE WHEN {p} >= 0.85 THEN 'critical' WHEN {p} >= 0.70 THEN 'high' WHEN {p} >= 0.50 THEN 'moderate' ELSE 'low' END)"
 
 
-_RAT_CTES = plan_ctes([f for f in FAMILIES if f[0] in ("urgent", "strict")]) + f""",
+_RAT_CTES = plan_ctes() + f""",
 rp AS (SELECT *, {SA.risk_sql()} FROM plan),
 prof AS (
   SELECT scenario_id, string_agg(lbl || ' ' || CAST(CAST(floor(p * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% ('
@@ -455,7 +456,7 @@ SELECT rp.scenario_id,
 FROM rp JOIN prof USING (scenario_id) LEFT JOIN fl USING (scenario_id)""", extra=_RAT_CTES))
 def k14_rationale(spark, sf):
     """Plain-language risk profile, floor note and budget-use note per plan."""
-    rr, cat = _urgent_plans(spark, sf)
+    rr, cat = _scored_plans(spark, sf)
     return A.rationale(rr, cat).select("scenario_id", "summary", "floor_note", "budget_note")
 
 
@@ -475,7 +476,7 @@ WHERE r = 1""", extra=_RAT_CTES + ",\nlines2 AS (" + " UNION ALL ".join(
     + ") c(pos, id, ef, ed, ev))"))
 def k14_item_reasons(spark, sf):
     """Per selected intervention: the threat it most reduces and its per-unit effect."""
-    rr, cat = _urgent_plans(spark, sf)
+    rr, cat = _scored_plans(spark, sf)
     return A.item_reasons(A.allocation_items(rr, cat), rr, cat).select("scenario_id", "id", "reason")
 
 
@@ -500,8 +501,8 @@ JOIN (SELECT scenario_id, """ + SA.risk_sql() + " FROM (" + _baseline_sql("patro
     extra=_RAT_CTES))
 def k15_full_response(spark, sf):
     """Whole recommendation per scenario: plan, floors, before/after, baselines."""
-    rr, cat = _urgent_plans(spark, sf)
-    scen = scenario_grid(spark, sf, [f for f in FAMILIES if f[0] in ("urgent", "strict")])
+    rr, cat = _scored_plans(spark, sf)
+    scen = scenario_grid(spark, sf)
     ev, pa = _even_patrol(spark, sf, scen, cat)
     out = rr.select("scenario_id", "entity", "status", _units_str().alias("plan"), "total_cost", "total_score",
                     "floor_fire", "floor_drought", "floor_vegetation",
@@ -517,7 +518,7 @@ SELECT count(*) AS n_headers, count(DISTINCT scenario_id) AS n_distinct, sum(tot
 FROM rp""", extra=_RAT_CTES))
 def s08_recommendation_rows(spark, sf):
     """Recommendation headers with deterministic ids and DECIMAL(12,2) money."""
-    rr, _ = _urgent_plans(spark, sf)
+    rr, _ = _scored_plans(spark, sf)
     hdr = rr.select(A.recommendation_id(F.col("entity"), F.col("day"), F.col("budget"), F.col("scenario_id"))
                     .alias("recommendation_id"), "scenario_id",
                     F.col("budget").cast("decimal(12,2)").alias("budget"),

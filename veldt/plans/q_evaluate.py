@@ -55,13 +55,13 @@ PERSIST_SQL = """pers AS (
   FROM ev QUALIFY lag(y, 1) OVER (PARTITION BY entity, threat ORDER BY day) IS NOT NULL)"""
 
 LEAD_SQL = """lt AS (
-  SELECT threat, avg(CAST(CASE WHEN hit IS NULL THEN 0 ELSE i - hit END AS DOUBLE)) AS lead_time_days,
-    count(*) AS n_onsets
+  SELECT threat, avg(CAST(CASE WHEN hit IS NULL THEN 0 ELSE i - hit END AS DOUBLE)) FILTER (onset) AS lead_time_days,
+    count(*) FILTER (onset) AS n_onsets
   FROM (SELECT *, y = 1 AND coalesce(lag(y, 1) OVER (PARTITION BY entity, threat ORDER BY day), 0) = 0 AS onset,
           max(CASE WHEN p >= 0.7 THEN i END) OVER (PARTITION BY entity, threat ORDER BY day
                                                    ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS hit
         FROM (SELECT *, row_number() OVER (PARTITION BY entity, threat ORDER BY day) AS i FROM ev))
-  WHERE onset GROUP BY threat)"""
+  GROUP BY threat)"""
 
 
 @query("j12_confusion", sql=with_base(f"SELECT threat, n, tp, fp, fn, tn FROM {confusion_sql()}"))
@@ -172,9 +172,12 @@ def j20_mean_f2(spark, sf):
     return EV.metrics(_long(spark, sf)).agg(F.avg("f2").alias("mean_f2"), F.count(F.lit(1)).alias("n_threats"))
 
 
-@query("j21_reliability", sql=with_base("""
-SELECT threat, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, avg(p) AS mean_pred, avg(y) AS observed,
-  count(*) AS n FROM ev GROUP BY threat, least(floor(p * 10), 9)"""))
+_BIN_SQL = "(" + " + ".join(f"CAST(p > {k * 0.1!r}::DOUBLE AS INTEGER)" for k in range(1, 10)) + ")"
+
+
+@query("j21_reliability", sql=with_base(f"""
+SELECT threat, {_BIN_SQL} AS bin, avg(p) AS mean_pred, avg(y) AS observed,
+  count(*) AS n FROM ev GROUP BY threat, {_BIN_SQL}"""))
 def j21_reliability(spark, sf):
     """10-bin reliability curve per threat, empty bins dropped."""
     return EV.reliability(_long(spark, sf))

@@ -59,44 +59,61 @@ def _users(spark, sf):
     s = tables.read(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
     n = tables.read(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
     u = s.join(n, s.s_nationkey == n.n_nationkey)
-    w = Window.partitionBy("n_regionkey").orderBy(F.col("s_acctbal").desc(), F.col("s_suppkey"))
-    return u.select(F.col("s_suppkey").alias("user_id"), F.col("n_name").alias("entity"),
-                    F.when(F.row_number().over(w) == 1, "admin").otherwise("manager").alias("role"))
+    # one row per region, aggregated map-side, instead of a window over all users
+    top = u.groupBy("n_regionkey").agg(F.min(F.struct((-F.col("s_acctbal")).alias("b"), F.col("s_suppkey").alias("k"))).alias("t")) \
+           .select(F.col("t.k").alias("admin_key"))
+    return u.join(top, u["s_suppkey"] == top["admin_key"], "left").select(
+        F.col("s_suppkey").alias("user_id"), F.col("n_name").alias("entity"),
+        F.when(F.col("admin_key").isNotNull(), "admin").otherwise("manager").alias("role"))
 
 
 @query("b13_row_scope", sql=with_base("""
-SELECT u.user_id, count(*) AS visible_rows FROM (
+SELECT u.user_id, u.role, sum(CASE WHEN u.role = 'admin' OR f.entity = u.entity THEN f.n ELSE 0 END)::BIGINT AS visible_rows FROM (
   SELECT s_suppkey AS user_id, n_name AS entity,
     CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC, s_suppkey) = 1
          THEN 'admin' ELSE 'manager' END AS role
   FROM supplier JOIN nation ON s_nationkey = n_nationkey) u
-JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS r FROM fc) WHERE r <= 30) f
-  ON f.entity = u.entity
-WHERE u.role <> 'admin' GROUP BY u.user_id"""))
+CROSS JOIN (SELECT entity, count(*) AS n FROM fc GROUP BY entity) f GROUP BY u.user_id, u.role"""))
 def b13_row_scope(spark, sf):
-    """Forecast rows (last 30 per entity) visible to each manager: own entity only."""
-    rows = R.recent_n(panels.forecasts(spark, sf), 30).select("entity", "day", *C.PROB_COLS)
-    return RL.row_scope(rows, _users(spark, sf)).groupBy("user_id").agg(F.count(F.lit(1)).alias("visible_rows"))
+    """Forecast rows visible to each user: managers see their own entity, admins every one.
+
+    A manager's scope is the equi-join :func:`relational.row_scope`; an admin's
+    is the whole table, so it is counted once and not joined row by row."""
+    fc, users = panels.forecasts(spark, sf).select("entity", "day"), _users(spark, sf)
+    per = fc.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    every = fc.agg(F.count(F.lit(1)).alias("total"))
+    mine = RL.row_scope(per, users).groupBy("user_id").agg(F.sum("n").alias("visible_rows"))
+    managers = users.where("role = 'manager'").join(mine, "user_id", "left").select(
+        "user_id", "role", F.coalesce("visible_rows", F.lit(0)).alias("visible_rows"))
+    admins = users.where("role = 'admin'").withColumn("k", F.lit(1)).join(every.withColumn("k", F.lit(1)), "k").select(
+        "user_id", "role", F.col("total").alias("visible_rows"))
+    return managers.unionByName(admins)
 
 
 @query("b14_known_entities", sql=with_base("""
 SELECT entity, count(*) AS n_rows FROM (
-  SELECT n_name AS entity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  SELECT CASE WHEN l_suppkey % 7 = 0 THEN lower(n_name) || '?' ELSE n_name END AS entity
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   WHERE l_returnflag <> 'N') x WHERE entity IN (SELECT entity FROM ents) GROUP BY entity""", upto="panel"))
 def b14_known_entities(spark, sf):
-    """Incoming rows kept only for known entities (left-semi to the dimension)."""
-    px = PX.pixel_table(spark, sf).where("source_rank = 1")
+    """Incoming rows kept only for known entities (left-semi to the dimension).
+
+    Every seventh supplier reports under a misspelt name, which must be rejected."""
     from veldt.sources import panel as P
+    li = tables.read(spark, sf, "lineitem", "l_suppkey", "l_returnflag").where("l_returnflag <> 'N'")
+    s, n = tables.read(spark, sf, "supplier", "s_suppkey", "s_nationkey"), tables.read(spark, sf, "nation", "n_nationkey", "n_name")
+    px = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.when(F.col("l_suppkey") % 7 == 0, F.concat(F.lower("n_name"), F.lit("?"))).otherwise(F.col("n_name")).alias("entity"))
     return RL.known_only(px, P.entities(spark, sf)).groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 _FEEDS_SQL = """
 fa AS (SELECT n_name AS entity, CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-       WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY ALL),
+       GROUP BY ALL),
 fb AS (SELECT n_name AS entity, CAST(l_shipdate AS DATE) AS day, count(*) AS n_lines
        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-       WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY ALL)"""
+       GROUP BY ALL)"""
 
 
 @query("c01_full_outer_feeds", sql=with_base(
@@ -104,27 +121,25 @@ fb AS (SELECT n_name AS entity, CAST(l_shipdate AS DATE) AS day, count(*) AS n_l
     upto="panel", extra=_FEEDS_SQL))
 def c01_full_outer_feeds(spark, sf):
     """Two daily feeds full-outer-joined on (entity, day)."""
-    o = tables.read(spark, sf, "orders", "o_custkey", "o_orderdate").where(
-        F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp"))
+    o = tables.read(spark, sf, "orders", "o_custkey", "o_orderdate")
     c = tables.read(spark, sf, "customer", "c_custkey", "c_nationkey")
     n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
     fa = (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
            .groupBy(F.col("n_name").alias("entity"), F.to_date("o_orderdate").alias("day"))
            .agg(F.count(F.lit(1)).alias("n_orders")))
-    px = PX.pixel_table(spark, sf).where(F.col("day") >= F.lit("2001-01-01").cast("date"))
+    px = PX.pixel_table(spark, sf)
     fb = px.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n_lines"))
     return RL.full_outer_feeds(fa, fb, ["entity", "day"])
 
 
 @query("c09_insert_if_absent", sql=with_base("""
-SELECT entity, count(*) AS n_new, min(day) AS first_new FROM (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS r FROM fc) WHERE r <= 60) n
+SELECT entity, count(*) AS n_new, min(day) AS first_new FROM fc n
 WHERE NOT EXISTS (SELECT 1 FROM fc e WHERE e.entity = n.entity AND e.day = n.day AND e.day <= DATE '2001-06-30')
 GROUP BY entity"""))
 def c09_insert_if_absent(spark, sf):
-    """Rows of the last 60 days not already stored (store = days <= 2001-06-30): left-anti."""
+    """All forecast rows not already stored (store = days <= 2001-06-30): left-anti."""
     fc = panels.forecasts(spark, sf)
-    new = R.recent_n(fc, 60).select("entity", "day")
+    new = fc.select("entity", "day")
     existing = fc.where(F.col("day") <= F.lit("2001-06-30").cast("date")).select("entity", "day")
     ins = new.join(existing, ["entity", "day"], "left_anti")
     return ins.groupBy("entity").agg(F.count(F.lit(1)).alias("n_new"), F.min("day").alias("first_new"))
@@ -242,11 +257,11 @@ SELECT entity, day, avg(img) AS ndvi_s2, count(*) AS n_images FROM (
       (l_extendedprice - l_extendedprice * (l_discount + l_tax)) / (l_extendedprice + l_extendedprice * (l_discount + l_tax))
       END) AS img
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE (l_linenumber & 3072) = 0 AND l_discount * 1000.0 < 80.0
+  WHERE (l_linenumber & 3) = 0 AND l_discount * 1000.0 < 80.0
   GROUP BY ALL) GROUP BY entity, day""", upto="panel"))
 def d01_d02_pixel_zonal(spark, sf):
     """Cloud-filtered scenes, QA-masked NDVI, per-image mean then daily mean of images."""
-    return PX.daily_ndvi(PX.scene_filter(PX.pixel_table(spark, sf)))
+    return PX.daily_ndvi(PX.scene_filter(PX.pixel_table(spark, sf)), qa_bits=(0, 1))
 
 
 @query("a08_fire_zonal_dedup", sql=with_base("""
@@ -295,11 +310,11 @@ def e18_centered_mean(spark, sf):
 @query("g04_missing_entities", sql=with_base("""
 SELECT n_name AS entity FROM nation EXCEPT ALL SELECT DISTINCT entity FROM (
   SELECT n_name AS entity FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000)""", upto="panel"))
+  WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 480000)""", upto="panel"))
 def g04_missing_entities(spark, sf):
     """Expected entities with no high-value urgent orders: distinct + exceptAll."""
     o = tables.read(spark, sf, "orders", "o_custkey", "o_orderpriority", "o_totalprice").where(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 450000))
+        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 480000))
     c = tables.read(spark, sf, "customer", "c_custkey", "c_nationkey")
     n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
     found = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -349,17 +364,20 @@ def h03_log_loss(spark, sf):
 
 
 @query("h08_h09_text_currency", sql=with_base("""
-SELECT entity, upper(substr(family, 1, 1)) || substr(family, 2) AS family_title,
-  CAST(floor(coalesce(total_cost, 0.0) * 1600.0 + 0.5) AS BIGINT) AS cost_local FROM k15""",
-    extra="k15 AS (SELECT entity, 'urgent_plan' AS family, 9000.0 + entity_id * 17.5 AS total_cost FROM ents)",
-    upto="panel"))
+SELECT entity, list_aggregate(list_transform(string_split(label, '_'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title,
+  CAST(floor(usd * 1600.0 + 0.5) AS BIGINT) AS cost_local FROM (
+  SELECT n_name AS entity, unnest(['fire_within_30d', 'drought_within_30d', 'vegetation_within_30d']) AS label,
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS usd
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)""", upto="panel"))
 def h08_h09_text_currency(spark, sf):
-    """snake_case -> Title text and fixed-rate currency conversion, half up (H8, H9)."""
-    from veldt.sources import panel as P
-    e = P.entities(spark, sf).select("entity", F.lit("urgent_plan").alias("family"),
-                                     (F.lit(9000.0) + F.col("entity_id") * F.lit(17.5)).alias("total_cost"))
-    return e.select("entity", F.concat(F.upper(F.substring("family", 1, 1)), F.substring("family", 2, 1000))
-                    .alias("family_title"), S.usd_to_local(F.col("total_cost")).alias("cost_local"))
+    """snake_case -> Title Case of the label names and fixed-rate currency conversion, half up, of order totals (H8, H9)."""
+    o, c = tables.read(spark, sf, "orders", "o_custkey", "o_totalprice"), tables.read(spark, sf, "customer", "c_custkey", "c_nationkey")
+    n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
+    usd = (o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+           .groupBy(F.col("n_name").alias("entity"))
+           .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("double") / 100.0).alias("usd")))
+    x = usd.select("entity", "usd", F.explode(F.array(*[F.lit(v) for v in C.LABEL_COLS])).alias("label"))
+    return x.select("entity", S.snake_to_title(F.col("label")).alias("title"), S.usd_to_local(F.col("usd")).alias("cost_local"))
 
 
 @query("h16_json_field", sql="""

@@ -11,9 +11,23 @@ from veldt.plans.registry import query
 from veldt.plans.sql_base import with_base
 
 RAW_COLS = ["precipitation", "temp_max", "ndvi", "firms_count", "firms_frp_mean"]
-STAT_COLS = ["rain_30d", "temp_max_30d", "ndvi", "fire_90d"]
-BOX_COLS = ["rain_30d", "temp_max_30d", "ndvi_deviation"]
-CORR_COLS = [c for c in C.FEATURE_COLS if c not in ("park_id", "ecosystem_id")]
+MONTH_COLS = ["rain_30d", "temp_max_30d", "ndvi", "fire_30d"]
+SUMMARY_COLS = ["rain_7d", "rain_30d", "rain_deficit_30d", "temp_max_7d", "hot_days_30d", "ndvi", "ndvi_deviation",
+                "fire_30d", "days_since_fire"]
+BOX_COLS = ["rain_7d", "rain_30d", "rain_deficit_30d", "temp_max_7d", "temp_max_30d", "hot_days_30d",
+            "ndvi", "ndvi_30d_lag", "ndvi_change_30d", "ndvi_90d_avg", "ndvi_deviation"]
+FEATURES = [c for c in C.FEATURE_COLS if c not in ("park_id", "ecosystem_id")]
+CONTINUOUS = [c for c in FEATURES if c not in ("doy_sin", "doy_cos", "dry_season")]
+CLEAN_SQL = "ndvi_missing = 0"
+CLEAN_TRAIN_SQL = "split = 'train' AND ndvi_missing = 0"
+
+
+def _clean(spark, sf):
+    return panels.featured(spark, sf).where("ndvi_missing = 0")
+
+
+def _clean_train(spark, sf):
+    return _clean(spark, sf).where("split = 'train'")
 
 
 def _xmean(c: str) -> str:
@@ -84,11 +98,11 @@ def d11_monthly_seasonality(spark, sf):
 
 @query("d12_month_entity_stats", sql=with_base(
     "SELECT entity, CAST(month(day) AS INTEGER) AS month, "
-    + ", ".join(f"{_xmean(c)} AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in STAT_COLS)
-    + " FROM featured GROUP BY entity, month(day)", upto="featured"))
+    + ", ".join(f"{_xmean(c)} AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in MONTH_COLS)
+    + f" FROM featured WHERE {CLEAN_SQL} GROUP BY entity, month(day)", upto="featured"))
 def d12_month_entity_stats(spark, sf):
     """Exact fixed-point mean and sample std per entity x month."""
-    return Q.month_entity_stats(panels.featured(spark, sf), STAT_COLS)
+    return Q.month_entity_stats(_clean(spark, sf), MONTH_COLS)
 
 
 @query("d13_weekly_resample", sql=with_base("""
@@ -103,11 +117,11 @@ def d13_weekly_resample(spark, sf):
 @query("d14_ecosystem_summary", sql=with_base(
     "SELECT ecosystem, count(*) AS n_rows, "
     + ", ".join(f"coalesce(printf('%.2f', {_xmean(c)}), 'nan') || ' ± ' || coalesce(printf('%.2f', stddev_samp({c})), "
-                f"'nan') AS {c}" for c in STAT_COLS)
+                f"'nan') AS {c}" for c in SUMMARY_COLS)
     + " FROM featured WHERE split = 'train' AND ndvi_missing = 0 GROUP BY ecosystem", upto="featured"))
 def d14_ecosystem_summary(spark, sf):
     """'mean ± std' text per ecosystem on clean train rows."""
-    return Q.ecosystem_summary(panels.featured(spark, sf), STAT_COLS)
+    return Q.ecosystem_summary(panels.featured(spark, sf), SUMMARY_COLS)
 
 
 @query("d15_box_stats", sql=with_base("""
@@ -119,18 +133,18 @@ FROM (SELECT l.*, qq.q FROM lng l JOIN (
         SELECT entity, feature, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM lng GROUP BY entity, feature) qq
       USING (entity, feature))
 GROUP BY entity, feature, q""", upto="featured", extra=(
-    "lng AS (SELECT * FROM (UNPIVOT (SELECT entity, " + ", ".join(BOX_COLS) + " FROM featured) ON "
+    "lng AS (SELECT * FROM (UNPIVOT (SELECT entity, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in BOX_COLS) + f" FROM featured WHERE {CLEAN_SQL}) ON "
     + ", ".join(BOX_COLS) + " INTO NAME feature VALUE value) WHERE value IS NOT NULL)")))
 def d15_box_stats(spark, sf):
     """Quartiles and 1.5 IQR whiskers per entity x feature."""
-    return Q.box_stats(panels.featured(spark, sf), BOX_COLS)
+    return Q.box_stats(_clean(spark, sf), BOX_COLS)
 
 
 _PB_PAIRS = " UNION ALL ".join(
     f"SELECT '{lab}' AS label, '{c}' AS feature, "
     f"{_corr(c, f'CAST({lab} AS DOUBLE)', f'{c} IS NOT NULL AND {lab} IS NOT NULL')} AS r0, "
     f"count(*) FILTER (WHERE {c} IS NOT NULL AND {lab} IS NOT NULL)"
-    f" AS n FROM featured" for lab in C.LABEL_COLS for c in CORR_COLS)
+    f" AS n FROM featured WHERE {CLEAN_TRAIN_SQL}" for lab in C.LABEL_COLS for c in FEATURES)
 
 
 @query("d16_point_biserial", sql=with_base("""
@@ -145,17 +159,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(r) DESC NULLS
 WHERE rank <= 5""", upto="featured"))
 def d16_point_biserial(spark, sf):
     """Feature-label correlation, t and normal-approx p; top 5 per label by |r|."""
-    return Q.point_biserial(panels.featured(spark, sf), CORR_COLS).select(
+    return Q.point_biserial(_clean_train(spark, sf), FEATURES).select(
         "label", "feature", "n", "r", "t", "p_value", "rank")
 
 
 @query("d17_correlation_pairs", sql=with_base("SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_corr(a, b, f'{a} IS NOT NULL AND {b} IS NOT NULL')}"
-    f" AS r FROM featured" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])
+    f" AS r FROM featured WHERE {CLEAN_TRAIN_SQL}" for i, a in enumerate(CONTINUOUS) for b in CONTINUOUS[i + 1:])
     + ") WHERE abs(r) > 0.8", upto="featured"))
 def d17_correlation_pairs(spark, sf):
     """Feature pairs with |Pearson r| > 0.8, pairwise-complete, one pass."""
-    return Q.correlation_pairs(panels.featured(spark, sf), CORR_COLS)
+    return Q.correlation_pairs(_clean_train(spark, sf), CONTINUOUS)
 
 
 @query("d18_source_coverage", sql=with_base("""

@@ -79,15 +79,10 @@ def a06_detection_payloads(spark, sf):
                                    F.array_repeat(F.lit("9.1,8.2,n"), F.col("firms_count"))))
     (prods.select("entity", "day", "product", F.explode(body).alias("value"))
           .write.partitionBy("entity", "day", "product").text(base))
-    t = spark.read.text(f"{base}/*/*/*/*.txt").withColumn("p", F.col("_metadata.file_path"))
-    t = t.select(F.regexp_extract("p", r"entity=([^/]+)", 1).alias("entity"),
-                 F.to_date(F.regexp_extract("p", r"day=([^/]+)", 1)).alias("day"),
-                 F.regexp_extract("p", r"product=([^/]+)", 1).alias("product"), "value",
-                 F.monotonically_increasing_id().alias("_i"))
-    g = t.groupBy("entity", "day", "product").agg(F.min_by("value", "_i").alias("first_line"),
-                                                  F.count(F.lit(1)).alias("n_lines"))
-    counts = g.select("entity", "day", "product",
-                      F.when(F.lower("first_line").startswith("latitude"), F.col("n_lines") - 1).alias("count"))
+    t = spark.read.text(f"{base}/*/*/*/*.txt", wholetext=True).withColumn("p", F.col("_metadata.file_path"))
+    counts = t.select(F.regexp_extract("p", r"entity=([^/]+)", 1).alias("entity"),
+                      F.to_date(F.regexp_extract("p", r"day=([^/]+)", 1)).alias("day"),
+                      F.regexp_extract("p", r"product=([^/]+)", 1).alias("product"), FS.payload_count(F.col("value")).alias("count"))
     return FS.first_serving_product(counts)
 
 

@@ -52,18 +52,21 @@ _GAP = ("2001-03-01", "2001-03-31")
 
 
 @query("i05_gap_repair", sql=serve_sql(
-    "SELECT entity, day, " + ", ".join(C.FEATURE_COLS) + f" FROM serve WHERE day BETWEEN DATE '{_GAP[0]}' "
-    f"AND DATE '{_GAP[1]}'"))
+    "SELECT entity, day, " + ", ".join(C.FEATURE_COLS) + f", CASE WHEN day BETWEEN DATE '{_GAP[0]}' "
+    f"AND DATE '{_GAP[1]}' THEN 1 ELSE 0 END AS version FROM serve"))
 def i05_gap_repair(spark, sf):
-    """Recompute one date range from [start-90, end] history in ONE batch, upsert over the stored rows."""
+    """Recompute one date range from [start-90, end] history in ONE batch, upsert over the stale stored rows (I5, S4);
+    the whole table comes back."""
     p = panels.raw_panel(spark, sf)
     lo, hi = F.lit(_GAP[0]).cast("date"), F.lit(_GAP[1]).cast("date")
-    stored = SV.serve_vector(SV.serve_features(p)).where(~F.col("day").between(lo, hi)).withColumn("version", F.lit(0))
+    stored = SV.serve_vector(SV.serve_features(p)).withColumn("version", F.lit(0))
+    for c in ("rain_30d", "fire_90d"):  # stale values inside the range, which the repair must overwrite
+        stored = stored.withColumn(c, F.when(F.col("day").between(lo, hi), F.lit(-1.0)).otherwise(F.col(c)))
     hist = p.where(F.col("day").between(F.date_sub(lo, C.SERVE_HISTORY_DAYS), hi))
     repaired = SV.serve_vector(SV.serve_features(hist)).where(F.col("day").between(lo, hi)).withColumn("version", F.lit(1))
     merged = M.upsert(stored.select("entity", "day", *C.FEATURE_COLS, "version"),
                       repaired.select("entity", "day", *C.FEATURE_COLS, "version"), ["entity", "day"], "version")
-    return merged.where(F.col("day").between(lo, hi)).drop("version")
+    return merged
 
 
 @query("i07_backfill", sql=with_base("""
@@ -99,13 +102,13 @@ def s04_upsert(spark, sf):
 
 @query("s05_update_only", sql=with_base("""
 SELECT e.entity, avg(coalesce(n.veg_prob, e.veg_prob)) AS avg_veg, count(*) AS n_rows,
-  count(n.veg_prob) AS n_updated FROM (SELECT * FROM fc WHERE day >= DATE '2001-05-01') e
+  count(n.veg_prob) AS n_updated FROM fc e
 LEFT JOIN (SELECT entity, day, veg_prob * 0.5 AS veg_prob FROM fc WHERE day >= DATE '2001-07-01' AND day(day) <= 15) n
   ON e.entity = n.entity AND e.day = n.day GROUP BY e.entity"""))
 def s05_update_only(spark, sf):
     """Re-predict: matched rows take new values, others keep theirs, new-only rows ignored."""
     fc = panels.forecasts(spark, sf).select("entity", "day", "veg_prob")
-    existing = fc.where(F.col("day") >= F.lit("2001-05-01").cast("date"))
+    existing = fc
     new = (fc.where((F.col("day") >= F.lit("2001-07-01").cast("date")) & (F.dayofmonth("day") <= 15))
              .withColumn("veg_prob", F.col("veg_prob") * F.lit(0.5)))
     marked = new.withColumn("_m", F.lit(1))

@@ -6,7 +6,7 @@ name from ``_metadata`` where the entity or version is encoded in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,14 +86,16 @@ def write_map_json(df: DataFrame, path: str, variables: list[str], key: str = "e
 def count_detections(spark: SparkSession, glob: str) -> DataFrame:
     """Per (entity, day, product) text file: NULL when not a CSV (first line does
     not start with 'latitude'), else the number of data lines (A6)."""
-    t = spark.read.text(glob).withColumn("f", F.col("_metadata.file_name"))
+    t = spark.read.text(glob, wholetext=True).withColumn("f", F.col("_metadata.file_name"))
     parts = F.split(F.regexp_replace("f", r"\.txt$", ""), "__")
-    t = t.select(parts[0].alias("entity"), F.to_date(parts[1]).alias("day"), parts[2].alias("product"), "value",
-                 F.monotonically_increasing_id().alias("_i"))
-    g = t.groupBy("entity", "day", "product").agg(
-        F.min_by("value", "_i").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
-    ok = F.lower(F.col("first_line")).startswith("latitude")
-    return g.select("entity", "day", "product", F.when(ok, F.col("n_lines") - 1).alias("count"))
+    return t.select(parts[0].alias("entity"), F.to_date(parts[1]).alias("day"), parts[2].alias("product"),
+                    payload_count(F.col("value")).alias("count"))
+
+
+def payload_count(text: Column) -> Column:
+    """Data lines of a payload that begins with 'latitude', else NULL."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda v: F.length(F.trim(v)) > 0)
+    return F.when(F.lower(F.element_at(lines, 1)).startswith("latitude"), (F.size(lines) - 1).cast("bigint"))
 
 
 def first_serving_product(counts: DataFrame, order=("nrt", "sp")) -> DataFrame:

@@ -47,10 +47,10 @@ def land(panel: DataFrame, path: str, files: int = 16) -> None:
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - table not created yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)  # not written yet; any other error of a read is raised
 
 
 def daily_feature_stream(spark: SparkSession, landing: str, base: str, max_files: int = 2,
@@ -60,7 +60,7 @@ def daily_feature_stream(spark: SparkSession, landing: str, base: str, max_files
     keys = ["entity", "day"]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(keys)
+        batch = M.first_by(batch, keys)
         if batch.isEmpty():
             return
         existing = _read_or_empty(spark, store, MEASURE_SCHEMA)
