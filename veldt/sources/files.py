@@ -95,7 +95,7 @@ def count_detections(spark: SparkSession, glob: str) -> DataFrame:
 def payload_count(text: Column) -> Column:
     """Data lines of a payload that begins with 'latitude', else NULL."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda v: F.length(F.trim(v)) > 0)
-    return F.when(F.lower(F.element_at(lines, 1)).startswith("latitude"), (F.size(lines) - 1).cast("bigint"))
+    return F.when(F.lower(F.try_element_at(lines, F.lit(1))).startswith("latitude"), (F.size(lines) - 1).cast("bigint"))
 
 
 def first_serving_product(counts: DataFrame, order=("nrt", "sp")) -> DataFrame:
