@@ -71,8 +71,14 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, classes: list[str], per_c
         *[F.min(c).alias(c) for c in classes], *[F.max(c).alias(f"__{c}") for c in classes])
     for c in classes:
         clean = clean.where(F.col(c) == F.col(f"__{c}"))
+    # A first cut by the hash itself leaves about twice as many as are wanted, however many rows
+    # a combination has, so the ranking below never gathers a large group.
+    clean = clean.select("doc_id", *classes)
+    part = F.least(F.lit(1.0), F.lit(2.0 * per_class + 100) / F.col("__n"))
+    place = F.xxhash64("doc_id").cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+    few = clean.join(clean.groupBy(*classes).agg(F.count(F.lit(1)).alias("__n")), classes).where(place <= part).drop("__n")
     rank = F.row_number().over(Window.partitionBy(*classes).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = materialize(clean.select("doc_id", *classes).withColumn("__r", rank).where(F.col("__r") <= per_class).drop("__r"), "sample-ids")
+    ids = materialize(few.withColumn("__r", rank).where(F.col("__r") <= per_class).drop("__r"), "sample-ids")
     side = F.broadcast(ids) if ids.count() <= 50_000 else ids
     return docs.select("doc_id", "text").join(side, "doc_id").dropDuplicates(["doc_id"])
 
