@@ -58,3 +58,8 @@ def test_oracles_agree(spark, name):
         return Counter(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows)
 
     assert canon(df.collect(), df.columns) == canon(sql.fetchall(), names)
+
+
+def test_every_query_has_an_oracle_or_a_reason():
+    names = {*queries.QUERIES, "pipeline"}
+    assert names == set(queries.ORACLES) | set(queries.NO_ORACLE) and not set(queries.ORACLES) & set(queries.NO_ORACLE)

@@ -12,6 +12,15 @@ from veldt.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NO_ORACLE = {
+    "op3_byte_cnn_quality": "a trained network; held-out accuracy and a plain convolution in the tests",
+    "op4_ftrl_language_id": "a trained model; held-out accuracy in the tests",
+    "op5_template_decontamination": "majority rule over slot values; planted cases in the tests",
+    "op7_toxicity_chain": "trained models; held-out rows in the tests",
+    "op8_min_cut_extraction": "minimum cuts; every labelling of small graphs in the tests",
+    "op9_jump_hash_sharding": "CRC-32, which DuckDB lacks; plain Python in the tests",
+    "pipeline": "contains the above; brute force in the tests",
+}
 
 
 def query(name: str, sql: str | None = None):
