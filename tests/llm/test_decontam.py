@@ -39,6 +39,21 @@ def test_inconsistent_slots_do_not_count(spark):
     assert m[2]["windows"] == m[2]["total"] and m[1]["windows"] < m[2]["windows"]
 
 
+def test_case_does_not_matter(spark):
+    docs = make(spark, [(1, LEAD + ITEM.upper(), "en", "a"), (2, LEAD + ITEM.lower(), "en", "a"), (3, ITEM.replace("30", "44").upper(), "en", "a"),
+                        (4, ITEM.replace("30", "44").lower(), "en", "a"), (5, (LEAD * 4).upper(), "en", "a"), (6, MIXED.upper(), "en", "a")])
+    b, old = bench(spark, [(1, ITEM)]), D.BROADCAST_WINDOWS
+    want = {(1, True, 1, False): 1, (2, True, 1, False): 1, (3, True, 1, True): 1, (4, True, 1, True): 1, (5, False, None, False): 1}
+    try:
+        for most in (old, 0):
+            D.BROADCAST_WINDOWS = most
+            assert verdicts(docs.where("doc_id < 6"), b) == Counter(want)
+    finally:
+        D.BROADCAST_WINDOWS = old
+    m = {r["doc_id"]: r for r in D.matches(docs, b).collect()}
+    assert m[1]["windows"] == m[2]["windows"] == m[3]["windows"] == m[4]["windows"] == m[1]["total"] and m[6]["windows"] < m[6]["total"]
+
+
 def test_short_items_match_as_one_window(spark):
     docs = make(spark, [(1, "so tell me who wrote the iliad in greek please", "en", "a"), (2, "who wrote it", "en", "a")])
     assert verdicts(docs, bench(spark, [(1, "who wrote the iliad in greek")])) == Counter({(1, True, 1, False): 1, (2, False, None, False): 1})

@@ -2,8 +2,11 @@
 
 Numbers, names and units become typed placeholders, so a question that was
 re-parameterised has the same template.  Windows of ``WIDTH`` template words
-are hash-joined with the benchmark's; where they meet, the placeholders'
-values are compared: in one document an item's value must always turn into the
+are hash-joined with the benchmark's.  Each window has two templates: in the
+typed one a capital makes a name; in the folded one words are compared without
+case and only numbers and units are placeholders, so copies in capitals or in
+lower case meet there.  Which words are names is decided by the item's words.
+Where windows meet, the placeholders' values are compared without case: in one document an item's value must always turn into the
 same value ("3" into "7" everywhere, "Ann" into "Bob" everywhere).  Windows
 that break the mapping most windows agree on do not count.  A document is
 contaminated if at least ``ENOUGH`` windows of an item, or half of a shorter
@@ -23,6 +26,8 @@ empty inputs give no matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +62,12 @@ def template_word(w: Column) -> Column:
             .when(w.isin(*UNITS), F.lit(UNIT)).otherwise(w))
 
 
+def folded_word(w: Column) -> Column:
+    """The same without regard to case, which names need: digits make a number; other words stay, in lower case."""
+    low = F.lower(w)
+    return F.when(w.rlike("[0-9]"), F.lit(NUMBER)).when(low.isin(*UNITS), F.lit(UNIT)).otherwise(low)
+
+
 def _shifted(a: str, b: str, by: int) -> Column:
     """Hash of a[i] with b[i + by], for every i that has both."""
     n = F.least(F.size(a), F.size(b) - by)
@@ -64,9 +75,9 @@ def _shifted(a: str, b: str, by: int) -> Column:
             .otherwise(F.array().cast("array<bigint>"))
 
 
-def with_windows(df: DataFrame, words: str, widths: list[int]) -> DataFrame:
-    """Adds ``w<width>``: the hashes of all template windows of that width, in order."""
-    df = df.withColumn("p1", F.transform(words, lambda w: F.xxhash64(template_word(w))))
+def with_windows(df: DataFrame, words: str, widths: list[int], word: Callable[[Column], Column] = template_word, name: str = "w") -> DataFrame:
+    """Adds ``<name><width>``: the hashes of all windows of that width of the template that ``word`` makes, in order."""
+    df = df.withColumn("p1", F.transform(words, lambda w: F.xxhash64(word(w))))
     width, powers = 1, [1]
     while width * 2 <= max(widths):
         df = df.withColumn(f"p{width * 2}", _shifted(f"p{width}", f"p{width}", width))
@@ -74,13 +85,18 @@ def with_windows(df: DataFrame, words: str, widths: list[int]) -> DataFrame:
         powers.append(width)
     for w in widths:
         parts = [p for p in reversed(powers) if w & p]
-        df, have, upto = df.withColumn(f"w{w}", F.col(f"p{parts[0]}")), f"w{w}", parts[0]
+        df, have, upto = df.withColumn(f"{name}{w}", F.col(f"p{parts[0]}")), f"{name}{w}", parts[0]
         for p in parts[1:]:
-            df = df.withColumn(f"w{w}", _shifted(have, f"p{p}", upto))
+            df = df.withColumn(f"{name}{w}", _shifted(have, f"p{p}", upto))
             upto += p
     return df.drop(*[f"p{p}" for p in powers])
 
 
+def with_both(df: DataFrame, words: str, widths: list[int]) -> DataFrame:
+    """Adds ``w<width>`` (typed) and ``f<width>`` (folded)."""
+    return with_windows(with_windows(df, words, widths), words, widths, folded_word, "f")
+
+
 # Windows are always taken apart with posexplode_outer: for the plain form the optimizer
 # infers a filter on the array's size, pushes it below the projections above and so
 # evaluates the chained hashes many times over.
@@ -94,21 +110,22 @@ def _literals(words: Column) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """width, h, item_id, ipos, islots (words of the window), total (the item's windows that are evidence)."""
+    """width, h (one row for each template), item_id, ipos, iwords (words of the window), total (the item's windows that are evidence)."""
     items = bench.select(F.col(key).cast("bigint").alias("item_id"), split_words(F.col(text)).alias("words")) \
         .where(F.size("words") >= MIN_WORDS).groupBy("words").agg(F.min("item_id").alias("item_id"))
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     out = None
     for w in range(MIN_WORDS, WIDTH + 1):
-        one = with_windows(items.where(F.col("width") == w), "words", [w])
-        one = one.select("width", "item_id", "words", F.posexplode_outer(f"w{w}").alias("ipos", "h")) \
-                 .withColumn("iwords", F.slice("words", F.col("ipos") + 1, w)).drop("words") \
+        one = with_both(items.where(F.col("width") == w), "words", [w])
+        one = one.select("width", "item_id", "words", F.posexplode_outer(F.arrays_zip(F.col(f"w{w}").alias("w"), F.col(f"f{w}").alias("f"))).alias("ipos", "z")) \
+                 .select("width", "item_id", "ipos", F.col("z.w").alias("h"), F.col("z.f").alias("f"), F.slice("words", F.col("ipos") + 1, w).alias("iwords")) \
                  .where(_literals(F.col("iwords")) * WIDTH >= MIN_LITERAL * w)
         out = one if out is None else out.unionByName(one)
     out = C.materialize(out, "benchmark")
     rare = out.groupBy("width", "h").agg(F.countDistinct("item_id").alias("c")).where(F.col("c") <= COMMON).drop("c")
     out = out.join(rare, ["width", "h"], "semi")
-    return C.materialize(out.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id"))), "benchmark")
+    out = out.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    return C.materialize(out.withColumn("h", F.explode(F.array_distinct(F.array("h", "f")))).drop("f"), "benchmark")
 
 
 def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,25 +134,27 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
     widths = [r[0] for r in b.select("width").distinct().orderBy("width").collect()] or [WIDTH]
     few = b.count() <= BROADCAST_WINDOWS
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), split_words(F.col(text)).alias("words"))
-    d = with_windows(d, "words", widths)
+    d = with_both(d, "words", widths)
     side = b.select("width", F.col("h").alias("bh"), "item_id", "ipos", "iwords", "total")
     hits = None
     for w in widths:
-        rows = d.select("doc_id", "th", "words", F.posexplode_outer(f"w{w}").alias("dpos", "h"))
+        at = F.col("at") % F.greatest(F.size("words") - (w - 1), F.lit(1))  # the folded windows follow the typed ones
+        rows = d.select("doc_id", "th", "words", F.posexplode_outer(F.concat(f"w{w}", f"f{w}")).alias("at", "h"))
         mine = side.where(F.col("width") == w)
         if few:
             # explode, join and slice run in one generated loop, so the words are copied for matches only
             one = rows.join(F.broadcast(mine), F.col("h") == F.col("bh"))
         else:
-            thin = d.select("doc_id", "th", F.posexplode_outer(f"w{w}").alias("dpos", "h")).join(mine, F.col("h") == F.col("bh"))
+            thin = rows.drop("words").join(mine, F.col("h") == F.col("bh"))
             one = thin.drop("h").join(d.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "words").distinct(),
                                       F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-        one = one.select("doc_id", "th", "item_id", "total", "ipos", "dpos", "iwords", F.slice("words", F.col("dpos") + 1, w).alias("dwords"))
+        one = one.withColumn("dpos", at).select("doc_id", "th", "item_id", "total", "ipos", "dpos", "iwords",
+                                                F.slice("words", F.col("dpos") + 1, w).alias("dwords"))
         hits = one if hits is None else hits.unionByName(one)
     hits = C.materialize(hits.distinct(), "hits")
     pair = F.explode(F.filter(F.arrays_zip("iwords", "dwords"), lambda z: template_word(z["iwords"]).isin(NUMBER, NAME, UNIT)))
     slots = hits.select("doc_id", "th", "item_id", "ipos", "dpos", pair.alias("z")) \
-        .select("doc_id", "th", "item_id", "ipos", "dpos", F.col("z.iwords").alias("iv"), F.col("z.dwords").alias("dv"))
+        .select("doc_id", "th", "item_id", "ipos", "dpos", F.lower("z.iwords").alias("iv"), F.lower("z.dwords").alias("dv"))
     votes = slots.groupBy("doc_id", "th", "item_id", "iv", "dv").agg(F.count(F.lit(1)).alias("c"))
     rule = votes.groupBy("doc_id", "th", "item_id", "iv").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("dv"))).alias("m")) \
         .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("item_id").alias("i2"), F.col("iv").alias("v2"), F.col("m.dv").alias("must"))
@@ -145,7 +164,7 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
                                                           F.col("ipos").alias("p3"), F.col("dpos").alias("q3")).distinct()
     good = hits.join(breaks, F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("th") == F.col("t3")) & (F.col("item_id") == F.col("i3"))
                      & (F.col("ipos") == F.col("p3")) & (F.col("dpos") == F.col("q3")), "anti")
-    same = F.forall(F.arrays_zip("iwords", "dwords"), lambda z: z["iwords"] == z["dwords"])
+    same = F.forall(F.arrays_zip("iwords", "dwords"), lambda z: F.lower(z["iwords"]) == F.lower(z["dwords"]))
     return good.groupBy("doc_id", "th", "item_id", "total").agg(F.countDistinct("ipos").alias("windows"), F.max(~same).alias("changed"))
 
 
