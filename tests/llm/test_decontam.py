@@ -59,6 +59,27 @@ def test_short_items_match_as_one_window(spark):
     assert verdicts(docs, bench(spark, [(1, "who wrote the iliad in greek")])) == Counter({(1, True, 1, False): 1, (2, False, None, False): 1})
 
 
+def test_every_window_counts(spark):
+    """Word for word: items of numbers and names, of one template, shorter than five words, in scripts without spaces."""
+    sums = "Solve 3 x + 5 y = 12 and 7 x - 2 y = 9."
+    names = "Alice, Bob, Carl and Dora scored 12, 15, 18 and 21 points; Eve scored 30."
+    one = "a farmer puts {} apples in each of his baskets and carries them to the old mill"
+    han = "小明有三个苹果，小红有五个苹果，他们一共有几个苹果？"
+    items = [sums, names, "Name two primes", han] + [one.format(i) for i in range(100, 130)]
+    b = bench(spark, list(enumerate(items)))
+    texts = [sums, names.upper(), "please name two primes now", "他说" + han + "好", one.format(117), one.format(999), one.format(5)[:40],
+             "Solve 4 x + 6 y = 12 and 8 x - 3 y = 9.", "name three primes", "苹果很好吃", "the old mill " + LEAD]
+    docs = make(spark, [(i, LEAD + t, "en", "a") for i, t in enumerate(texts)])
+    old = D.BROADCAST_WINDOWS
+    try:
+        for most in (old, 0):
+            D.BROADCAST_WINDOWS = most
+            got = {r["doc_id"]: r["item_id"] for r in D.decontaminate(docs, b).where("contaminated").collect()}
+            assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+    finally:
+        D.BROADCAST_WINDOWS = old
+
+
 def test_shuffled_path_gives_the_same(spark):
     docs, b = make(spark, [(1, LEAD + SAME, "en", "a"), (2, LEAD, "en", "a"), (None, ITEM, "en", "a")]), bench(spark, [(1, ITEM)])
     want, old = verdicts(docs, b), D.BROADCAST_WINDOWS

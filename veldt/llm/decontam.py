@@ -12,14 +12,20 @@ that break the mapping most windows agree on do not count.  A document is
 contaminated if at least ``ENOUGH`` windows of an item, or half of a shorter
 item's windows, are left.
 
+No window is dropped.  One with fewer than ``MIN_LITERAL`` plain words (in
+proportion for short items) counts where it stands word for word, without
+regard to case.  A window of c > ``COMMON`` items counts ``COMMON / c``, in the
+windows found and in the item's total alike, so a whole copy always has all of
+them.  The rule is applied to the rare template windows, to all template windows
+by weight, and to all windows by weight; one of the three is enough.
+
 DataFrame expressions only.  The benchmark's windows are broadcast behind a
 count; beyond it both sides are shuffled by the window's hash.
 
-Defined cases: null or wordless text matches nothing; items of fewer than
-``MIN_WORDS`` words match nothing, those shorter than a window are matched as
-one window; equal items count as one (the smallest id); a window of more than
-``COMMON`` items is boilerplate and no evidence, as is one with fewer than
-``MIN_LITERAL`` plain words (in proportion for short items); rows that repeat
+Defined cases: null or wordless text matches nothing; items shorter than a
+window are matched as one window, those of fewer than ``MIN_WORDS`` words only
+word for word; in scripts without spaces every letter is a word; equal items
+count as one (the smallest id); rows that repeat
 get the same verdict each, null ids included; other columns do not matter;
 empty inputs give no matches.
 """
@@ -41,7 +47,10 @@ COMMON = 20
 #: benchmark windows that are broadcast at most (about 100 bytes each)
 BROADCAST_WINDOWS = 100_000
 
-WORD = r"[\p{L}\p{N}]+(?:[.,]\p{N}+)*"
+# Thai, Lao, Burmese, Khmer, kana and Han: no spaces, so a letter is a word.
+_UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF"
+             r"\uF900-\uFAFF\x{20000}-\x{3FFFF}")
+WORD = rf"[\p{{L}}&&[{_UNSPACED}]]|[\p{{N}}[\p{{L}}&&[^{_UNSPACED}]]]+(?:[.,]\p{{N}}+)*"
 
 # Words that count as units.
 UNITS = (
@@ -109,33 +118,48 @@ def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~template_word(w).isin(NUMBER, NAME, UNIT)))
 
 
+def _folded(words: Column) -> Column:
+    """Words as one string without case.  No lambda: it would end the generated loop of the join below."""
+    return F.lower(F.array_join(words, " "))
+
+
 def benchmark_windows(bench: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """width, h (one row for each template), item_id, ipos, iwords (words of the window), total (the item's windows that are evidence)."""
+    """width, h (one row for each template), item_id, ipos, iwords (words of the window), exact (counts word for
+    word only), rare (a template of few items), weight, and the item's sums: rare_total, total (templates), all_total."""
     items = bench.select(F.col(key).cast("bigint").alias("item_id"), split_words(F.col(text)).alias("words")) \
-        .where(F.size("words") >= MIN_WORDS).groupBy("words").agg(F.min("item_id").alias("item_id"))
+        .where(F.size("words") > 0).groupBy("words").agg(F.min("item_id").alias("item_id"))
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     out = None
-    for w in range(MIN_WORDS, WIDTH + 1):
+    for w in range(1, WIDTH + 1):
         one = with_both(items.where(F.col("width") == w), "words", [w])
         one = one.select("width", "item_id", "words", F.posexplode_outer(F.arrays_zip(F.col(f"w{w}").alias("w"), F.col(f"f{w}").alias("f"))).alias("ipos", "z")) \
                  .select("width", "item_id", "ipos", F.col("z.w").alias("h"), F.col("z.f").alias("f"), F.slice("words", F.col("ipos") + 1, w).alias("iwords")) \
-                 .where(_literals(F.col("iwords")) * WIDTH >= MIN_LITERAL * w)
+                 .withColumn("exact", F.lit(w < MIN_WORDS) | (_literals(F.col("iwords")) * WIDTH < MIN_LITERAL * w))
         out = one if out is None else out.unionByName(one)
+    out = out.withColumn("same", F.when(F.col("exact"), F.xxhash64(_folded(F.col("iwords")))).otherwise(F.col("h")))
     out = C.materialize(out, "benchmark")
-    rare = out.groupBy("width", "h").agg(F.countDistinct("item_id").alias("c")).where(F.col("c") <= COMMON).drop("c")
-    out = out.join(rare, ["width", "h"], "semi")
-    out = out.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    return C.materialize(out.withColumn("h", F.explode(F.array_distinct(F.array("h", "f")))).drop("f"), "benchmark")
+    held = out.groupBy("width", "exact", "same").agg(F.countDistinct("item_id").alias("c"))
+    own, rare = Window.partitionBy("item_id"), ~F.col("exact") & (F.col("c") <= COMMON)
+    out = out.join(held, ["width", "exact", "same"]).withColumn("rare", rare) \
+        .withColumn("weight", F.least(F.lit(1.0), F.lit(float(COMMON)) / F.col("c"))).drop("c", "same") \
+        .withColumn("rare_total", F.sum(F.col("rare").cast("int")).over(own)).withColumn("all_total", F.sum("weight").over(own)) \
+        .withColumn("total", F.sum(F.when(F.col("exact"), 0.0).otherwise(F.col("weight"))).over(own))
+    # typed templates are no evidence of an exact window
+    keys = F.array_distinct(F.when(F.col("exact"), F.array("f")).otherwise(F.array("h", "f")))
+    return C.materialize(out.withColumn("h", F.explode(keys)).drop("f"), "benchmark")
 
 
 def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th (the text's hash), item_id, total, windows (consistent ones), changed (some value differs)."""
+    """doc_id, th (the text's hash), item_id, the item's totals, weights of the consistent windows (rare, windows:
+    templates, every: all), changed (some value differs)."""
     b = benchmark_windows(bench)
     widths = [r[0] for r in b.select("width").distinct().orderBy("width").collect()] or [WIDTH]
     few = b.count() <= BROADCAST_WINDOWS
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), split_words(F.col(text)).alias("words"))
     d = with_both(d, "words", widths)
-    side = b.select("width", F.col("h").alias("bh"), "item_id", "ipos", "iwords", "total")
+    item = ["item_id", "total", "rare_total", "all_total"]
+    about = [*item, "ipos", "weight", "exact", "rare", "iwords"]
+    side = b.select("width", F.col("h").alias("bh"), F.when(F.col("exact"), _folded(F.col("iwords"))).alias("literal"), *about)
     hits = None
     for w in widths:
         at = F.col("at") % F.greatest(F.size("words") - (w - 1), F.lit(1))  # the folded windows follow the typed ones
@@ -148,8 +172,9 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
             thin = rows.drop("words").join(mine, F.col("h") == F.col("bh"))
             one = thin.drop("h").join(d.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "words").distinct(),
                                       F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-        one = one.withColumn("dpos", at).select("doc_id", "th", "item_id", "total", "ipos", "dpos", "iwords",
-                                                F.slice("words", F.col("dpos") + 1, w).alias("dwords"))
+        there = F.slice("words", at + 1, w)
+        one = one.where(~F.col("exact") | (F.col("literal") == _folded(there))) \
+                 .select("doc_id", "th", *about, at.alias("dpos"), there.alias("dwords"))
         hits = one if hits is None else hits.unionByName(one)
     hits = C.materialize(hits.distinct(), "hits")
     pair = F.explode(F.filter(F.arrays_zip("iwords", "dwords"), lambda z: template_word(z["iwords"]).isin(NUMBER, NAME, UNIT)))
@@ -165,13 +190,22 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
     good = hits.join(breaks, F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("th") == F.col("t3")) & (F.col("item_id") == F.col("i3"))
                      & (F.col("ipos") == F.col("p3")) & (F.col("dpos") == F.col("q3")), "anti")
     same = F.forall(F.arrays_zip("iwords", "dwords"), lambda z: F.lower(z["iwords"]) == F.lower(z["dwords"]))
-    return good.groupBy("doc_id", "th", "item_id", "total").agg(F.countDistinct("ipos").alias("windows"), F.max(~same).alias("changed"))
+    found = good.groupBy("doc_id", "th", *item, "ipos").agg(*[F.max(c).alias(c) for c in ("weight", "exact", "rare")], F.max(~same).alias("changed"))
+    return found.groupBy("doc_id", "th", *item).agg(
+        F.sum(F.col("rare").cast("int")).alias("rare"), F.sum(F.when(F.col("exact"), 0.0).otherwise(F.col("weight"))).alias("windows"),
+        F.sum("weight").alias("every"), F.max("changed").alias("changed"))
+
+
+def _enough(windows: str, total: str) -> Column:
+    """Sums of weights are rounded: their order is not fixed."""
+    return (F.col(total) > 0) & (F.round(windows, 6) >= F.round(F.least(F.lit(float(ENOUGH)), F.col(total) / 2), 6))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th of contaminated texts with n_items, item_id (best covered, then smallest), share, changed."""
-    m = matches(docs, bench, key, text).where(F.col("windows") >= F.least(F.lit(ENOUGH), F.ceil(F.col("total") / 2)))
-    best = F.min(F.struct((-F.col("windows") / F.col("total")).alias("s"), "item_id", "changed"))
+    m = matches(docs, bench, key, text).where(_enough("rare", "rare_total") | _enough("windows", "total") | _enough("every", "all_total"))
+    share = F.greatest(*[F.when(F.col(t) > 0, F.col(n) / F.col(t)) for n, t in (("windows", "total"), ("every", "all_total"))])
+    best = F.min(F.struct((-share).alias("s"), "item_id", "changed"))
     return m.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_items"), best.alias("b")).select(
         "doc_id", "th", "n_items", F.col("b.item_id").alias("item_id"), (-F.col("b.s")).alias("share"), F.col("b.changed").alias("changed"))
 
