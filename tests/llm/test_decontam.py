@@ -54,6 +54,20 @@ def test_case_does_not_matter(spark):
     assert m[1]["windows"] == m[2]["windows"] == m[3]["windows"] == m[4]["windows"] == m[1]["total"] and m[6]["windows"] < m[6]["total"]
 
 
+def test_copies_are_judged_one_by_one(spark):
+    """A copy word for word beside a re-parameterised one, many copies, one split by more words, equal numbers that change apart."""
+    tom = "Tom has 12 red marbles and 9 blue ones in his bag"
+    zed, ann = tom.replace("Tom", "Zed").replace("12", "15").replace("9", "3"), tom.replace("Tom", "Ann").replace("12", "40").replace("9", "8")
+    even = "Mia buys 6 large boxes of tea and 6 small boxes of salt for the long winter"
+    docs = make(spark, [(1, LEAD + tom + " " + LEAD + zed, "en", "a"), (2, f"{LEAD} {zed} {LEAD} {ann} {LEAD} {zed} {LEAD} {ann}", "en", "a"),
+                        (3, even.replace("6 large", "2 large").replace("6 small", "4 small"), "en", "a"),
+                        (4, SAME.replace("red market", "red old market"), "en", "a"), (5, LEAD * 9, "en", "a")])
+    b = bench(spark, [(1, tom), (2, even), (3, ITEM)])
+    assert verdicts(docs, b) == Counter({(1, True, 1, False): 1, (2, True, 1, True): 1, (3, True, 2, True): 1, (4, True, 3, True): 1, (5, False, None, False): 1})
+    m = {r["doc_id"]: r for r in D.matches(docs, b).collect()}
+    assert all(m[i]["windows"] == m[i]["total"] for i in (1, 2, 3)) and m[4]["windows"] < m[4]["total"]
+
+
 def test_short_items_match_as_one_window(spark):
     docs = make(spark, [(1, "so tell me who wrote the iliad in greek please", "en", "a"), (2, "who wrote it", "en", "a")])
     assert verdicts(docs, bench(spark, [(1, "who wrote the iliad in greek")])) == Counter({(1, True, 1, False): 1, (2, False, None, False): 1})

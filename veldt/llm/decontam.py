@@ -6,9 +6,15 @@ are hash-joined with the benchmark's.  Each window has two templates: in the
 typed one a capital makes a name; in the folded one words are compared without
 case and only numbers and units are placeholders, so copies in capitals or in
 lower case meet there.  Which words are names is decided by the item's words.
-Where windows meet, the placeholders' values are compared without case: in one document an item's value must always turn into the
-same value ("3" into "7" everywhere, "Ann" into "Bob" everywhere).  Windows
-that break the mapping most windows agree on do not count.  A document is
+
+Where windows meet, the placeholders' values are compared without case, first in
+each copy (the windows with one distance between their places in document and
+item), then over the document, for copies with words put in or left out; the
+better of the two counts.  There an item's name or unit must always turn into
+the same word ("Ann" into "Bob" everywhere), and a number, which others may
+equal by chance, into one number at each of its places.  Windows that break the
+mapping most windows agree on do not count; those that stand word for word do.
+A document is
 contaminated if at least ``ENOUGH`` windows of an item, or half of a shorter
 item's windows, are left.
 
@@ -177,23 +183,35 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
                  .select("doc_id", "th", *about, at.alias("dpos"), there.alias("dwords"))
         hits = one if hits is None else hits.unionByName(one)
     hits = C.materialize(hits.distinct(), "hits")
-    pair = F.explode(F.filter(F.arrays_zip("iwords", "dwords"), lambda z: template_word(z["iwords"]).isin(NUMBER, NAME, UNIT)))
-    slots = hits.select("doc_id", "th", "item_id", "ipos", "dpos", pair.alias("z")) \
-        .select("doc_id", "th", "item_id", "ipos", "dpos", F.lower("z.iwords").alias("iv"), F.lower("z.dwords").alias("dv"))
-    votes = slots.groupBy("doc_id", "th", "item_id", "iv", "dv").agg(F.count(F.lit(1)).alias("c"))
-    rule = votes.groupBy("doc_id", "th", "item_id", "iv").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("dv"))).alias("m")) \
-        .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("item_id").alias("i2"), F.col("iv").alias("v2"), F.col("m.dv").alias("must"))
+    same = F.forall(F.arrays_zip("iwords", "dwords"), lambda z: F.lower(z["iwords"]) == F.lower(z["dwords"]))
+    hits = hits.withColumn("same", same)
+    # copy: the distance of the places, or null for the whole document
+    near = hits.withColumn("copy", F.explode(F.array(F.col("dpos") - F.col("ipos"), F.lit(None).cast("int"))))
+    kind = F.transform("iwords", lambda w, i: F.struct(w.alias("w"), template_word(w).alias("t"), (F.col("ipos") + i).alias("p"), F.get("dwords", i).alias("d")))
+    pair = F.explode(F.filter(kind, lambda z: z["t"].isin(NUMBER, NAME, UNIT)))
+    slots = near.select("doc_id", "th", "item_id", "copy", "ipos", "dpos", pair.alias("z")) \
+        .select("doc_id", "th", "item_id", "copy", "ipos", "dpos", F.lower("z.d").alias("dv"),
+                F.when(F.col("z.t") == NUMBER, F.concat(F.lit("#"), F.col("z.p"))).otherwise(F.lower("z.w")).alias("iv"))
+    votes = slots.groupBy("doc_id", "th", "item_id", "copy", "iv", "dv").agg(F.count(F.lit(1)).alias("c"))
+    rule = votes.groupBy("doc_id", "th", "item_id", "copy", "iv").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("dv"))).alias("m")) \
+        .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("item_id").alias("i2"), F.col("copy").alias("c2"),
+                F.col("iv").alias("v2"), F.col("m.dv").alias("must"))
     s = slots.join(rule, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("item_id") == F.col("i2"))
-                   & (F.col("iv") == F.col("v2")), "left")
+                   & F.col("copy").eqNullSafe(F.col("c2")) & (F.col("iv") == F.col("v2")), "left")
     breaks = s.where(F.col("dv") != F.col("must")).select(F.col("doc_id").alias("d3"), F.col("th").alias("t3"), F.col("item_id").alias("i3"),
-                                                          F.col("ipos").alias("p3"), F.col("dpos").alias("q3")).distinct()
-    good = hits.join(breaks, F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("th") == F.col("t3")) & (F.col("item_id") == F.col("i3"))
-                     & (F.col("ipos") == F.col("p3")) & (F.col("dpos") == F.col("q3")), "anti")
-    same = F.forall(F.arrays_zip("iwords", "dwords"), lambda z: F.lower(z["iwords"]) == F.lower(z["dwords"]))
-    found = good.groupBy("doc_id", "th", *item, "ipos").agg(*[F.max(c).alias(c) for c in ("weight", "exact", "rare")], F.max(~same).alias("changed"))
-    return found.groupBy("doc_id", "th", *item).agg(
+                                                          F.col("copy").alias("c3"), F.col("ipos").alias("p3"), F.col("dpos").alias("q3")).distinct()
+    good = near.join(breaks, F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("th") == F.col("t3")) & (F.col("item_id") == F.col("i3"))
+                     & F.col("copy").eqNullSafe(F.col("c3")) & (F.col("ipos") == F.col("p3")) & (F.col("dpos") == F.col("q3")) & ~F.col("same"), "anti")
+    found = good.groupBy("doc_id", "th", *item, "copy", "ipos").agg(*[F.max(c).alias(c) for c in ("weight", "exact", "rare")],
+                                                                    (~F.max("same")).alias("changed"))
+    found = found.groupBy("doc_id", "th", *item, "copy").agg(
         F.sum(F.col("rare").cast("int")).alias("rare"), F.sum(F.when(F.col("exact"), 0.0).otherwise(F.col("weight"))).alias("windows"),
         F.sum("weight").alias("every"), F.max("changed").alias("changed"))
+    sums = ["rare", "windows", "every"]
+    # the copy (or the whole document) with the most; equal ones: unchanged first
+    best = F.max_by(F.struct(*sums, "changed"), F.struct(*[F.round(c, 6) for c in sums], ~F.col("changed")))
+    return found.groupBy("doc_id", "th", *item).agg(*[F.max(c).alias(c) for c in sums], best.alias("b")) \
+        .select("doc_id", "th", *item, *sums, F.col("b.changed").alias("changed"))
 
 
 def _enough(windows: str, total: str) -> Column:
