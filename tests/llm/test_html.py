@@ -48,6 +48,18 @@ def test_boilerplate_inside_and_around_the_article():
     assert H.main_text(page, W) == f"Head & line {body} Inline tags <b> stay one word. {body}"
 
 
+def test_raw_elements_end_where_they_end():
+    """Self-closed, custom and unclosed elements named like raw ones leave the article alone."""
+    body = "This is a long paragraph of the article, with commas, and it goes on for a while so that nobody could miss it."
+    art = f"<article><p>{body}</p><p>{body}</p></article>"
+    for lead in ('<svg class="i"/>', '<svg d="a>b" />', "<math/>", "<title-bar>T</title-bar>", "<select-menu>", "<object-view></object-view>",
+                 "<object>", "<svg><svg></svg>", '<svg><path d="M0"/></svg>', "<title>T <b></title>", "<SVG><p>no</p></SVG >",
+                 "<script>var s = '<svg>';</script>", "<!-- <svg> -->", "<style>p > a {}</style>"):
+        assert H.main_text(lead + art + "<svg><text>x</text></svg>", W).endswith(f"{body} {body}"), lead
+    assert H.main_text(art.replace("</p><p>", "<svg><p>no</p><svg/></svg></p><p>"), W) == f"{body} {body}"
+    assert H.main_text("<svg>" * 20_000 + art, W) == f"{body} {body}"
+
+
 def test_without_semantic_elements():
     body = "A paragraph of plain prose, rather long, with several commas, and a full stop at its end. It says little, but at length."
     links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(8))

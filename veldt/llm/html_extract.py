@@ -17,7 +17,8 @@ Blocks whose own capacity exceeds all their edges keep their label in any
 minimum cut, so they are settled first and flow runs over the rest only.
 
 Defined cases: null or blank html gives the empty text; unclosed elements,
-comments and raw-text elements end with the page; repeated rows each get their
+comments, scripts and styles end with the page; another raw element ends at its
+own end tag, and without one, or self-closed (svg, math), at its start tag; repeated rows each get their
 own result; other columns do not matter; an empty input gives an empty result.
 """
 
@@ -46,7 +47,9 @@ SHAPE_LIMIT = 3.0
 
 # Element names and words by their meaning.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template title svg iframe textarea select object canvas math"
+TEXT = "script style"  # to the end tag, whatever stands in between
+RAW = "noscript template title svg iframe textarea select object canvas math"
+CLOSABLE = frozenset("svg math".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset "
                   "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre "
                   "search section summary table tbody td tfoot th thead tr ul".split())
@@ -63,9 +66,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td"
         "option": {"option"}, "head": {"body"},
         "p": BLOCK - {"br", "body", "html", "head"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_SKIP = r"<!--.*?(?:-->|\Z)|<(" + "|".join(TEXT.split()) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+_ATTRS = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+_TOKEN = re.compile(_SKIP + r"|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRS + r"|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_RAW = re.compile(_SKIP + r"|<(/?)(" + "|".join(RAW.split()) + r")(?=[\s/>])" + _ATTRS, re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _STOPS = re.compile(r"[.,;:!?]")
@@ -114,11 +118,34 @@ def _element(tag: str, attrs: str, up: Element) -> Element:
     return Element(tag, up, up.depth + 1, up.boiler or own, up.main, own)
 
 
+def _raw_ends(page: str) -> dict[int, int]:
+    """End of each raw element that has an end tag, by the place of its start tag."""
+    ends, opened = {}, {}
+    for m in _RAW.finditer(page):
+        tag = (m[3] or "").lower()
+        if m[2]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = m.end()
+        elif tag and not (tag in CLOSABLE and m[4].endswith("/")):
+            opened.setdefault(tag, []).append(m.start())
+    return ends
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tokens outside raw elements."""
+    ends, at = _raw_ends(page), 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = ends.get(m.start(), m.end())
+        if at == m.end():
+            yield m
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     now, out = Element("", None, 0), []
     block, links = Block(now), 0
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         tag = m[3]
         if tag is None:
             s = m[0]
