@@ -123,3 +123,33 @@ def test_toxicity_edge_cases(spark, messy, messy_rows, empty, labelled):
     rows = toxicity.score(messy, toxicity.train(messy, labels)).collect()
     assert ids(rows) == Counter(r[0] for r in messy_rows) and all(0 <= r["p_dense"] <= 1 for r in rows)
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
+
+
+def test_network_learns_from_the_whole_text():
+    """Every block of a long text is learned from: bytes that stand in one of 60 blocks change the network, in any block."""
+    rng, q = np.random.default_rng(8), quality_cnn
+    texts, y = [rng.integers(97, 123, 60 * q.BLOCK).astype(np.uint8) for _ in range(2)], np.array([0, 1], np.float32)
+
+    def learned(block):
+        t = texts[1].copy()
+        if block is not None:
+            t[block * q.BLOCK:(block + 1) * q.BLOCK] = np.arange(q.BLOCK)
+        docs = [q.blocks_of(x.tobytes()) for x in (texts[0], t)]
+        assert all(len(d) == 60 and d.shape[1] == q.BLOCK + q.WIDTH - 1 for d in docs) and docs[1][:, :q.BLOCK].tobytes() == t.tobytes()
+        return q.fit(docs, y, steps=1)["u"]
+
+    plain = learned(None)
+    assert all(not np.allclose(learned(b), plain, atol=1e-7) for b in (0, 3, 28, 31, 59))
+    assert q.blocks_of(b"").shape == (1, q.BLOCK + q.WIDTH - 1) and len(q.blocks_of(bytes(q.BLOCK + 1))) == 2
+
+
+def test_places_of_the_maxima():
+    rng, q = np.random.default_rng(9), quality_cnn
+    tab = rng.normal(0, 1, (q.WIDTH, 256, q.FILTERS)).astype(np.float32)
+    docs = [q.blocks_of(rng.integers(0, 256, n).astype(np.uint8).tobytes()) for n in (5, 700, 256 * 300 + 11)]
+    top, at = q._tops(docs, tab)
+    assert len(top) == sum(len(d) for d in docs)
+    x = np.concatenate(docs)
+    act = sum(tab[j][x[:, j:j + q.BLOCK]] for j in range(q.WIDTH))
+    assert np.allclose(top, act.max(axis=1), atol=1e-4)
+    assert np.allclose(sum(tab[j][at[:, j], np.arange(q.FILTERS)[None, :]] for j in range(q.WIDTH)), top, atol=1e-4)

@@ -8,9 +8,9 @@ the maximum over all chunks go through one logistic unit to one probability.
 Scoring works on tables: embedding and filters of two neighbouring bytes are
 summed up once for all 65,536 pairs, so a position costs two look-ups.
 
-Training takes at most ``PER_CLASS`` labelled documents of each class and
-``CHUNKS`` chunks, spread over the whole document, of each; scoring reads
-every byte.
+Training takes at most ``PER_CLASS`` labelled documents of each class; both
+training and scoring read every byte of a text.  Blocks go through in pieces,
+of which only each filter's maximum, and in training its place, is kept.
 
 Defined cases: null and empty texts are scored like a text of zero bytes; rows
 with a null doc_id are held out; repeated rows each get their own score;
@@ -35,41 +35,47 @@ EMBED = 8
 FILTERS = 16
 BLOCK = 256
 PER_CLASS = 1000
-CHUNKS = 12
 STEPS = 700
 BATCH = 32
 RATE = 0.01
-#: blocks that scoring holds at once
+#: blocks that training and scoring hold at once
 _PIECE = 128
 
 
-def _windows(blocks: int) -> np.ndarray:
-    """First block of each chunk: every chunk but a lone one spans two blocks."""
-    return np.arange(max(1, blocks - 1))
-
-
 # ------------------------------------------------------------- training
 
-def chunks_of(text: bytes, most: int = CHUNKS) -> np.ndarray:
-    """At most ``most`` chunks, evenly spread, as rows of 2 * BLOCK + WIDTH - 1 bytes (zero padded)."""
-    span = 2 * BLOCK + WIDTH - 1
+def blocks_of(text: bytes) -> np.ndarray:
+    """All blocks as rows of BLOCK + WIDTH - 1 bytes (the next block's first bytes, zero padded)."""
     blocks = max(1, -(-len(text) // BLOCK))
-    first = _windows(blocks)
-    if len(first) > most:
-        first = first[np.linspace(0, len(first) - 1, most).astype(int)]
-    buf = np.frombuffer(text + bytes(span + BLOCK), np.uint8)
-    return np.stack([buf[a * BLOCK:a * BLOCK + span] for a in first])
+    buf = np.frombuffer(text + bytes(BLOCK + WIDTH), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(buf, BLOCK + WIDTH - 1)[:blocks * BLOCK:BLOCK]
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [chunks_of(t.encode()) for t in (x or "" for x in b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(g) for g in got], pa.int64()),
-                                          pa.array([g.tobytes() for g in got], pa.binary())], names=["doc_id", "label", "n", "chunks"])
+        got = [x or "" for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t.encode() for t in got], pa.binary())],
+                                         names=["doc_id", "label", "bytes"])
+
+
+def _tops(docs: list[np.ndarray], tab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every block, each filter's maximum and the WIDTH bytes (blocks, WIDTH, FILTERS) it was found at."""
+    raws, bytes_ = [], []
+    for doc in docs:
+        for a in range(0, len(doc), _PIECE):
+            x = doc[a:a + _PIECE]
+            n, rows = x.shape[1] - WIDTH + 1, np.arange(len(x))[:, None]
+            act = tab[0][x[:, :n]]
+            for j in range(1, WIDTH):
+                act += tab[j][x[:, j:j + n]]
+            at = act.argmax(axis=1)
+            raws.append(np.take_along_axis(act, at[:, None, :], axis=1)[:, 0])
+            bytes_.append(np.stack([x[rows, at + j] for j in range(WIDTH)], axis=1))
+    return np.concatenate(raws), np.concatenate(bytes_)
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, prior: float | None = None, steps: int = STEPS, seed: int = 11) -> dict:
-    """Adam on the mean log loss; docs: chunk matrices.  Gradients reach only the positions that held a maximum."""
+    """Adam on the mean log loss; docs: all blocks of each text.  Gradients reach only the positions that held a maximum."""
     rng = np.random.default_rng(seed)
     p = {"E": rng.normal(0, 0.5, (256, EMBED)), "W": rng.normal(0, 0.5, (WIDTH, EMBED, FILTERS)), "c": np.zeros(FILTERS),
          "u": rng.normal(0, 0.1, 2 * FILTERS), "v": np.zeros(1)}
@@ -81,16 +87,16 @@ def fit(docs: list[np.ndarray], y: np.ndarray, prior: float | None = None, steps
         order = rng.permutation(len(docs))
         for a in range(0, len(order), BATCH):
             take = order[a:a + BATCH]
-            x = np.concatenate([docs[k] for k in take])
-            owner = np.repeat(np.arange(len(take)), [len(docs[k]) for k in take])
-            first = np.searchsorted(owner, np.arange(len(take)))
             tab = np.einsum("be,jef->jbf", p["E"], p["W"])
-            n = x.shape[1] - WIDTH + 1
-            act = tab[0][x[:, :n]]
-            for j in range(1, WIDTH):
-                act += tab[j][x[:, j:j + n]]
-            at = act.argmax(axis=1)
-            raw = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0] + p["c"]
+            raw, x = _tops([docs[k] for k in take], tab)
+            # a chunk is a block and the next one, a lone block is a chunk
+            size = np.array([len(docs[k]) for k in take])
+            block = np.concatenate([s + np.arange(max(1, n - 1)) for s, n in zip(np.cumsum(size) - size, size, strict=True)])
+            owner = np.repeat(np.arange(len(take)), np.maximum(1, size - 1))
+            first = np.searchsorted(owner, np.arange(len(take)))
+            after = (block + (size[owner] > 1))[:, None]
+            src = np.where(np.take_along_axis(raw, np.broadcast_to(after, (len(block), FILTERS)), axis=0) > raw[block], after, block[:, None])
+            raw = np.take_along_axis(raw, src, axis=0) + p["c"]
             top = np.maximum(raw, 0)
             count = np.bincount(owner)[:, None]
             mean = np.add.reduceat(top, first, axis=0) / count
@@ -102,9 +108,9 @@ def fit(docs: list[np.ndarray], y: np.ndarray, prior: float | None = None, steps
             d = (back[:, :FILTERS] / count)[owner]
             d = d + np.where(top == peak[owner], back[:, FILTERS:][owner], 0)
             d = np.where(raw > 0, d, 0).astype(np.float32)
-            g["c"], dtab, rows = d.sum(axis=0), np.zeros_like(tab), np.arange(len(x))[:, None]
+            g["c"], dtab, each = d.sum(axis=0), np.zeros_like(tab), np.arange(FILTERS)[None, :]
             for j in range(WIDTH):
-                np.add.at(dtab[j], (x[rows, at + j], np.arange(FILTERS)[None, :]), d)
+                np.add.at(dtab[j], (x[src, j, each], each), d)
             g["E"] = np.einsum("jbf,jef->be", dtab, p["W"])
             g["W"] = np.einsum("be,jbf->jef", p["E"], dtab)
             t += 1
@@ -125,12 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     prior, = lab.agg(F.avg("label")).first()
     rows = bounded_sample(d, lab, ["label"], per_class).select("doc_id", "text", "label").mapInArrow(
-        _featurize, "doc_id long, label int, n long, chunks binary")
+        _featurize, "doc_id long, label int, bytes binary")
 
     def one(s: pd.DataFrame) -> dict:
-        span = 2 * BLOCK + WIDTH - 1
-        mats = [np.frombuffer(c, np.uint8).reshape(-1, span) for c in s["chunks"]]
-        return fit(mats, s["label"].to_numpy().astype(np.float32), prior)
+        return fit([blocks_of(t) for t in s["bytes"]], s["label"].to_numpy().astype(np.float32), prior)
 
     return train_in_task(rows, one)
 
