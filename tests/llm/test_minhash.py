@@ -94,3 +94,19 @@ def test_components_of_paths_and_rings(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 3), (3, 1), (9, 8), (5, 5)]
     got = {r["node"]: r["component"] for r in C.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(101, 161)) and got[2] == got[3] == 1 and got[9] == 8 and 5 not in got
+
+
+def test_texts_under_one_id_are_not_lost(spark):
+    """Different texts that share a doc_id: of every group of near copies one row stays, whichever id it has."""
+    rng = random.Random(12)
+    one, two, three = (prose(rng, 60, 4000) for _ in range(3))
+    near = " ".join([*two.split()[:-1], "end"])
+    rows = [(5, one, "en", "a"), (5, two, "en", "a"), (3, one, "en", "a"), (8, two, "en", "a"), (9, near, "en", "a"),
+            (7, three, "en", "a"), (7, one + " " + two, "en", "a"), (7, three, "en", "b"), (7, "", "en", "a")]
+    for part in (rows, rows[:3], rows[:2], rows[5:]):
+        df = make(spark, part)
+        left = M.drop_near_duplicates(df, k=5)
+        assert left.columns == df.columns
+        want = Counter({(3 if len(part) != 2 else 5, one): 1, (5, two): 1, (7, three): 1, (7, one + " " + two): 1, (7, ""): 1})
+        held = {t for _, t, *_ in part}
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter({x: n for x, n in want.items() if x[1] in held})

@@ -18,8 +18,9 @@ so only rows of different components that share such a shingle are compared.
 No bucket is collected and none is capped.
 
 Defined cases: null or blank text has the empty set, is linked with nothing
-and stays; rows with one doc_id are one node of the graph; a row with a null
-doc_id takes the component of its class (null if all ids there are null);
+and stays; different texts under one doc_id are separate texts, and of one text
+under it one row stays (the smallest doc_id, then the text's hash, of a
+component); a row with a null doc_id takes the component of its class (null if all ids there are null);
 other columns do not matter; an empty input gives an empty result.
 """
 
@@ -91,11 +92,11 @@ def band_keys(u: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIG = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+_SIG = "doc_id long, th long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
 def _signatures(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
                         ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def _signatures(k: int):
                 one = [int(C.mix(u).sum(dtype=np.uint64).view(np.int64)) for u in sets]
                 two = [int(C.mix(u ^ _FOLD).sum(dtype=np.uint64).view(np.int64)) for u in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(one, pa.int64()),
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(one, pa.int64()),
                      pa.array(two, pa.int64()), pa.array([band_keys(u) if len(u) else [] for u in sets], pa.list_(pa.int64()))],
                     schema=schema)
 
@@ -241,39 +242,62 @@ def _settled(left: DataFrame, texts: DataFrame, tested: DataFrame, k: int, perce
 
 # ------------------------------------------------------------- operator
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept (the one row of its component that stays)."""
+def _judged(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """One row per input row: doc_id, th (the text's hash), n_shingles, component_id, kept."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     sig = C.materialize(own.mapInArrow(_signatures(k), _SIG), "signatures")
-    classes = C.materialize(sig.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2")
-                            .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th")))
+    classes = sig.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(first.alias("r"), F.first("bands").alias("bands"))
+    classes = C.materialize(classes.select("n_shingles", "f1", "f2", F.col("r.doc_id").alias("id"), F.col("r.th").alias("rth"),
+                                           F.col("r.doc_id").alias("rep"), "bands"), "classes")
+    # a class is the node of its smallest id; where classes share that id, their hash is the node
+    twice = C.materialize(classes.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("twice")), "twice")
+    unique = twice.isEmpty()
+    if not unique:
+        node = F.when(F.col("twice").isNull(), F.col("id")).otherwise(F.xxhash64("n_shingles", "f1", "f2"))
+        classes = C.materialize(classes.join(twice, F.col("id") == F.col("twice"), "left").withColumn("rep", node).drop("twice"), "classes")
     entries = classes.where("rep is not null").select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
     members = C.materialize(entries.join(shared, "key", "semi"), "members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = C.materialize(own.join(ids, "doc_id", "semi").select("doc_id", F.col("text").cast("binary").alias("text")), "texts")
+    ids = members.select("rep").distinct().join(classes.select("rep", "id", "rth"), "rep")
+    texts = C.materialize(own.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("rth")))
+                          .select(F.col("rep").alias("doc_id"), F.col("text").cast("binary").alias("text")), "texts")
     edges = None
     for t in _links(members, texts, k, percent):
         edges = t if edges is None else edges.union(t)
     comp = C.connected_components(edges.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    whole = classes.select("n_shingles", "f1", "f2", "rep").join(comp, F.col("rep") == F.col("node"), "left") \
-                   .select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("c"))
-    s = sig.select("doc_id", "n_shingles", "f1", "f2")
-    out = s.join(whole, ["n_shingles", "f1", "f2"], "left") \
-           .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    whole = classes.select("n_shingles", "f1", "f2", "id", "rth", "rep").join(comp, F.col("rep") == F.col("node"), "left") \
+                   .withColumn("c", F.coalesce("component", "rep"))
+    if unique:
+        whole = whole.withColumn("component_id", F.col("c")).withColumn("first", F.col("c") == F.col("rep"))
+    else:
+        least = whole.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "rth")).alias("m"))
+        whole = whole.join(least, "c", "left").withColumn("component_id", F.col("m.id")) \
+                     .withColumn("first", F.col("m") == F.struct("id", "rth"))
+    s = sig.select("doc_id", "th", "n_shingles", "f1", "f2")
+    out = s.join(whole.select("n_shingles", "f1", "f2", "id", "rth", "component_id", "first"), ["n_shingles", "f1", "f2"], "left")
+    kept = F.when((F.col("n_shingles") == 0) | F.col("id").isNull(), F.lit(True)) \
+            .otherwise(F.col("first") & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("rth")))
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept (the one row of its component that stays)."""
+    return _judged(docs, k, percent, key, text).drop("th")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    verdict = C.materialize(near_duplicates(docs, k, percent, key, text).select("doc_id", "kept"), "verdict")
-    gone = verdict.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(gone, F.col(key).cast("bigint") == F.col("__gone"), "anti")
-    again = C.materialize(verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-                          .select(F.col("doc_id").alias("__again")), "again")
+    verdict = C.materialize(_judged(docs, k, percent, key, text).where("doc_id is not null").select("doc_id", "th", "kept"), "verdict")
+    at = F.col(key).cast("bigint"), F.xxhash64(F.col(text))
+    gone = verdict.where("not kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    match = (at[0] == F.col("__d")) & (at[1] == F.col("__t"))
+    stay = docs.join(gone, match, "anti")
+    again = C.materialize(verdict.where("kept").groupBy("doc_id", "th").count().where("count > 1")
+                          .select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")), "again")
     if again.isEmpty():
         return stay
-    match = F.col(key).cast("bigint") == F.col("__again")
-    return stay.join(again, match, "anti").unionByName(stay.join(again, match, "semi").dropDuplicates([key]))
+    return stay.join(again, match, "anti").unionByName(stay.join(again, match, "semi").dropDuplicates([key, text]))
