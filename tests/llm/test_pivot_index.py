@@ -39,7 +39,7 @@ def test_messy_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(-40, 80)]
     rows += [(100, None), (101, [1.0, None, 2.0, 0.0, 0.0]), (102, [float("nan")] * 5), (200, [float("inf"), 0.0, 0.0, 0.0, 0.0]),
-             (300, []), (301, [0.5]), (None, [3.0, 1.0, 0.0, 0.0, 0.0]), (None, [3.0, 1.0, 0.0, 0.0, 0.0]), (400, [1e305, 0.0]),
+             (300, []), (301, [0.5]), (None, [3.0, 1.0, 0.0, 0.0, 0.0]), (None, [3.0, 1.0, 0.0, 0.0, 0.0]), (400, [1e306, 0.0]),
              (500, [0.1] * 5), (500, [0.1] * 5), (500, [0.1] * 5), (500, [0.2] * 5), (10, [0.1] * 5), (9, [0.1] * 5)]
     assert searched(spark, rows, k=7, by=10) == plainly(rows, 7, lambda i: i % 10 == 0)
 
