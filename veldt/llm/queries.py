@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import chat, decontam, exact_dedup, fim, html_extract, langid, minhash, mixing, pivot_index, quality_cnn, sharding, toxicity
+from veldt.llm import chat, decontam, exact_dedup, fim, html_extract, langid, minhash, mixing, pivot_index, quality_cnn, sharding, toxicity, whitening
 from veldt.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,7 @@ NO_ORACLE = {
     "op7_toxicity_chain": "trained models; held-out rows in the tests",
     "op8_min_cut_extraction": "minimum cuts; every labelling of small graphs in the tests",
     "op9_jump_hash_sharding": "CRC-32, which DuckDB lacks; plain Python in the tests",
+    "op12_qdwh_whitening": "eigenvectors; exact sums, NumPy's solver and the identity in the tests",
     "pipeline": "contains the above; brute force in the tests",
 }
 
@@ -197,6 +198,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.exact_top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, k=10)
 
 
+@query("op12_qdwh_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector projected on the 16 leading unit-variance components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 _OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, CAST('0x' || x[1:8] AS BIGINT) AS h1,
