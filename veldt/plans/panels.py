@@ -7,7 +7,6 @@ plain function so callers can stop at any level.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +25,26 @@ _STORE: dict = {}
 MATERIALIZE = True
 
 
+def source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """(files, bytes, newest change) of the panel's source tables, from the file system that holds
+    them: a stored stage is built anew when a source has changed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    stamp = []
+    for name in ("orders", "customer", "nation", "region"):
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        held = path.getFileSystem(conf).getContentSummary(path)
+        stamp.append((held.getFileCount(), held.getLength(), status.getModificationTime()))
+    return tuple(stamp)
+
+
 def materialized(spark: SparkSession, sf_dir: str, stage: str, build) -> DataFrame:
     if not MATERIALIZE:
         return build()
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), stage)
+    key = (spark.sparkContext.applicationId, sf_dir, source_stamp(spark, sf_dir), stage)
     path = _STORE.get(key)
     if path is None:
-        tag = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:8]
+        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
         path = scratch_path(spark, f"store/{stage}-{tag}-{uuid.uuid4().hex[:8]}")
         build().write.mode("overwrite").parquet(path)
         _STORE[key] = path

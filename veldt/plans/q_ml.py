@@ -2,15 +2,20 @@
 
 Model outputs depend on Spark ML's tree learner (not bit-comparable with any
 SQL engine), so only J1/J2 carry SQL oracles; the rest are rows-only checks
-backed by tests.  Registered fits use a reduced forest (50 trees, depth 10)
-to keep the check fast; ``ml.grid_search`` runs the full reference grid.
+backed by tests.  The full grid of each kind is fitted once per application on
+at most ``ml.LABELLED_ROWS`` labelled rows (the bound is that parameter), scored
+on all validation rows, and the chosen point's ensemble, medians and Platt
+scalers are stored in the shared checkpoint folder; every other query loads them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veldt import config as C
+from veldt.functions.ranking import global_row_number
 from veldt.operators import evaluate as EV
 from veldt.operators import ml as ML
 from veldt.plans import panels
@@ -18,30 +23,75 @@ from veldt.plans.registry import query
 from veldt.plans.sql_base import with_base
 from veldt.session import scratch_path
 
-RF_FAST = {"numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 1}
-GBT_FAST = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1}
-
 
 def _clean(spark, sf):
     return panels.featured(spark, sf).where(F.col("ndvi_missing") == 0)
 
 
-def _split(spark, sf):
-    f = _clean(spark, sf).persist()
-    return f.where("split = 'train'"), f.where("split = 'val'"), f.where("split = 'test'")
+def _split(spark, sf, split):
+    return _clean(spark, sf).where(F.col("split") == split)
+
+
+def _training(spark, sf):
+    """(imputed labelled rows within the bound, medians)."""
+    train = _split(spark, sf, "train")
+    med = ML.fit_medians(train)
+    return ML.bounded(ML.impute(train, med)), med
+
+
+def _pool(spark, sf, med):
+    """Unlabelled rows: train days without NDVI, all labels NULL."""
+    pool = panels.featured(spark, sf).where("split = 'train' AND ndvi_missing = 1")
+    for lab in C.LABEL_COLS:
+        pool = pool.withColumn(lab, F.lit(None).cast("int"))
+    return ML.impute(pool, med)
+
+
+#: (application, source, kind) -> (stored scorer's folder, grid points, place of the chosen one)
+_PICKED: dict = {}
+
+
+def picked(spark, sf, kind):
+    """The grid of ``kind``, fitted once per application: (folder of the stored scorer, points, chosen place)."""
+    key = (spark.sparkContext.applicationId, sf, panels.source_stamp(spark, sf), kind)
+    if key not in _PICKED:
+        train, med = _training(spark, sf)
+        val = ML.impute(_split(spark, sf, "val"), med)
+        grid = ML.grid_search(train, val, kind)
+        bundle = grid.bundles[grid.best]
+        raw = EV.to_long(ML.predict_bundle(bundle, val, prefix=""), [])
+        path = scratch_path(spark, f"models/{kind}-{uuid.uuid4().hex[:8]}")
+        ML.Scorer(bundle, med, ML.platt(raw)).save(spark, path)
+        _PICKED[key] = path, grid.points, grid.best
+    return _PICKED[key]
+
+
+def _scorer(spark, sf, kind="rf"):
+    return ML.Scorer.load(spark, picked(spark, sf, kind)[0])
 
 
-def _fit(spark, sf, kind="rf", params=None):
-    tr, va, te = _split(spark, sf)
-    med = ML.fit_medians(tr)
-    trn, van, ten = ML.impute(tr, med), ML.impute(va, med), ML.impute(te, med)
-    bundle = ML.fit_bundle(trn, kind, params or (RF_FAST if kind == "rf" else GBT_FAST))
-    return bundle, med, trn, van, ten
+def _params(spark, sf, kind="rf"):
+    _, points, best = picked(spark, sf, kind)
+    return points[best]["params"]
 
 
-def _eval(bundle, df, keys=("entity", "day")):
-    scored = ML.predict_bundle(bundle, df, prefix="")
-    return EV.to_long(scored, list(keys))
+def _test_long(spark, sf, kind="rf"):
+    """(entity, day, threat, y, p) of the test split under the chosen, calibrated model."""
+    return EV.to_long(_scorer(spark, sf, kind).score(_split(spark, sf, "test")), ["entity", "day"])
+
+
+def _grid_rows(spark, sf, kind):
+    _, points, best = picked(spark, sf, kind)
+    names = list(points[0]["params"])
+    rows = [(*[float(p["params"][k]) for k in names], *[p["f2"].get(t) for t in C.THREATS], p["mean_f2"], i == best) for i, p in enumerate(points)]
+    schema = ", ".join([f"{k} double" for k in (*names, *[f"f2_{t}" for t in C.THREATS], "mean_f2")] + ["chosen boolean"])
+    return spark.createDataFrame(rows, schema)  # one row a grid point
+
+
+def _with_point(m, spark, sf, kind):
+    for k, v in _params(spark, sf, kind).items():
+        m = m.withColumn(k, F.lit(float(v)))
+    return m
 
 
 @query("j01_median_impute", sql=with_base(
@@ -74,48 +124,65 @@ def j02_class_weights(spark, sf):
     return cnt.withColumn("weight", F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c")))
 
 
+@query("j02_positive_weight", sql=with_base("""
+SELECT threat, CASE WHEN sum(y) > 0 THEN CAST(count(*) - sum(y) AS DOUBLE) / sum(y) ELSE 1.0 END AS pos_weight FROM (
+  SELECT 'fire' AS threat, fire_within_30d AS y FROM featured WHERE ndvi_missing = 0 AND split = 'train'
+  UNION ALL SELECT 'drought', drought_within_30d FROM featured WHERE ndvi_missing = 0 AND split = 'train'
+  UNION ALL SELECT 'vegetation', vegetation_within_30d FROM featured WHERE ndvi_missing = 0 AND split = 'train')
+WHERE y IS NOT NULL GROUP BY threat""", upto="featured"))
+def j02_positive_weight(spark, sf):
+    """n_neg / n_pos per threat, the weight of positives in boosted fits."""
+    train = _split(spark, sf, "train")
+    return ML.positive_weights(EV.to_long(train.select(*C.LABEL_COLS, *[F.lit(0.0).alias(p) for p in C.PROB_COLS]), []))
+
+
+@query("j03_forest_grid", no_oracle="Spark ML random forests; invariants in tests")
+def j03_forest_grid(spark, sf):
+    """Eight grid points of weighted forests with validation F2 per threat, their mean and the chosen one."""
+    return _grid_rows(spark, sf, "rf")
+
+
+@query("j04_boosted_grid", no_oracle="Spark ML gradient-boosted trees; invariants in tests")
+def j04_boosted_grid(spark, sf):
+    """Eight grid points of boosted trees with validation F2 per threat, their mean and the chosen one."""
+    return _grid_rows(spark, sf, "gbt")
+
+
 @query("j03_forest_test_metrics", no_oracle="Spark ML random forest output; rows-only")
 def j03_forest_test_metrics(spark, sf):
-    """Per-threat weighted random forests (J3, J7, J11): test metrics, AUC and AP."""
-    bundle, _, _, _, te = _fit(spark, sf, "rf")
-    lg = _eval(bundle, te)
-    return EV.metrics(lg).join(EV.auc_ap(lg), "threat")
+    """The chosen forest, calibrated, on test: metrics, AUC and AP per threat, with its grid point."""
+    lg = _test_long(spark, sf, "rf")
+    return _with_point(EV.metrics(lg).join(EV.auc_ap(lg), "threat"), spark, sf, "rf")
 
 
 @query("j04_boosted_test_metrics", no_oracle="Spark ML gradient-boosted trees output; rows-only")
 def j04_boosted_test_metrics(spark, sf):
-    """Per-threat gradient-boosted trees with 0.8 subsampling (J4): test metrics."""
-    bundle, _, _, _, te = _fit(spark, sf, "gbt")
-    lg = _eval(bundle, te)
-    return EV.metrics(lg).join(EV.auc_ap(lg), "threat")
+    """The chosen boosted trees, calibrated, on test: metrics, AUC and AP per threat, with its grid point."""
+    lg = _test_long(spark, sf, "gbt")
+    return _with_point(EV.metrics(lg).join(EV.auc_ap(lg), "threat"), spark, sf, "gbt")
 
 
-@query("j05_self_training", no_oracle="iterative pseudo-labelling with model fits; rows-only")
+@query("j05_self_training", no_oracle="iterative pseudo-labelling with model fits; invariants in tests")
 def j05_self_training(spark, sf):
-    """Self-training with the all-threat confidence gate, <= 5 rounds (J5, G3); per-round additions."""
-    tr, va, te = _split(spark, sf)
-    med = ML.fit_medians(tr)
-    pool = panels.featured(spark, sf).where("split = 'train' AND ndvi_missing = 1")
-    for lab in C.LABEL_COLS:
-        pool = pool.withColumn(lab, F.lit(None).cast("int"))
-    bundle, hist = ML.self_train(ML.impute(tr, med), ML.impute(pool, med), "rf", RF_FAST)
-    lg = _eval(bundle, ML.impute(te, med))
-    m = EV.metrics(lg).select("threat", "f2")
+    """Self-training with the all-threat confidence gate, <= 5 rounds, at the chosen forest's point."""
+    train, med = _training(spark, sf)
+    bundle, hist = ML.self_train(train, _pool(spark, sf, med), "rf", _params(spark, sf))
+    lg = EV.to_long(ML.predict_bundle(bundle, ML.impute(_split(spark, sf, "test"), med), prefix=""), [])
     # the loop history is a handful of driver-side counters (one per round)
-    return (m.withColumn("rounds", F.lit(len(hist)))
-             .withColumn("pseudo_labelled", F.lit(int(sum(h["added"] for h in hist))).cast("bigint")))
+    return (EV.metrics(lg).select("threat", "f2").withColumn("rounds", F.lit(len(hist)))
+            .withColumn("pseudo_labelled", F.lit(int(sum(h["added"] for h in hist))).cast("bigint")))
 
 
-@query("j06_self_training_per_threat", no_oracle="iterative pseudo-labelling with model fits; rows-only")
+@query("j06_self_training_per_threat", no_oracle="iterative pseudo-labelling with model fits; a plain loop in tests")
 def j06_self_training_per_threat(spark, sf):
-    """Self-training where each threat keeps its own confident pseudo-labels."""
-    tr, va, te = _split(spark, sf)
-    med = ML.fit_medians(tr)
-    pool = panels.featured(spark, sf).where("split = 'train' AND ndvi_missing = 1")
-    for lab in C.LABEL_COLS:
-        pool = pool.withColumn(lab, F.lit(None).cast("int"))
-    bundle, hist = ML.self_train(ML.impute(tr, med), ML.impute(pool, med), "rf", RF_FAST, per_threat=True)
-    return EV.metrics(_eval(bundle, ML.impute(te, med))).select("threat", "n", "f2", "precision", "recall")
+    """Self-training with a pool of its own for each threat, isotonic calibration on validation (J6, J10, G3):
+    test metrics with rounds, pseudo labels and what is left in the pool."""
+    train, med = _training(spark, sf)
+    bundle, sizes = ML.self_train_per_threat(train, _pool(spark, sf, med), "rf", _params(spark, sf))
+    scored = {s: EV.to_long(ML.predict_bundle(bundle, ML.impute(_split(spark, sf, s), med), prefix=""), []) for s in ("val", "test")}
+    m = EV.metrics(ML.apply_isotonic(scored["test"], ML.isotonic(scored["val"])).withColumn("p", F.col("p_cal")))
+    per = sizes.groupBy("threat").agg(F.max("round").alias("rounds"), F.sum("added").alias("pseudo_labelled"), F.min("left").alias("pool_left"))
+    return m.select("threat", "n", "f2", "precision", "recall").join(per, "threat", "left")
 
 
 def _score_long(spark, sf, split):
@@ -149,52 +216,62 @@ def j10_isotonic_calibration(spark, sf):
 
 @query("j11_batch_scoring", no_oracle="model scores; rows-only")
 def j11_batch_scoring(spark, sf):
-    """Latest day per entity scored: impute -> forest -> clip (J11) on serving features."""
+    """Latest day per entity scored by the stored scorer: impute -> forest -> calibrate -> clip (J11) on serving features."""
     from veldt.operators import readmodel as R
     from veldt.operators import serving as SV
-    bundle, med, _, _, _ = _fit(spark, sf, "rf")
     serve = R.latest_per_entity(SV.serve_vector(SV.serve_features(panels.raw_panel(spark, sf))))
-    scored = ML.predict_bundle(bundle, ML.impute(serve, med), prefix="")
-    return scored.select("entity", "day", *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))).alias(p)
-                                           for p in C.PROB_COLS])
+    return _scorer(spark, sf).score(serve).select("entity", "day", *C.PROB_COLS)
+
+
+def _with_ci(long):
+    """Per threat: f2, its bootstrap interval, roc_auc, recall, precision."""
+    m = EV.metrics(long)
+    ci = EV.bootstrap_f2(m).select("threat", "ci_lower", "ci_upper")
+    return m.join(ci, "threat").join(EV.auc_ap(long).select("threat", "roc_auc"), "threat").select(
+        "threat", "f2", "ci_lower", "ci_upper", "roc_auc", "recall", "precision")
 
 
 @query("j22_config_comparison", no_oracle="bootstrap CIs of model outputs; rows-only")
 def j22_config_comparison(spark, sf):
-    """Forest vs deterministic score: F2 delta per threat with bootstrap CI overlap."""
-    bundle, _, _, _, te = _fit(spark, sf, "rf")
-    a = EV.bootstrap_f2(EV.metrics(_eval(bundle, te))).select(
-        "threat", F.col("f2_point").alias("f2_a"), F.col("ci_lower").alias("lo_a"), F.col("ci_upper").alias("hi_a"))
-    b = EV.bootstrap_f2(EV.metrics(panels.eval_long(spark, sf))).select(
-        "threat", F.col("f2_point").alias("f2_b"), F.col("ci_lower").alias("lo_b"), F.col("ci_upper").alias("hi_b"))
-    j = a.join(b, "threat")
-    return j.withColumn("delta", F.col("f2_a") - F.col("f2_b")).withColumn(
+    """Chosen forest vs deterministic score: F2 delta per threat with bootstrap CI overlap."""
+    a = _with_ci(_test_long(spark, sf)).select("threat", F.col("f2").alias("f2_a"), F.col("ci_lower").alias("lo_a"), F.col("ci_upper").alias("hi_a"))
+    b = _with_ci(panels.eval_long(spark, sf)).select("threat", F.col("f2").alias("f2_b"), F.col("ci_lower").alias("lo_b"), F.col("ci_upper").alias("hi_b"))
+    return a.join(b, "threat").withColumn("delta", F.col("f2_a") - F.col("f2_b")).withColumn(
         "ci_overlap", (F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a")))
 
 
+def _leaderboard(spark, sf):
+    """(config, threat, metrics): chosen forest, chosen boosted trees, deterministic score, persistence."""
+    score = panels.eval_long(spark, sf)
+    runs = [("forest", _test_long(spark, sf, "rf")), ("boosted", _test_long(spark, sf, "gbt")), ("score", score), ("persistence", EV.persistence(score))]
+    parts = [_with_ci(long.select("threat", "y", "p")).withColumn("config", F.lit(name)) for name, long in runs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("j23_leaderboard", no_oracle="model outputs; rows-only")
 def j23_leaderboard(spark, sf):
-    """Configurations ranked by mean test F2 (J23, F4, D22 pivot of per-threat F2)."""
-    bundle, _, _, _, te = _fit(spark, sf, "rf")
-    rf = EV.metrics(_eval(bundle, te)).select(F.lit("forest").alias("config"), "threat", "f2")
-    det = EV.metrics(panels.eval_long(spark, sf)).select(F.lit("score").alias("config"), "threat", "f2")
-    pers = EV.metrics(EV.persistence(panels.eval_long(spark, sf))).select(
-        F.lit("persistence").alias("config"), "threat", "f2")
-    long = rf.unionByName(det).unionByName(pers)
-    wide = long.groupBy("config").pivot("threat", C.THREATS).agg(F.first("f2"))
+    """Configurations ranked by mean test F2 with the pick (J23, F4, D22 pivot of per-threat F2)."""
+    wide = _leaderboard(spark, sf).groupBy("config").pivot("threat", C.THREATS).agg(F.first("f2"))
     wide = wide.withColumn("mean_f2", (F.col("fire") + F.col("drought") + F.col("vegetation")) / F.lit(3.0))
-    from veldt.functions.ranking import global_row_number
-    return global_row_number(wide, [F.col("mean_f2").desc(), F.col("config")], out="rank")
+    ranked = global_row_number(wide, [F.col("mean_f2").desc(), F.col("config")], out="rank")
+    return ranked.withColumn("picked", F.col("rank") == 1)
+
+
+@query("j23_production_summary", no_oracle="model outputs; rows-only")
+def j23_production_summary(spark, sf):
+    """Per-threat summary of the best configuration, rounded to 4 places: F2 with interval, AUC, recall, precision."""
+    long = _leaderboard(spark, sf)
+    means = long.groupBy("config").agg(F.avg("f2").alias("mean_f2"))
+    best = means.agg(F.max_by("config", F.struct("mean_f2", "config")).alias("config"), F.max("mean_f2").alias("mean_f2"))  # one row
+    four = [F.round(c, 4).alias(c) for c in ("f2", "ci_lower", "ci_upper", "roc_auc", "recall", "precision")]
+    return long.join(F.broadcast(best), "config").select("config", "threat", F.round("mean_f2", 4).alias("mean_f2"), *four)
 
 
 @query("j24_reevaluate_saved", no_oracle="reload of saved models; rows-only")
 def j24_reevaluate_saved(spark, sf):
-    """Save the per-threat pipelines, reload them and re-evaluate on test (J24, PipelineModel.save)."""
-    from pyspark.ml import PipelineModel
-    import uuid
-    bundle, _, _, _, te = _fit(spark, sf, "rf")
-    base = scratch_path(spark, f"models-{uuid.uuid4().hex[:8]}")
-    for t, m in bundle.items():
-        m.write().overwrite().save(f"{base}/{t}")
-    loaded = {t: PipelineModel.load(f"{base}/{t}") for t in C.THREATS}
-    return EV.metrics(_eval(loaded, te)).select("threat", "n", "f2", "brier")
+    """Stored ensembles reloaded and evaluated again on test, forest and boosted."""
+    parts = [EV.metrics(_test_long(spark, sf, k)).select(F.lit(k).alias("kind"), "threat", "n", "f2", "brier") for k in ("rf", "gbt")]
+    return parts[0].unionByName(parts[1])
