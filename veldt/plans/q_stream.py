@@ -2,50 +2,105 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from veldt import config as C
 from veldt.operators import merge as M
+from veldt.operators import ml as ML
 from veldt.operators import readmodel as R
 from veldt.operators import serving as SV
 from veldt.plans import panels
+from veldt.plans.q_ml import picked
 from veldt.plans.q_readmodel import serve_sql
 from veldt.plans.registry import query
 from veldt.plans.sql_base import with_base
+from veldt.sources import tables
 from veldt.streaming import daily as D
 
 
+def _land(spark, sf, base):
+    """The whole panel as landed files, the 13th of each month later than the rest, and before that
+    every March once more with other values, which a stored key must not take."""
+    raw = panels.raw_panel(spark, sf)
+    late = F.dayofmonth("day") == 13
+    D.land(raw.where(~late), f"{base}/landing")
+    D.land(raw.where(~late & (F.month("day") == 3)).withColumn("precip_units", F.col("precip_units") + 10_000_000)
+              .withColumn("firms_count", F.col("firms_count") + 9), f"{base}/landing", files=4)
+    D.land(raw.where(late), f"{base}/landing", files=4)
+
+
 @query("i01_stream_features", sql=serve_sql(
     "SELECT entity, day, history_rows, " + ", ".join(C.FEATURE_COLS) + " FROM serve"))
 def i01_stream_features(spark, sf):
-    """Landed daily files -> availableNow micro-batches -> store + upserted serving
-    features; 90-day trailing state read per batch; equals the batch serving profile (I1, I2, I3, I5)."""
+    """Landed daily files, duplicates and late ones among them -> availableNow micro-batches -> store and
+    versioned serving features; 90-day trailing state read per batch; equals the batch serving profile (I1, I2, I3, I5)."""
     base = D.fresh_base(spark, "daily-stream")
-    D.land(panels.raw_panel(spark, sf), f"{base}/landing")
-    paths = D.daily_feature_stream(spark, f"{base}/landing", base, max_files=4)
-    return D.read_features(spark, paths["features"]).select("entity", "day", "history_rows", *C.FEATURE_COLS)
+    _land(spark, sf, base)
+    D.daily_stream(spark, f"{base}/landing", base, max_files=6)
+    return D.current(spark, base, "features").select("entity", "day", "history_rows", *C.FEATURE_COLS)
+
+
+@query("i01_stream_forecasts", sql=serve_sql(
+    f"SELECT entity, count(*) AS n_forecasts, count(*) AS n_equal_to_batch FROM serve WHERE history_rows >= {C.SERVE_MIN_ROWS} GROUP BY entity"))
+def i01_stream_forecasts(spark, sf):
+    """The same stream with the stored, calibrated forest in each micro-batch: forecasts per entity and how
+    many of them equal the batch scoring of that day (I1, J11, B15)."""
+    scorer = ML.Scorer.load(spark, picked(spark, sf, "rf")[0])
+    base = D.fresh_base(spark, "daily-scores")
+    _land(spark, sf, base)
+    D.daily_stream(spark, f"{base}/landing", base, max_files=6, scorer=scorer)
+    serve = SV.serve_vector(SV.serve_features(panels.raw_panel(spark, sf))).where(F.col("history_rows") >= C.SERVE_MIN_ROWS)
+    batch = scorer.score(serve).select("entity", "day", *[F.col(p).alias(f"b_{p}") for p in C.PROB_COLS])
+    j = D.current(spark, base, "forecasts").join(batch, ["entity", "day"], "left")
+    same = reduce(lambda a, b: a & b, [F.abs(F.col(p) - F.col(f"b_{p}")) < 1e-12 for p in C.PROB_COLS])
+    return j.groupBy("entity").agg(F.count(F.lit(1)).alias("n_forecasts"), F.count_if(same).alias("n_equal_to_batch"))
+
+
+def _late_free(sql):
+    """``events`` as the stream counts them: without those that come behind the watermark."""
+    return sql.replace("FROM events", """FROM (SELECT * FROM events, (SELECT CAST(min(ts) AS DATE) AS d0,
+  date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) // 3 + 1 AS files FROM events)
+  WHERE NOT (event_id % 40 = 7 AND date_diff('day', d0, CAST(ts AS DATE)) // 3 + 4 < files)) AS events""")
+
+
+def _counts(spark, sf, **how):
+    base = D.fresh_base(spark, "event-stream")
+    D.land_events(tables.read(spark, sf, "events"), f"{base}/landing")
+    return D.event_counts_stream(spark, f"{base}/landing", base, **how)
 
 
-@query("i09_event_counts", sql="""
+@query("i09_event_counts", sql=_late_free("""
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
-  count(*) AS n FROM events GROUP BY ALL""")
+  count(*) AS n FROM events GROUP BY ALL"""))
 def i09_event_counts(spark, sf):
-    """Event-time daily counts per event type from the events stream with a watermark."""
-    base = D.fresh_base(spark, "event-stream")
-    out = D.event_counts_stream(spark, sf, base)
-    return M.latest_version(spark.read.parquet(out), ["window_start", "event_type"], "version").drop("version")
+    """Event-time daily counts per event type over ten arriving files: duplicates counted once, events
+    behind the watermark not at all (I3, I9)."""
+    return D.event_counts(spark, _counts(spark, sf)["out"])
 
 
-@query("i09_sliding_counts", sql="""
+@query("i09_sliding_counts", sql=_late_free("""
 SELECT w AS window_start, w + INTERVAL 7 DAY AS window_end, event_type, count(*) AS n
 FROM events, LATERAL (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts),
                                                      INTERVAL 1 DAY)) AS w)
-GROUP BY ALL""")
+GROUP BY ALL"""))
 def i09_sliding_counts(spark, sf):
-    """Sliding 7-day windows every day (event time, watermark 7 days)."""
-    base = D.fresh_base(spark, "event-sliding")
-    out = D.event_counts_stream(spark, sf, base, watermark="7 days", window="7 days", slide="1 day")
-    return M.latest_version(spark.read.parquet(out), ["window_start", "event_type"], "version").drop("version")
+    """Sliding 7-day windows every day over the same files (event time, watermark 2 days)."""
+    return D.event_counts(spark, _counts(spark, sf, watermark="2 days", window="7 days", slide="1 day")["out"])
+
+
+@query("i03_dropped_rows", sql="""
+WITH e AS (SELECT event_id, date_diff('day', d0, CAST(ts AS DATE)) // 3 AS c, files FROM events, (SELECT CAST(min(ts) AS DATE) AS d0,
+    date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) // 3 + 1 AS files FROM events)),
+f AS (SELECT event_id % 40 = 7 AND c + 4 < files AS late, event_id % 10 = 3 AND NOT (event_id % 40 = 7 AND c + 4 < files) AND c + 1 < files AS twice FROM e)
+SELECT count(*) + count(*) FILTER (twice) AS landed, count(*) FILTER (late) + count(*) FILTER (twice) AS dropped,
+  count(*) FILTER (NOT late) AS counted FROM f""")
+def i03_dropped_rows(spark, sf):
+    """Rows landed, dropped (behind the watermark or seen before) and counted by the event stream."""
+    got = _counts(spark, sf)
+    return D.event_counts(spark, got["out"]).agg(F.lit(got["landed"]).cast("bigint").alias("landed"),
+                                                 F.lit(got["dropped"]).cast("bigint").alias("dropped"), F.sum("n").alias("counted"))
 
 
 _GAP = ("2001-03-01", "2001-03-31")
