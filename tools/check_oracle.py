@@ -67,7 +67,7 @@ def main():
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     catalog.load_all()
-    spark = get_spark("local[8]", 8)
+    spark = get_spark("local[8]", 8, extra={"spark.ui.showConsoleProgress": "false"})
     if a.tz:
         spark.conf.set("spark.sql.session.timeZone", a.tz)
     con = duckdb.connect()

@@ -12,6 +12,8 @@ MODULES = [
     "veldt.plans.q_ml",
     "veldt.plans.q_stream",
     "veldt.plans.q_sources",
+    "veldt.plans.q_spatial",
+    "veldt.plans.q_store",
 ]
 
 

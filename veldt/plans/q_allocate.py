@@ -51,9 +51,11 @@ def scenario_grid(spark, sf, families=FAMILIES):
 
 
 def plans_for(spark, sf, families=FAMILIES):
+    """(plans, catalog); the plans of the standard families are solved once and stored."""
     cat = A.catalog_df(spark)
-    scen = scenario_grid(spark, sf, families)
-    return A.solve(scen, cat), cat
+    if families is FAMILIES:
+        return panels.materialized(spark, sf, "plans", lambda: A.solve(scenario_grid(spark, sf), cat)), cat
+    return A.solve(scenario_grid(spark, sf, families), cat), cat
 
 
 # ------------------------------------------------------------------ SQL side

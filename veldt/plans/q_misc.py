@@ -188,21 +188,6 @@ def h13_quadrant_zones(spark, sf):
     return RL.quadrants(bb)
 
 
-@query("c13_points_in_zones", sql=with_base("""
-SELECT q.entity, q.zone_no, count(*) AS n_points FROM pts p JOIN quads q ON p.entity = q.entity
-  AND p.lon BETWEEN q.z_min_lon AND q.z_max_lon AND p.lat BETWEEN q.z_min_lat AND q.z_max_lat
-GROUP BY q.entity, q.zone_no""", upto="panel", extra=_POINTS_SQL))
-def c13_points_in_zones(spark, sf):
-    """Rectangle containment (inclusive) of points in their entity's zones (C13): equi on entity + range."""
-    p = _points(spark, sf)
-    bb = p.groupBy("entity").agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"),
-                                 F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
-    q = RL.quadrants(bb)
-    j = p.join(q, "entity").where(F.col("lon").between(F.col("z_min_lon"), F.col("z_max_lon"))
-                                  & F.col("lat").between(F.col("z_min_lat"), F.col("z_max_lat")))
-    return j.groupBy("entity", "zone_no").agg(F.count(F.lit(1)).alias("n_points"))
-
-
 @query("h11_h12_polygon_centroid", sql=None, no_oracle="array/transform geometry; checked in tests against "
                                                        "the circle centre")
 def h11_h12_polygon_centroid(spark, sf):
