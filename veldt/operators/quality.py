@@ -7,10 +7,15 @@ map side), with ``rollup``/``cube`` where the report needs pooled totals and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt import config as C
+from veldt.functions import scalar as S
 
 
 def label_base_rates(labelled: DataFrame, labels=None, key: str = "entity") -> DataFrame:
@@ -108,12 +113,6 @@ def exact_mean(c: str, scale: int = 9):
     return F.sum(F.col(c).cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
 
 
-def safe_corr(a, b):
-    """Pearson r as covar / (std * std); NULL (not an ANSI error) for a constant input."""
-    den = F.stddev_samp(a) * F.stddev_samp(b)
-    return F.covar_samp(a, b) / F.nullif(den, F.lit(0.0))
-
-
 def month_entity_stats(featured: DataFrame, cols: list[str]) -> DataFrame:
     """Mean and sample std per entity x month."""
     aggs = []
@@ -169,48 +168,67 @@ def box_stats(featured: DataFrame, cols: list[str]) -> DataFrame:
         F.count_if(~inside).alias("n_outliers"))
 
 
-def _pair_stats(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Pearson statistics for many (name_a, name_b, col_a, col_b) pairs in one pass.
+def co_moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete moments of every pair of columns in one block (D16, D17): a, b (in the order of
+    ``cols``, a = b included), n, sa, sb, saa, sbb, sab of the values less each column's minimum.
+
+    A task multiplies its rows' matrix with itself and sends one small block (a row per pair), whatever
+    it has read; blocks add up, so the input is neither widened nor shuffled.  NULL and NaN are missing."""
+    low = df.agg(*[F.min(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in cols]).first()  # one row
+    shift = np.array([0.0 if low[c] is None else low[c] for c in cols])
+    i, j = np.triu_indices(len(cols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(i)))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) - shift
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            n, s, q, p = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+            total += np.stack([n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(v) for v in total]], names=["i", "j", *_MOMENTS])
+
+    blocks = df.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(run, "i long, j long, " + ", ".join(f"{m} double" for m in _MOMENTS))
+    names = F.array(*[F.lit(c) for c in cols])
+    return blocks.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in _MOMENTS]).select(
+        F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), *_MOMENTS)
+
 
-    Each input row is expanded (``inline``) into one (a, b, x, y) row per pair
-    with both values present and streamed into ONE grouped aggregate with
-    map-side partial aggregation: small, code-generated aggregate functions
-    instead of hundreds of expressions in a single aggregate."""
-    arr = F.array(*[F.struct(F.lit(na).alias("a"), F.lit(nb).alias("b"),
-                             F.col(ca).cast("double").alias("x"), F.col(cb).cast("double").alias("y"))
-                    for na, nb, ca, cb in pairs])
-    long = df.select(F.inline(arr)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return long.groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("r"),
-                                      F.count(F.lit(1)).alias("n"))
+_MOMENTS = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+
+def pearson() -> Column:
+    """r from the moments; NULL for fewer than two rows or a column without variance."""
+    n = F.nullif(F.col("n"), F.lit(0.0))
+
+    def spread(ss: str, s: str) -> Column:  # NULL where only rounding is left
+        v = F.col(ss) - F.col(s) * F.col(s) / n
+        return F.when(v > 1e-14 * F.col(ss), v)
+
+    return F.when(F.col("n") > 1, (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread("saa", "sa") * spread("sbb", "sb")))
 
 
 def point_biserial(featured: DataFrame, cols: list[str], min_n: int = 30, top: int = 5) -> DataFrame:
-    """Feature-label correlation r with n and t; NULL under min_n pairs; top-k by |r|.
-
-    The p-value uses the normal approximation of t (adequate for n >= 30)."""
-    pairs = [(lab, c, c, lab) for lab in C.LABEL_COLS for c in cols]
-    st = _pair_stats(featured, pairs).withColumnRenamed("a", "label").withColumnRenamed("b", "feature")
-    # pairs without any complete row still appear (n = 0, r NULL)
-    allp = featured.sparkSession.createDataFrame([(lab, c) for lab, c, _, _ in pairs], "label string, feature string")
-    long = allp.join(st, ["label", "feature"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    r = F.when(F.col("n") >= min_n, F.col("r"))
-    t = r * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - r * r))
-    long = long.withColumn("r", r).withColumn("t", t)
-    # two-sided p from the standard normal tail (Abramowitz-Stegun 26.2.17)
-    z = F.abs(F.col("t"))
-    k = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * z)
-    poly = k * (F.lit(0.319381530) + k * (F.lit(-0.356563782) + k * (F.lit(1.781477937)
-                + k * (F.lit(-1.821255978) + k * F.lit(1.330274429)))))
-    tail = F.lit(0.3989422804014327) * F.exp(-z * z / 2) * poly
-    long = long.withColumn("p_value", F.lit(2.0) * tail)
-    from pyspark.sql import Window
+    """Feature-label correlation r with n, t and the exact two-sided p; NULL under min_n pairs; top-k by |r|."""
+    m = co_moments(featured, [*cols, *C.LABEL_COLS]).where(F.col("a").isin(cols) & F.col("b").isin(C.LABEL_COLS))
+    n = F.col("n").cast("bigint")
+    long = m.select(F.col("b").alias("label"), F.col("a").alias("feature"), n.alias("n"), F.when(n >= min_n, pearson()).alias("r"))
+    long = long.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(F.lit(1.0) - F.col("r") * F.col("r"), F.lit(0.0))))
+    long = long.withColumn("p_value", F.when(F.abs("r") == 1, F.lit(0.0)).otherwise(S.student_t_p(F.col("t"), F.col("n") - 2)))
     w = Window.partitionBy("label").orderBy(F.abs(F.col("r")).desc_nulls_last(), F.col("feature"))
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete Pearson r of all column pairs, both ways and with the diagonal (D17): feature_a, feature_b, r, n."""
+    half = co_moments(df, cols).select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), pearson().alias("r"),
+                                       F.col("n").cast("bigint").alias("n"))
+    both = F.array(F.struct("feature_a", "feature_b"), F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b")))
+    sides = F.when(F.col("feature_a") == F.col("feature_b"), F.slice(both, 1, 1)).otherwise(both)
+    return half.select(F.inline(sides), "r", "n")
+
+
 def correlation_pairs(df: DataFrame, cols: list[str], threshold: float = 0.80) -> DataFrame:
-    """Pairwise-complete Pearson r for every feature pair in one pass; |r| > threshold."""
-    pairs = [(a, b, a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    st = _pair_stats(df, pairs)
-    return st.select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "r").where(
-        F.abs(F.col("r")) > threshold)
+    """Feature pairs with |r| > threshold, from the same block."""
+    st = co_moments(df, cols).where("a <> b").select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), pearson().alias("r"))
+    return st.where(F.abs(F.col("r")) > threshold)

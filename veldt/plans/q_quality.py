@@ -147,22 +147,38 @@ _PB_PAIRS = " UNION ALL ".join(
     f" AS n FROM featured WHERE {CLEAN_TRAIN_SQL}" for lab in C.LABEL_COLS for c in FEATURES)
 
 
-@query("d16_point_biserial", sql=with_base("""
-SELECT label, feature, n, r, t,
-  2.0 * 0.3989422804014327 * exp(-abs(t) * abs(t) / 2)
-    * (1.0 / (1.0 + 0.2316419 * abs(t))) * (0.319381530 + (1.0 / (1.0 + 0.2316419 * abs(t))) * (-0.356563782
-    + (1.0 / (1.0 + 0.2316419 * abs(t))) * (1.781477937 + (1.0 / (1.0 + 0.2316419 * abs(t))) * (-1.821255978
-    + (1.0 / (1.0 + 0.2316419 * abs(t))) * 1.330274429)))) AS p_value, rank
-FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(r) DESC NULLS LAST, feature) AS rank FROM (
+# the oracle's p: the finite trigonometric series of Student's distribution for whole degrees of freedom
+_PB_CTES = """
+pb AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(r) DESC NULLS LAST, feature) AS rank FROM (
   SELECT label, feature, n, r, r * sqrt((n - 2) / (1.0 - r * r)) AS t FROM (
-    SELECT label, feature, n, CASE WHEN n >= 30 THEN r0 END AS r FROM (""" + _PB_PAIRS + """))))
-WHERE rank <= 5""", upto="featured"))
+    SELECT label, feature, n, CASE WHEN n >= 30 THEN r0 END AS r FROM (""" + _PB_PAIRS + """)))),
+top AS (SELECT *, n - 2 AS v, atan2(abs(t), sqrt(n - 2)) AS theta, (n - 2) / (n - 2 + t * t) AS c2 FROM pb WHERE rank <= 5),
+term AS (SELECT label, feature, exp(sum(ln(c2 * CASE WHEN v % 2 = 0 THEN (2.0 * i - 1) / (2.0 * i) ELSE 2.0 * i / (2.0 * i + 1) END)) OVER (
+    PARTITION BY label, feature ORDER BY i)) AS x
+  FROM (SELECT *, unnest(range(1, (v - 2 - v % 2) // 2 + 1)) AS i FROM top WHERE t IS NOT NULL)),
+total AS (SELECT label, feature, 1 + sum(x) AS s FROM term GROUP BY label, feature)"""
+
+
+@query("d16_point_biserial", sql=with_base("""
+SELECT label, feature, n, r, t, 1 - CASE WHEN v % 2 = 0 THEN sin(theta) * s ELSE 2 / pi() * (theta + sin(theta) * cos(theta) * s) END AS p_value, rank
+FROM top LEFT JOIN total USING (label, feature)""", upto="featured", extra=_PB_CTES))
 def d16_point_biserial(spark, sf):
-    """Feature-label correlation, t and normal-approx p; top 5 per label by |r|."""
+    """Feature-label correlation, t and exact two-sided p; top 5 per label by |r|."""
     return Q.point_biserial(_clean_train(spark, sf), FEATURES).select(
         "label", "feature", "n", "r", "t", "p_value", "rank")
 
 
+@query("d17_correlation_matrix", sql=with_base("""
+SELECT feature_a, feature_b, r, n FROM m UNION ALL SELECT feature_b, feature_a, r, n FROM m WHERE feature_a <> feature_b""",
+    upto="featured", extra="m AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_corr(a, b, f'{a} IS NOT NULL AND {b} IS NOT NULL')} AS r, "
+        f"count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM featured WHERE {CLEAN_TRAIN_SQL}"
+        for i, a in enumerate(CONTINUOUS) for b in CONTINUOUS[i:]) + ")"))
+def d17_correlation_matrix(spark, sf):
+    """Full matrix of pairwise-complete Pearson r."""
+    return Q.correlation_matrix(_clean_train(spark, sf), CONTINUOUS)
+
+
 @query("d17_correlation_pairs", sql=with_base("SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_corr(a, b, f'{a} IS NOT NULL AND {b} IS NOT NULL')}"
     f" AS r FROM featured WHERE {CLEAN_TRAIN_SQL}" for i, a in enumerate(CONTINUOUS) for b in CONTINUOUS[i + 1:])
