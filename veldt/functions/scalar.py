@@ -145,11 +145,11 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
 
 def student_t_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t with ``df`` >= 1 degrees of freedom: the regularised incomplete beta
-    function I_x(df / 2, 1 / 2) at x = df / (df + t^2); NULL where either is NULL."""
+    function I_x(df / 2, 1 / 2) at x = df / (df + t^2); NULL where either is NULL, 0 beyond |t| = 1e150."""
     a, t2, v = df.cast("double") / 2, t * t, df.cast("double")
     half = F.lit(0.5)
     x, rest = v / (v + t2), t2 / (v + t2)
     front = F.exp(_ln_gamma_step(a) - a * F.log1p(t2 / v) + F.log(rest) / 2) / F.sqrt(F.pi())
     near = x < (a + 1) / (a + 2.5)
     p = F.when(near, front * _beta_fraction(a, half, x) / a).otherwise(1 - front * _beta_fraction(half, a, rest) / half)
-    return F.when(t2 == 0, F.lit(1.0)).when(t.isNotNull() & df.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+    return F.when(t2 == 0, F.lit(1.0)).when((F.abs(t) > 1e150) & df.isNotNull(), F.lit(0.0)).when(t.isNotNull() & df.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
