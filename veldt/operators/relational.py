@@ -63,16 +63,32 @@ def centered_mean(df: DataFrame, col: str, k: int = 10, key: str = "entity", ord
     return nn.withColumn(f"{col}_centered", F.when(F.count(col).over(w) == k, F.avg(col).over(w)))
 
 
-def sequences(df: DataFrame, features: list[str], length: int = 30, key: str = "entity",
-              order: str = "day", target_ok: Column | None = None) -> DataFrame:
-    """Sliding feature sequences ending at each row (E14): ARRAY<ARRAY<DOUBLE>>.
-
-    Only complete windows (``length`` rows) whose target row passes
-    ``target_ok`` are kept; keys are carried, never positions (C16)."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(length - 1), 0)
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    out = df.withColumn("seq", F.collect_list(vec).over(w)).where(F.size("seq") == length)
-    return out.where(target_ok) if target_ok is not None else out
+def sequence_blocks(df: DataFrame, features: list[str], length: int = 30, key: str = "entity", order: str = "day",
+                    targets: Column | None = None, keep: list[str] = ()) -> DataFrame:
+    """Sliding sequences without copies (E14): each key's rows in blocks of ``length``, every row's values
+    held twice at most, as ``cur`` of its block and ``prev`` of the next.
+
+    ``targets`` lists the rows a sequence may end at (those that pass ``targets`` and have ``length`` rows up
+    to them), with their place in the block, ``order`` and the columns ``keep``.  Blocks without targets are left out."""
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    ok = F.lit(True) if targets is None else F.coalesce(targets, F.lit(False))
+    rows = df.select(key, F.floor(rn / length).alias("block"), F.struct(
+        F.pmod(rn, F.lit(length)).alias("at"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"),
+        ok.alias("ok"), F.struct(order, *keep).alias("row")).alias("r"))
+    blocks = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list("r"), lambda x, y: x["at"] - y["at"]).alias("rs"))  # ``length`` at most
+    blocks = blocks.select(key, "block", F.transform("rs", lambda r: r["v"]).alias("cur"), F.filter("rs", lambda r: r["ok"]).alias("rs"))
+    before = blocks.select(key, (F.col("block") + 1).alias("block"), F.col("cur").alias("prev"))
+    ends = F.transform(F.filter("rs", lambda r: F.col("prev").isNotNull() | (r["at"] == length - 1)),
+                       lambda r: F.struct(r["at"].alias("at"), r["row"].alias("row")))
+    return blocks.join(before, [key, "block"], "left").select(key, "block", "prev", "cur", ends.alias("targets")).where(F.size("targets") > 0)
+
+
+def expand_sequences(blocks: DataFrame, length: int = 30, key: str = "entity") -> DataFrame:
+    """One row per target of :func:`sequence_blocks`: key, its kept columns and ``seq``, two slices put together;
+    rows are named by key and order, never by position (C16)."""
+    at = F.col("at")
+    seq = F.when(at == length - 1, F.col("cur")).otherwise(F.concat(F.slice("prev", at + 2, F.lit(length)), F.slice("cur", F.lit(1), at + 1)))
+    return blocks.select(key, "prev", "cur", F.inline("targets")).select(key, "row.*", seq.alias("seq"))
 
 
 # ----------------------------------------------------------------- geometry

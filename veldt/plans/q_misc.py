@@ -10,15 +10,21 @@ from veldt import config as C
 # fixture keyword for incident mentions (substring of "fire"; the prose is invented)
 INCIDENT_KEYWORD = "ire"
 from veldt.functions import scalar as S
+from veldt.functions.ranking import global_row_number
 from veldt.operators import evaluate as EV
+from veldt.operators import ml as ML
 from veldt.operators import readmodel as R
 from veldt.operators import relational as RL
 from veldt.operators import serving as SV
 from veldt.plans import panels
+from veldt.plans.q_ml import MEDIANS_SQL
 from veldt.plans.registry import query
 from veldt.plans.sql_base import with_base
+from veldt.sources import chunks as CH
 from veldt.sources import pixels as PX
+from veldt.sources import sorted_files as SO
 from veldt.sources import tables
+from veldt.streaming.daily import fresh_base
 
 
 @query("b04_year_chunks", sql=with_base("""
@@ -265,22 +271,26 @@ def a08_fire_zonal_dedup(spark, sf):
         "entity", "day", "firms_count", "firms_frp_mean")
 
 
-@query("e14_sequences", sql=with_base("""
-SELECT entity, split, count(*) AS n_sequences, sum(s) AS checksum FROM (
-  SELECT entity, split, ndvi_missing, cnt, list_sum(list_transform(seq, lambda x: list_sum(x))) AS s FROM (
-    SELECT entity, split, ndvi_missing, count(*) OVER w AS cnt,
-      list([coalesce(rain_30d, 0.0), coalesce(temp_max_30d, 0.0), coalesce(ndvi, 0.0), coalesce(fire_90d, 0.0)]) OVER w
-        AS seq
-    FROM featured WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)))
-WHERE cnt = 30 AND ndvi_missing = 0 GROUP BY entity, split""", upto="featured"))
+_SEQ_KEEP = ["split", "ndvi_missing", *C.LABEL_COLS]
+_SEQ_SQL = "med AS (" + MEDIANS_SQL + "),\nf AS (SELECT entity, day, " + ", ".join(_SEQ_KEEP) + ", " + ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), (SELECT median FROM med WHERE feature = '{c}')) AS {c}" for c in C.FEATURE_COLS) + """ FROM featured),
+s AS (SELECT *, row_number() OVER w AS rn, """ + ", ".join(f"lag({c}, 29) OVER w AS a_{c}" for c in C.FEATURE_COLS) + """ FROM f
+  WINDOW w AS (PARTITION BY entity ORDER BY day))"""
+
+
+@query("e14_sequences", sql=with_base("SELECT entity, day, " + ", ".join(_SEQ_KEEP) + ", 30 AS step, " + ", ".join(C.FEATURE_COLS)
+    + " FROM s WHERE rn >= 30 AND (ndvi_missing = 0 OR split = 'train') UNION ALL SELECT entity, day, " + ", ".join(_SEQ_KEEP) + ", 1 AS step, "
+    + ", ".join(f"a_{c}" for c in C.FEATURE_COLS) + " FROM s WHERE rn >= 30 AND (ndvi_missing = 0 OR split = 'train')",
+    upto="featured", extra=_SEQ_SQL))
 def e14_sequences(spark, sf):
-    """30-row feature sequences ending at clean target rows, keyed by (entity, day)."""
+    """30-day sequences of all 20 imputed features, ending at clean rows (labelled) and at train rows without NDVI
+    (the unlabelled pool), keyed by (entity, day): first and last step of every one (E14, C16)."""
     f = panels.featured(spark, sf)
-    cols = ["rain_30d", "temp_max_30d", "ndvi", "fire_90d"]
-    f = f.select("entity", "day", "split", "ndvi_missing", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
-    seq = RL.sequences(f, cols, 30, target_ok=F.col("ndvi_missing") == 0)
-    tot = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x)
-    return seq.groupBy("entity", "split").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum(tot).alias("checksum"))
+    med = ML.fit_medians(f.where("split = 'train' AND ndvi_missing = 0"))
+    blocks = RL.sequence_blocks(ML.impute(f, med), ML.IMPUTED, 30, targets=(F.col("ndvi_missing") == 0) | (F.col("split") == "train"), keep=_SEQ_KEEP)
+    seq = RL.expand_sequences(blocks, 30)
+    steps = seq.select("entity", "day", *_SEQ_KEEP, F.inline(F.array(*[F.struct(F.lit(k).alias("step"), F.get("seq", F.lit(k - 1)).alias("v")) for k in (1, 30)])))
+    return steps.select("entity", "day", *_SEQ_KEEP, "step", *[F.get("v", F.lit(k)).alias(c) for k, c in enumerate(C.FEATURE_COLS)])
 
 
 @query("e18_centered_mean", sql=with_base("""
@@ -307,6 +317,23 @@ def g04_missing_entities(spark, sf):
     return RL.missing_keys(n.select(F.col("n_name").alias("entity")), found)
 
 
+@query("g02_failed_chunks", sql=with_base("""
+SELECT CAST(year(day) AS VARCHAR) AS chunk, CASE year(day) WHEN 1996 THEN 'corrupt' WHEN 1998 THEN 'failed' ELSE 'complete' END AS state,
+  CASE WHEN year(day) <> 1998 THEN count(*) END AS expected, CASE WHEN year(day) NOT IN (1996, 1998) THEN count(*) ELSE 0 END AS found,
+  CASE WHEN year(day) NOT IN (1996, 1998) THEN sum(precip_units) END AS units FROM panel GROUP BY year(day)""", upto="panel"))
+def g02_failed_chunks(spark, sf):
+    """Yearly chunks landed through a manifest: the one whose files are broken and the one whose fetch failed are
+    reported and left out, the others are whole (G2)."""
+    base = fresh_base(spark, "chunks")
+    p = panels.raw_panel(spark, sf).select("entity", "day", "precip_units")
+    for year in [r["y"] for r in p.select(F.year("day").alias("y")).distinct().collect()]:  # one row a year
+        CH.land(base, str(year), p.where(F.year("day") == year) if year != 1998 else p.where(F.raise_error(F.lit("no answer")).isNull()))
+    spark.range(3).select(F.lit("not parquet").alias("value")).write.mode("overwrite").text(CH.folder(base, "1996"))
+    rows, report = CH.read(spark, base, "entity string, day date, precip_units bigint")
+    units = rows.groupBy("chunk").agg(F.sum("precip_units").alias("units"))
+    return report.join(units, "chunk", "left").select("chunk", "state", "expected", "found", "units")
+
+
 @query("g01_union_by_name", sql=with_base("""
 SELECT entity, count(*) AS n_rows, count(precipitation) AS n_precip, count(ndvi) AS n_ndvi FROM (
   SELECT entity, day, precipitation, NULL::DOUBLE AS ndvi FROM panel WHERE year(day) <= 1997
@@ -388,6 +415,26 @@ def h18_first_non_null(spark, sf):
         F.lit("Pending")).alias("last_update"))
 
 
+@query("f01_sorted_files", sql=with_base("SELECT count(*) AS n_rows, 0 AS rows_out_of_order, 0 AS files_that_overlap FROM fc"))
+def f01_sorted_files(spark, sf):
+    """Forecasts written in (entity, day) order over files and checked where they lie: rows that break a file's
+    order and files that begin before another ends (F1)."""
+    base = fresh_base(spark, "sorted")
+    SO.write(panels.forecasts(spark, sf).select("entity", "day", *C.PROB_COLS), base, ["entity", "day"], files=8)
+    return SO.order_report(spark.read.parquet(base), ["entity", "day"])
+
+
+@query("a13_sorted_scan", sql=with_base("""
+SELECT entity, day, fire_prob, veg_prob, row_number() OVER (ORDER BY entity, day) AS place FROM fc
+WHERE entity IN ('NATION_3', 'NATION_11', 'NATION_20') AND day BETWEEN DATE '1996-02-01' AND DATE '1998-09-30' AND ndvi IS NOT NULL"""))
+def a13_sorted_scan(spark, sf):
+    """Entity, date and not-null predicates over the sorted files, rows in order with their place."""
+    base = fresh_base(spark, "sorted")
+    SO.write(panels.forecasts(spark, sf).select("entity", "day", "fire_prob", "veg_prob", "ndvi"), base, ["entity", "day"], files=8)
+    got = SO.scan(spark.read.parquet(base), {"entity": ["NATION_3", "NATION_11", "NATION_20"]}, ("day", "1996-02-01", "1998-09-30"), ["ndvi"])
+    return global_row_number(got, [F.col("entity"), F.col("day")], out="place").select("entity", "day", "fire_prob", "veg_prob", "place")
+
+
 @query("f02_recent_history", sql=with_base("""
 SELECT entity, day, fire_prob, recency FROM (
   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS recency FROM fc) WHERE recency <= 20"""))

@@ -94,14 +94,16 @@ def _with_point(m, spark, sf, kind):
     return m
 
 
-@query("j01_median_impute", sql=with_base(
-    "SELECT feature, median FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, (SELECT a + (pos - lo) * (b - a) FROM (SELECT max(CASE WHEN r = lo THEN v END) AS a, "
-        f"max(CASE WHEN r = least(lo + 1, n - 1) THEN v END) AS b, any_value(pos) AS pos, any_value(lo) AS lo FROM ("
-        f"SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n, "
-        f"0.5 * CAST(count(*) OVER () - 1 AS DOUBLE) AS pos, floor(0.5 * CAST(count(*) OVER () - 1 AS DOUBLE)) AS lo "
-        f"FROM featured WHERE ndvi_missing = 0 AND split = 'train' AND {c} IS NOT NULL))) AS median"
-        for c in C.FEATURE_COLS) + ")", upto="featured"))
+MEDIANS_SQL = "SELECT feature, median FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (SELECT a + (pos - lo) * (b - a) FROM (SELECT max(CASE WHEN r = lo THEN v END) AS a, "
+    f"max(CASE WHEN r = least(lo + 1, n - 1) THEN v END) AS b, any_value(pos) AS pos, any_value(lo) AS lo FROM ("
+    f"SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n, "
+    f"0.5 * CAST(count(*) OVER () - 1 AS DOUBLE) AS pos, floor(0.5 * CAST(count(*) OVER () - 1 AS DOUBLE)) AS lo "
+    f"FROM featured WHERE ndvi_missing = 0 AND split = 'train' AND {c} IS NOT NULL))) AS median"
+    for c in C.FEATURE_COLS) + ")"
+
+
+@query("j01_median_impute", sql=with_base(MEDIANS_SQL, upto="featured"))
 def j01_median_impute(spark, sf):
     """Exact interpolated median of every feature on clean train rows (J1), distributed."""
     return ML.medians(_clean(spark, sf).where("split = 'train'"))
