@@ -37,8 +37,8 @@ from veldt.session import checkpoint_dir
 
 IMPUTED = [f"{c}__i" for c in C.FEATURE_COLS]
 
-#: labelled rows that the grid's fits learn from at most
-LABELLED_ROWS = 2500
+#: labelled rows, and rows of the unlabelled pool, that fits learn from at most
+LABELLED_ROWS = 1500
 #: the parameter that counts the trees of an ensemble; depth 30 is the deepest that Spark grows
 SIZE = {"rf": "numTrees", "gbt": "maxIter"}
 RF_GRID = {"numTrees": [200, 300], "maxDepth": [30, 20], "minInstancesPerNode": [1, 5]}

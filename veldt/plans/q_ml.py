@@ -40,11 +40,11 @@ def _training(spark, sf):
 
 
 def _pool(spark, sf, med):
-    """Unlabelled rows: train days without NDVI, all labels NULL."""
+    """Unlabelled rows within the bound: train days without NDVI, all labels NULL."""
     pool = panels.featured(spark, sf).where("split = 'train' AND ndvi_missing = 1")
     for lab in C.LABEL_COLS:
         pool = pool.withColumn(lab, F.lit(None).cast("int"))
-    return ML.impute(pool, med)
+    return ML.bounded(ML.impute(pool, med))
 
 
 #: (application, source, kind) -> (stored scorer's folder, grid points, place of the chosen one)
