@@ -66,10 +66,11 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
 
 
-def table_extent(df: DataFrame, key: str = "entity", day: str = "day") -> DataFrame:
-    """Row count, distinct entities, date range."""
+def table_extent(df: DataFrame, key: str = "entity", day: str = "day", splits: tuple = ()) -> DataFrame:
+    """Row count, distinct entities, date range, rows of each split."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_entities"),
-                  F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+                  F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+                  *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in splits])
 
 
 def source_coverage(panel: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veldt import config as C
 from veldt.operators import evaluate as EV
 from veldt.plans import panels
 from veldt.plans.registry import query
@@ -203,6 +204,39 @@ def d22_f2_pivot(spark, sf):
     return _configs(spark, sf).groupBy("config").pivot("threat", ["fire", "drought", "vegetation"]).agg(F.max("f2"))
 
 
+@query("d22_accuracy_pivot", sql=with_base("""
+SELECT config, """ + ", ".join(f"max(accuracy) FILTER (WHERE threat = '{t}') AS {t}" for t in C.THREATS) + """ FROM (
+  SELECT 'score' AS config, threat, accuracy FROM """ + metrics_sql() + " UNION ALL SELECT 'persistence', threat, accuracy FROM "
+    + metrics_sql("pers") + ") GROUP BY config", extra=PERSIST_SQL))
+def d22_accuracy_pivot(spark, sf):
+    """Accuracy of each configuration, one column per threat."""
+    lg = _long(spark, sf)
+    both = EV.metrics(lg).withColumn("config", F.lit("score")).unionByName(EV.metrics(EV.persistence(lg)).withColumn("config", F.lit("persistence")))
+    return both.groupBy("config").pivot("threat", C.THREATS).agg(F.max("accuracy"))
+
+
+@query("d22_entity_f2_pivot", sql=with_base("SELECT entity, " + ", ".join(f"max(f2) FILTER (WHERE threat = '{t}') AS {t}" for t in C.THREATS)
+    + f" FROM {metrics_sql('ev', 'entity, threat')} GROUP BY entity"))
+def d22_entity_f2_pivot(spark, sf):
+    """F2 per entity, one column per threat."""
+    return EV.metrics(_long(spark, sf), keys=("entity", "threat")).groupBy("entity").pivot("threat", C.THREATS).agg(F.max("f2"))
+
+
+@query("d22_lead_time_pivot", sql=with_base("SELECT " + ", ".join(f"max(lead_time_days) FILTER (WHERE threat = '{t}') AS {t}" for t in C.THREATS)
+    + " FROM lt", extra=LEAD_SQL))
+def d22_lead_time_pivot(spark, sf):
+    """Mean days of warning, one column per threat."""
+    lt = EV.lead_time(_long(spark, sf))
+    return lt.agg(*[F.max(F.when(F.col("threat") == t, F.col("lead_time_days"))).alias(t) for t in C.THREATS])
+
+
+@query("j18_evaluation_with_ci", no_oracle="bootstrap interval by seeded resampling; the point equals j18_evaluation")
+def j18_evaluation_with_ci(spark, sf):
+    """Full per-threat evaluation with the F2 bootstrap interval."""
+    lg = _long(spark, sf)
+    return EV.evaluation(lg).join(EV.bootstrap_f2(EV.metrics(lg)).drop("f2_point"), "threat")
+
+
 @query("f04_leaderboard", sql=with_base("""
 SELECT config, mean_f2, row_number() OVER (ORDER BY mean_f2 DESC, config) AS rank
 FROM (SELECT config, avg(f2) AS mean_f2 FROM cfg GROUP BY config)""", extra=PERSIST_SQL + "," + _CFG_SQL))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from veldt import config as C
 
-# fixture keyword for incident mentions (substring of "fire"; the prose is invented)
-INCIDENT_KEYWORD = "ire"
 from veldt.functions import scalar as S
 from veldt.functions.ranking import global_row_number
 from veldt.operators import evaluate as EV
@@ -21,6 +19,7 @@ from veldt.plans.q_ml import MEDIANS_SQL
 from veldt.plans.registry import query
 from veldt.plans.sql_base import with_base
 from veldt.sources import chunks as CH
+from veldt.sources import files as FS
 from veldt.sources import pixels as PX
 from veldt.sources import sorted_files as SO
 from veldt.sources import tables
@@ -209,36 +208,30 @@ def h11_h12_polygon_centroid(spark, sf):
 
 
 _INC_SQL = """
-inc AS (SELECT n_name AS entity, DATE '1995-01-01' + CAST((doc_id * 37) % 2405 AS INTEGER) AS inc_day
-        FROM documents JOIN nation ON n_nationkey = doc_id % 25
-        WHERE lower(text) LIKE '%ire%' AND lower(source) IN ('news', 'web', 'forum', 'wiki', 'books', 'code')
-          AND (doc_id % 3) < 2)"""
+inc AS (SELECT DISTINCT n_name AS entity, DATE '1995-01-01' + CAST((doc_id * 37) % 2405 AS INTEGER) AS inc_day
+        FROM documents JOIN nation ON n_nationkey = doc_id % 25 WHERE n_chars >= 200)"""
 
 
-def _incidents(spark, sf):
-    d = tables.read(spark, sf, "documents", "doc_id", "text", "source")
+def incidents(spark, sf):
+    """Every document as a report on an entity and a day; its confidence grows with its length."""
+    d = tables.read(spark, sf, "documents", "doc_id", "n_chars")
     n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
-    d = d.where(F.lower("text").contains(INCIDENT_KEYWORD) & (F.pmod("doc_id", F.lit(3)) < 2))
+    conf = F.when(F.col("n_chars") >= 1000, "High").when(F.col("n_chars") >= 200, " medium").otherwise("low")
     return d.join(n, F.pmod(d.doc_id, F.lit(25)) == n.n_nationkey).select(
-        F.col("n_name").alias("entity"),
-        F.date_add(F.lit("1995-01-01").cast("date"), F.pmod(F.col("doc_id") * 37, F.lit(2405)).cast("int"))
-        .alias("inc_day"), "source")
+        F.col("n_name").alias("entity"), F.lit("fire").alias("threat_type"), conf.alias("confidence"),
+        F.date_add(F.lit("1995-01-01").cast("date"), F.pmod(F.col("doc_id") * 37, F.lit(2405)).cast("int")).alias("inc_day"))
 
 
 @query("c14_incident_backlabel", sql=with_base("""
-SELECT p.entity, count(*) FILTER (WHERE hit) AS n_labelled_days, count(*) AS n_days FROM panel p
-LEFT JOIN (SELECT DISTINCT p2.entity, p2.day, true AS hit FROM panel p2 JOIN inc i ON p2.entity = i.entity
-           AND p2.day BETWEEN i.inc_day - 30 AND i.inc_day) h ON p.entity = h.entity AND p.day = h.day
-GROUP BY p.entity""", upto="panel", extra=_INC_SQL.replace(
-    " AND lower(source) IN ('news', 'web', 'forum', 'wiki', 'books', 'code')", "")))
+SELECT p.entity, p.day, h.label FROM panel p
+LEFT JOIN (SELECT DISTINCT p2.entity, p2.day, 1 AS label FROM panel p2 JOIN inc i ON p2.entity = i.entity
+           AND p2.day BETWEEN i.inc_day - 30 AND i.inc_day) h ON p.entity = h.entity AND p.day = h.day""", upto="panel", extra=_INC_SQL))
 def c14_incident_backlabel(spark, sf):
-    """Text incidents (keyword filter, confidence = 2 of 3 documents) back-label days [D-30, D]."""
+    """Trusted incidents, one per entity and day, label the days [D-30, D] with 1, all others stay NULL."""
     p = panels.raw_panel(spark, sf).select("entity", "day")
-    inc = _incidents(spark, sf).withColumnRenamed("inc_day", "target_day")
-    hits = SV.interval_join(p, inc, 30).select("entity", "day").distinct().withColumn("hit", F.lit(True))
-    j = p.join(hits, ["entity", "day"], "left")
-    return j.groupBy("entity").agg(F.count_if(F.col("hit")).alias("n_labelled_days"),
-                                   F.count(F.lit(1)).alias("n_days"))
+    inc = FS.trusted_incidents(incidents(spark, sf)).select("entity", F.col("inc_day").alias("target_day")).distinct()
+    hits = SV.interval_join(p, inc, 30).select("entity", "day").distinct().withColumn("label", F.lit(1))
+    return p.join(hits, ["entity", "day"], "left")
 
 
 @query("d01_d02_pixel_zonal", sql=with_base("""
@@ -464,3 +457,12 @@ def f06_zone_listing(spark, sf):
     """Dimension listing: the zones of every entity."""
     from veldt.plans.q_allocate import zones
     return zones(spark, sf).select("entity", "segment", F.col("weight").cast("bigint").alias("n_customers"))
+
+
+@query("f06_entity_listing", sql=with_base("""
+SELECT n_nationkey AS entity_id, n_name AS entity, r_name AS ecosystem, row_number() OVER (ORDER BY n_nationkey) AS place
+FROM nation JOIN region ON n_regionkey = r_regionkey""", upto="panel"))
+def f06_entity_listing(spark, sf):
+    """All entities in id order with their place."""
+    from veldt.sources import panel as P
+    return global_row_number(P.entities(spark, sf).select("entity_id", "entity", "ecosystem"), [F.col("entity_id")], out="place")

@@ -197,11 +197,12 @@ def d18_source_coverage(spark, sf):
 
 
 @query("d21_table_extent", sql=with_base("""
-SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, min(day) AS first_day, max(day) AS last_day
+SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, min(day) AS first_day, max(day) AS last_day,
+  count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test
 FROM featured""", upto="featured"))
 def d21_table_extent(spark, sf):
-    """Row count, distinct entities and date range of the training table."""
-    return Q.table_extent(panels.featured(spark, sf))
+    """Row count, distinct entities, date range and split counts of the training table."""
+    return Q.table_extent(panels.featured(spark, sf), splits=("train", "val", "test"))
 
 
 @query("s07_summary_report", sql=with_base("""

@@ -227,19 +227,23 @@ def b15_history_guard(spark, sf):
             .agg(F.count(F.lit(1)).alias("n_servable"), F.min("day").alias("first_servable")))
 
 
+@query("b15_backfill_guard", sql=serve_sql(
+    "SELECT entity, count(*) AS n_backfillable, min(day) AS first_backfillable FROM serve WHERE history_rows >= 7 GROUP BY entity"))
+def b15_backfill_guard(spark, sf):
+    """Days per entity with the 7 rows of history that a backfill asks for."""
+    return (SV.history_guard(_serve(spark, sf), C.BACKFILL_MIN_ROWS).groupBy("entity")
+            .agg(F.count(F.lit(1)).alias("n_backfillable"), F.min("day").alias("first_backfillable")))
+
+
 @query("c06_history_interval_join", sql=with_base("""
-SELECT t.entity, t.target_day, count(*) AS n_rows, min(h.day) AS first_day,
+SELECT t.entity, t.day AS target_day, count(*) AS n_rows, min(h.day) AS first_day,
   CAST(sum(coalesce(h.precip_units, 0)) AS DOUBLE) / 1e6 AS rain_total, sum(h.firms_count) AS fire_total
-FROM (SELECT entity, day - CAST(7 * k AS INTEGER) AS target_day FROM (SELECT entity, max(day) AS day FROM panel GROUP BY entity),
-      range(0, 8) r(k)) t
-JOIN panel h ON h.entity = t.entity AND h.day BETWEEN t.target_day - 90 AND t.target_day
-GROUP BY t.entity, t.target_day""", upto="panel"))
+FROM panel t JOIN panel h ON h.entity = t.entity AND h.day BETWEEN t.day - 90 AND t.day
+GROUP BY t.entity, t.day""", upto="panel"))
 def c06_history_interval_join(spark, sf):
-    """90-day history for the last 8 weekly target days per entity via a binned range join."""
+    """90-day history of every target day via a binned range join."""
     p = panels.raw_panel(spark, sf)
-    targets = (p.groupBy("entity").agg(F.max("day").alias("_l"))
-                .select("entity", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "_l")
-                .select("entity", F.date_sub("_l", F.col("k") * 7).alias("target_day")))
+    targets = p.select("entity", F.col("day").alias("target_day"))
     j = SV.interval_join(p.select("entity", "day", "precip_units", "firms_count"), targets, 90)
     return j.groupBy("entity", "target_day").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"),

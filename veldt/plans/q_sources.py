@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from veldt import config as C
 
-# fixture keyword for incident mentions (substring of "fire"; the prose is invented)
-INCIDENT_KEYWORD = "ire"
 from veldt.operators import evaluate as EV
 from veldt.operators import relational as RL
 from veldt.plans import panels
@@ -67,23 +65,18 @@ def a05_map_json(spark, sf):
 
 
 @query("a06_detection_payloads", sql=with_base(
-    "SELECT entity, day, firms_count FROM panel WHERE firms_count > 0", upto="panel"))
+    "SELECT entity, day, CASE WHEN day(day) % 7 = 0 THEN 0 ELSE firms_count END AS firms_count FROM panel", upto="panel"))
 def a06_detection_payloads(spark, sf):
-    """Text payloads per (entity, day, product): not-a-CSV -> NULL, first serving product wins, else 0."""
+    """Text payloads of two products for every day, a header alone where nothing burnt and an error page now and
+    then: not-a-CSV -> NULL, first serving product wins; days for which nothing landed count 0 (A6)."""
     base = fresh_base(spark, "payloads")
-    fire = panels.raw_panel(spark, sf).where("firms_count > 0").select("entity", "day", "firms_count")
-    prods = fire.select("*", F.explode(F.array(F.lit("nrt"), F.lit("sp"))).alias("product"))
-    body = F.when((F.col("product") == "nrt") & (F.dayofmonth("day") % 5 == 0),
-                  F.array(F.lit("<html>service unavailable</html>")))
-    body = body.otherwise(F.concat(F.array(F.lit("latitude,longitude,confidence")),
-                                   F.array_repeat(F.lit("9.1,8.2,n"), F.col("firms_count"))))
-    (prods.select("entity", "day", "product", F.explode(body).alias("value"))
-          .write.partitionBy("entity", "day", "product").text(base))
-    t = spark.read.text(f"{base}/*/*/*/*.txt", wholetext=True).withColumn("p", F.col("_metadata.file_path"))
-    counts = t.select(F.regexp_extract("p", r"entity=([^/]+)", 1).alias("entity"),
-                      F.to_date(F.regexp_extract("p", r"day=([^/]+)", 1)).alias("day"),
-                      F.regexp_extract("p", r"product=([^/]+)", 1).alias("product"), FS.payload_count(F.col("value")).alias("count"))
-    return FS.first_serving_product(counts)
+    days = panels.raw_panel(spark, sf).select("entity", "day", "firms_count")
+    prods = days.where(F.dayofmonth("day") % 7 != 0).select("*", F.explode(F.array(F.lit("nrt"), F.lit("sp"))).alias("product"))
+    csv = F.concat_ws("\n", F.lit("latitude,longitude,confidence"), F.array_repeat(F.lit("9.1,8.2,n"), F.col("firms_count")))
+    body = F.when((F.col("product") == "nrt") & (F.dayofmonth("day") % 5 == 0), F.lit("<html>service unavailable</html>")).otherwise(csv)
+    prods.select("entity", "day", "product", body.alias("payload")).write.parquet(base)
+    counts = spark.read.parquet(base).select("entity", "day", "product", FS.payload_count(F.col("payload")).alias("count"))
+    return days.select("entity", "day").join(FS.first_serving_product(counts), ["entity", "day"], "left").na.fill(0, ["firms_count"])
 
 
 @query("a10_quoted_dimension_csv", sql="""
@@ -103,19 +96,16 @@ def a10_quoted_dimension_csv(spark, sf):
 
 
 @query("a11_trusted_incidents", sql="""
-SELECT n_name AS entity, count(*) AS n_incidents FROM documents JOIN nation ON n_nationkey = doc_id % 25
-WHERE lower(text) LIKE '%ire%' AND doc_id % 3 < 2 GROUP BY n_name""")
+SELECT n_name AS entity, count(*) AS n_incidents, count(DISTINCT (doc_id * 37) % 2405) AS n_days
+FROM documents JOIN nation ON n_nationkey = doc_id % 25 WHERE n_chars >= 200 GROUP BY n_name""")
 def a11_trusted_incidents(spark, sf):
     """Incident CSV scan keeping high/medium confidence only."""
+    from veldt.plans.q_misc import incidents
     base = fresh_base(spark, "incidents")
-    d = tables.read(spark, sf, "documents", "doc_id", "text").where(F.lower("text").contains(INCIDENT_KEYWORD))
-    n = tables.read(spark, sf, "nation", "n_nationkey", "n_name")
-    conf = F.element_at(F.array(F.lit("High"), F.lit(" medium"), F.lit("low")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    inc = d.join(n, F.pmod(d.doc_id, F.lit(25)) == n.n_nationkey).select(
-        F.col("n_name").alias("park"), F.lit("fire").alias("threat_type"), conf.alias("confidence"))
-    inc.write.option("header", True).csv(base)
-    r = spark.read.schema("park string, threat_type string, confidence string").option("header", True).csv(base)
-    return FS.trusted_incidents(r).groupBy(F.col("park").alias("entity")).agg(F.count(F.lit(1)).alias("n_incidents"))
+    incidents(spark, sf).withColumnRenamed("entity", "park").write.option("header", True).csv(base)
+    r = spark.read.schema("park string, threat_type string, confidence string, inc_day date").option("header", True).csv(base)
+    return FS.trusted_incidents(r).groupBy(F.col("park").alias("entity")).agg(
+        F.count(F.lit(1)).alias("n_incidents"), F.count_distinct("inc_day").alias("n_days"))
 
 
 @query("a12_geojson_boundaries", sql="SELECT n_name AS entity, 'Polygon' AS geom_type, CAST(49 AS BIGINT) AS n_vertices "
@@ -179,23 +169,36 @@ def a15_skip_landed(spark, sf):
 
 
 @query("s01_s02_partitioned_sink", sql=with_base(
-    "SELECT entity, split, count(*) AS n_rows FROM featured GROUP BY entity, split", upto="featured"))
+    "SELECT entity, split, count(*) AS n_rows, count(*) AS n_split_rows, count(*) AS n_csv_rows, sum(days_since_fire) AS days, "
+    "sum(days_since_fire) AS csv_days, count(ndvi) AS n_ndvi, count(ndvi) AS n_csv_ndvi FROM featured GROUP BY entity, split", upto="featured"))
 def s01_s02_partitioned_sink(spark, sf):
-    """Featured dataset and its (day, entity, split) side output as entity-partitioned parquet."""
+    """Featured dataset as entity-partitioned parquet and as CSV, and its (day, entity, split) side output,
+    all three read back (S1, S2)."""
     base = fresh_base(spark, "featured")
     f = panels.featured(spark, sf)
     FS.write_partitioned(f, f"{base}/featured", ["entity"])
     FS.write_partitioned(f.select("day", "entity", "split"), f"{base}/splits", ["entity"])
-    back = spark.read.parquet(f"{base}/splits")
-    return back.groupBy("entity", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    f.write.option("header", True).csv(f"{base}/csv")
+
+    def read(rows, **names):
+        return rows.groupBy("entity", "split").agg(*[F.count(F.lit(1)).alias(names["n"])], *(
+            [F.sum("days_since_fire").alias(names["days"]), F.count("ndvi").alias(names["ndvi"])] if "days" in names else []))
+
+    whole = read(spark.read.parquet(f"{base}/featured"), n="n_rows", days="days", ndvi="n_ndvi")
+    csv = read(spark.read.schema(f.schema).option("header", True).csv(f"{base}/csv"), n="n_csv_rows", days="csv_days", ndvi="n_csv_ndvi")
+    return whole.join(read(spark.read.parquet(f"{base}/splits"), n="n_split_rows"), ["entity", "split"]).join(csv, ["entity", "split"])
+
+
+_REPORT = ["n", "n_pos", "precision", "recall", "f1", "f2", "accuracy", "brier"]
 
 
-@query("s06_json_report", sql=with_base("SELECT threat, f2 FROM " + __import__(
+@query("s06_json_report", sql=with_base(f"SELECT threat, {', '.join(_REPORT)} FROM " + __import__(
     "veldt.plans.q_evaluate", fromlist=["x"]).metrics_sql()))
 def s06_json_report(spark, sf):
-    """Nested JSON evaluation report written as text and read back."""
+    """Nested JSON evaluation report written as text and read back, every metric."""
     base = fresh_base(spark, "report")
-    FS.write_json_report(EV.metrics(panels.eval_long(spark, sf)), base, "threat")
-    r = spark.read.text(base)
-    return r.select(F.get_json_object("value", "$.threat").alias("threat"),
-                    F.get_json_object("value", "$.metrics.f2").cast("double").alias("f2"))
+    m = EV.metrics(panels.eval_long(spark, sf))
+    FS.write_json_report(m, base, "threat")
+    kinds = {f.name: f.dataType.simpleString() for f in m.schema.fields}
+    return spark.read.text(base).select(F.get_json_object("value", "$.threat").alias("threat"), *[
+        F.get_json_object("value", f"$.metrics.{c}").cast(kinds[c]).alias(c) for c in _REPORT])
