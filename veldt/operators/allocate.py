@@ -469,13 +469,15 @@ def sorted_quantile(arr: str, q: float) -> Column:
 
 def selection_classes(summary: DataFrame, catalog_ids: list[str], core: float = 0.80,
                       opportunistic: float = 0.50) -> DataFrame:
-    """Long selection frequency per intervention with core/opportunistic class."""
-    arr = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"sel_{i}").alias("selection_freq"),
-                             F.col(f"units_mean_{i}").alias("units_mean")) for i in catalog_ids])
+    """Long selection frequency per intervention with core/opportunistic class, mean and deviation
+    of its units, and its place by frequency, highest first, then by id (K11, F5)."""
+    arr = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"sel_{i}").alias("selection_freq"), F.col(f"units_mean_{i}").alias("units_mean"),
+                             F.col(f"units_std_{i}").alias("units_std")) for i in catalog_ids])
     x = summary.select("scenario_id", F.inline(arr))
     cls = (F.when(F.col("selection_freq") >= core, "core")
             .when(F.col("selection_freq") < opportunistic, "opportunistic").otherwise("conditional"))
-    return x.withColumn("class", cls)
+    place = F.row_number().over(Window.partitionBy("scenario_id").orderBy(F.col("selection_freq").desc(), "id"))  # the catalog's rows
+    return x.withColumn("class", cls).withColumn("place", place)
 
 
 # ----------------------------------------------------------------- S8 / C17

@@ -34,11 +34,11 @@ def week_ago(fc: DataFrame, lag_days: int = 7, tol_days: int = 4, key: str = "en
     """Per entity: the row nearest to (latest - lag_days) within tol_days, the
     latest itself excluded, earliest day winning ties (C8).
 
-    Window max(day) per entity + filter + ``min_by``: no join, one exchange."""
-    w = Window.partitionBy(key)
-    x = fc.withColumn("_latest", F.max(day).over(w))
-    target = F.date_sub(F.col("_latest"), lag_days)
-    diff = F.abs(F.datediff(F.col(day), target))
+    The latest days are one small aggregate joined back, so rows outside the tolerance are
+    dropped before anything is shuffled."""
+    latest = fc.groupBy(key).agg(F.max(day).alias("_latest"))
+    x = fc.select(key, day, *cols).join(latest, key)
+    diff = F.abs(F.datediff(F.col(day), F.date_sub(F.col("_latest"), lag_days)))
     cand = x.where((F.col(day) != F.col("_latest")) & (diff <= tol_days))
     best = F.min_by(F.struct(F.col(day).alias("wa_day"), *[F.col(c).alias(f"wa_{c}") for c in cols]),
                     F.struct(diff, F.col(day)))

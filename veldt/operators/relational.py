@@ -105,21 +105,6 @@ def circle_ring(lon: Column, lat: Column, area_km2: Column, vertices: int = C.CI
     return F.transform(turn, lambda a: F.array(F.round(lon + wide * F.cos(a), 5), F.round(lat + tall * F.sin(a), 5)))
 
 
-def ring_centroid(df: DataFrame, ring: str = "ring", key: str = "entity") -> DataFrame:
-    """Shoelace centroid of a closed ring; |area| < 1e-9 falls back to the vertex mean."""
-    p = df.select(key, F.posexplode(ring).alias("i", "pt"))
-    w = Window.partitionBy(key).orderBy("i")
-    p = p.select(key, "i", F.col("pt")[0].alias("x0"), F.col("pt")[1].alias("y0"),
-                 F.lead(F.col("pt")[0]).over(w).alias("x1"), F.lead(F.col("pt")[1]).over(w).alias("y1"))
-    cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
-    g = p.groupBy(key).agg(
-        (F.sum(cross) * 0.5).alias("a"), F.sum((F.col("x0") + F.col("x1")) * cross).alias("cx"),
-        F.sum((F.col("y0") + F.col("y1")) * cross).alias("cy"), F.avg("x0").alias("mx"), F.avg("y0").alias("my"))
-    deg = F.abs(F.col("a")) < 1e-9
-    return g.select(key, F.when(deg, F.col("my")).otherwise(F.col("cy") / (F.lit(6.0) * F.col("a"))).alias("lat"),
-                    F.when(deg, F.col("mx")).otherwise(F.col("cx") / (F.lit(6.0) * F.col("a"))).alias("lon"))
-
-
 def quadrants(df: DataFrame, key: str = "entity") -> DataFrame:
     """Four quadrant zones from a bbox midpoint (H13): NW, NE, SW, SE."""
     mx = (F.col("min_lon") + F.col("max_lon")) / 2

@@ -297,12 +297,12 @@ def k11_sensitivity(spark, sf):
 
 
 @query("k11_selection_frequency", sql=with_base("""
-SELECT scenario_id, id, selection_freq, units_mean,
-  CASE WHEN selection_freq >= 0.8 THEN 'core' WHEN selection_freq < 0.5 THEN 'opportunistic'
+SELECT scenario_id, id, selection_freq, units_mean, units_std,
+  row_number() OVER (PARTITION BY scenario_id ORDER BY selection_freq DESC, id) AS place, CASE WHEN selection_freq >= 0.8 THEN 'core' WHEN selection_freq < 0.5 THEN 'opportunistic'
        ELSE 'conditional' END AS class
 FROM (""" + " UNION ALL ".join(
     f"SELECT scenario_id, '{r[0]}' AS id, avg(CASE WHEN u{i} > 0 THEN 1.0 ELSE 0.0 END) AS selection_freq, "
-    f"avg(CAST(u{i} AS DOUBLE)) AS units_mean FROM sscore GROUP BY scenario_id"
+    f"avg(CAST(u{i} AS DOUBLE)) AS units_mean, stddev_pop(CAST(u{i} AS DOUBLE)) AS units_std FROM sscore GROUP BY scenario_id"
     for i, r in enumerate(C.CATALOG_ROWS)) + ")", extra=_SENS_CTES))
 def k11_selection_frequency(spark, sf):
     """How often each intervention is selected across perturbed catalogs; core/opportunistic."""

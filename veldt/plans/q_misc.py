@@ -14,6 +14,7 @@ from veldt.operators import ml as ML
 from veldt.operators import readmodel as R
 from veldt.operators import relational as RL
 from veldt.operators import serving as SV
+from veldt.operators import spatial as SP
 from veldt.plans import panels
 from veldt.plans.q_ml import MEDIANS_SQL
 from veldt.plans.registry import query
@@ -193,18 +194,16 @@ def h13_quadrant_zones(spark, sf):
     return RL.quadrants(bb)
 
 
-@query("h11_h12_polygon_centroid", sql=None, no_oracle="array/transform geometry; checked in tests against "
-                                                       "the circle centre")
+@query("h11_h12_polygon_centroid", sql=None, no_oracle="array/transform geometry; the circle's centre in tests/test_spatial_store.py")
 def h11_h12_polygon_centroid(spark, sf):
     """Equal-area circle polygon per entity from its points' bbox, then shoelace centroid and bounds."""
     p = _points(spark, sf)
     g = p.groupBy("entity").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"),
                                 F.count(F.lit(1)).cast("double").alias("area_km2"))
     rings = g.withColumn("ring", RL.circle_ring(F.col("lon"), F.col("lat"), F.col("area_km2")))
-    cen = RL.ring_centroid(rings)
-    return (rings.select("entity", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"),
-                         RL.bounds(F.col("ring")).alias("bbox"), F.size("ring").alias("n_vertices"))
-                 .join(cen, "entity"))
+    return rings.withColumn("c", SP.ring_centre(F.col("ring"))).select(
+        "entity", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), RL.bounds(F.col("ring")).alias("bbox"),
+        F.size("ring").alias("n_vertices"), F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"))
 
 
 _INC_SQL = """

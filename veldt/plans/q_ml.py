@@ -202,7 +202,7 @@ def j08_platt_calibration(spark, sf):
     return m.join(kinds, "threat")
 
 
-@query("j09_temperature", no_oracle="grid argmin with refinement; rows-only (see tests)")
+@query("j09_temperature", no_oracle="grid argmin with refinement; a plain search in tests/test_models.py")
 def j09_temperature(spark, sf):
     """Temperature T in [0.1, 10] minimising validation NLL per threat."""
     return ML.temperature(_score_long(spark, sf, "val"))

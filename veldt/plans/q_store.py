@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from veldt.operators import allocate as A
 from veldt.operators import store as ST
+from veldt.plans import q_allocate as QA
 from veldt.plans.q_allocate import _CAT_SQL, _RAT_CTES, _SPLIT_SQL, _LINES_SQL, ZONES_SQL, _scored_plans, _zone_split
-from veldt.plans.registry import query
+from veldt.plans.registry import ORACLES, query
 from veldt.plans.sql_base import with_base
 from veldt.streaming.daily import fresh_base
 
@@ -53,3 +54,21 @@ def f02_recommendation_history(spark, sf):
     """The five newest stored recommendations of every entity (F2)."""
     held, _ = _persisted(spark, sf)
     return ST.history(held, 5).select("entity", "scenario_id", "budget", "total_cost", "total_risk_reduction", "created_at")
+
+
+_LINE_SQL = "zone_id || ' ' || intervention_id || ' x' || CAST(units AS BIGINT)"
+
+
+@query("k15_recommendation_response", sql=f"""
+SELECT f.*, r.summary, r.floor_note, r.budget_note, coalesce(z.n_zone_lines, 0) AS n_zone_lines, coalesce(z.zone_lines, '') AS zone_lines, z.zone_cost
+FROM ({ORACLES['k15_full_response']}) f JOIN ({ORACLES['k14_rationale']}) r USING (scenario_id)
+LEFT JOIN (SELECT scenario_id, count(*) AS n_zone_lines, string_agg({_LINE_SQL}, '; ' ORDER BY {_LINE_SQL}) AS zone_lines, sum(cost) AS zone_cost
+           FROM ({ORACLES['c11_zone_allocation_lines']}) GROUP BY scenario_id) z USING (scenario_id)""")
+def k15_recommendation_response(spark, sf):
+    """The whole response of a recommendation: plan, floors, before and after, baselines, zone lines and rationale."""
+    lines = QA.c11_zone_allocation_lines.raw(spark, sf)
+    text = F.concat("zone_id", F.lit(" "), "intervention_id", F.lit(" x"), F.col("units").cast("bigint").cast("string"))
+    per = lines.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n_zone_lines"), F.sum("cost").alias("zone_cost"),
+                                           F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("zone_lines"))  # interventions x zones of one plan
+    out = QA.k15_full_response.raw(spark, sf).join(QA.k14_rationale.raw(spark, sf), "scenario_id").join(per, "scenario_id", "left")
+    return out.na.fill(0, ["n_zone_lines"]).na.fill("", ["zone_lines"])
