@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veldt import config as C
 from veldt.operators import evaluate as EV
 from veldt.operators import ml as ML
-from veldt.session import scratch_path
+from veldt.streaming.daily import fresh_base
 
 SCHEMA = ", ".join([f"{c} double" for c in C.FEATURE_COLS] + [f"{c} int" for c in C.LABEL_COLS] + ["entity string", "day date", "n int"])
 
@@ -94,7 +94,7 @@ def test_stored_scorer_gives_the_same_calibrated_clipped_probabilities(spark, da
     cal = ML.platt(EV.to_long(ML.predict_bundle(bundle, val, prefix=""), []))
     cal[C.THREATS[2]] = ("temperature", 2.0)
     scorer = ML.Scorer(bundle, med, cal)
-    path = scratch_path(spark, "scorer-test")
+    path = fresh_base(spark, "scorer-test")
     scorer.save(spark, path)
     bare = val.drop(*ML.IMPUTED)
     want = scorer.score(bare).orderBy("n").select(*C.PROB_COLS).collect()

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldt.operators import relational as RL
-from veldt.session import scratch_path
 from veldt.sources import chunks as CH
 from veldt.sources import sorted_files as SO
+from veldt.streaming.daily import fresh_base
 
 DAY = datetime.date(2020, 1, 1)
 
@@ -45,7 +45,7 @@ def test_null_targets_and_no_rows(spark):
 def written(spark):
     rng = random.Random(3)
     rows = [(f"e{rng.randrange(12):02d}", DAY + datetime.timedelta(days=rng.randrange(900)), rng.random(), rng.choice([1.0, None])) for _ in range(30_000)]
-    path = scratch_path(spark, "sorted-test")
+    path = fresh_base(spark, "sorted-test")
     SO.write(spark.createDataFrame(rows, "entity string, day date, v double, w double").repartition(6), path, ["entity", "day"], files=5, group_bytes=32 << 10)
     return rows, path
 
@@ -53,7 +53,7 @@ def written(spark):
 def test_files_lie_in_order(spark, written):
     rows, path = written
     assert SO.order_report(spark.read.parquet(path), ["entity", "day"]).first().asDict() == {"n_rows": len(rows), "rows_out_of_order": 0, "files_that_overlap": 0}
-    mixed = scratch_path(spark, "unsorted-test")
+    mixed = fresh_base(spark, "unsorted-test")
     spark.read.parquet(path).repartition(3).write.mode("overwrite").parquet(mixed)
     bad = SO.order_report(spark.read.parquet(mixed), ["entity", "day"]).first()
     assert bad["rows_out_of_order"] > 0 and bad["files_that_overlap"] == 2
@@ -90,7 +90,7 @@ def test_open_ended_scan(spark, written):
 
 
 def test_broken_and_failed_chunks_are_reported_and_left_out(spark):
-    base = scratch_path(spark, "chunk-test")
+    base = fresh_base(spark, "chunk-test")
     df = spark.range(10).select("id", F.lit("x").alias("t"))
     assert CH.land(base, "a", df) and CH.land(base, "b", df.limit(4)) and CH.land(base, "e", df.limit(0))
     assert not CH.land(base, "c", df.where(F.raise_error(F.lit("gone")).isNull()))

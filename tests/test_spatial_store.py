@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veldt.operators import spatial as SP
 from veldt.operators import store as ST
-from veldt.session import scratch_path
+from veldt.streaming.daily import fresh_base
 
 A, B = ("ax0", "ay0", "ax1", "ay1"), ("bx0", "by0", "bx1", "by1")
 
@@ -83,7 +83,7 @@ def rows(spark, values):
 
 
 def test_store_keeps_keys_unique_and_history_is_newest_first(spark):
-    held, _ = ST.recommendation_stores(spark, scratch_path(spark, "store-test"))
+    held, _ = ST.recommendation_stores(spark, fresh_base(spark, "store-test"))
     assert held.read().count() == 0
     held.write(rows(spark, [(1, "a", 3), (2, "a", 5), (3, "b", 1)]), 0)
     held.write(rows(spark, [(2, "a", 9), (4, "a", 4), (4, "a", 4), (5, "c", 2)]), 1)
