@@ -72,6 +72,23 @@ def test_chains_and_hot_buckets_lose_no_link(spark):
         M.ROUNDS = old
 
 
+@pytest.mark.parametrize(("k", "changed"), [(2, 5), (5, 3)])
+def test_a_large_group_of_look_alikes_meets_few_pairs(spark, monkeypatch, k, changed):
+    """Copies of one text with changed words, most pairs just under 0.8: components as by brute force, and the
+    pairs compared after the pivot rounds stay far below all pairs."""
+    rng, rows = random.Random(5), []
+    words = prose(rng, 120, 3000).split()
+    for i in range(1000):
+        w = list(words)
+        for j in rng.sample(range(120), changed):
+            w[j] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "a"))
+    made, plain = [], M._compared
+    monkeypatch.setattr(M, "_compared", lambda pairs, *a: made.append(C.materialize(pairs, "pairs")) or plain(made[-1], *a))
+    assert run(make(spark, rows), k) == brute(rows, k, 80)
+    assert len(made) == M.ROUNDS + 3 and sum(p.count() for p in made[M.ROUNDS:]) < 0.2 * 1000 * 999 / 2
+
+
 def test_min_max_votes_are_unbiased():
     rng = np.random.default_rng(0)
     err = []

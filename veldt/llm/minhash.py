@@ -12,10 +12,12 @@ a row picked by hash), and rows not yet known to be in the pivot's component
 are compared with it on both whole texts.  After each round buckets whose rows
 are all in one component are finished; in a large group of near copies that
 soon holds for all.  What is left after ``ROUNDS`` rounds (texts that share a
-large part, but not enough) is settled by an exact set join: two sets with
-similarity s share at least one of the rarest (1 - s) n + 1 shingles of either,
-so only rows of different components that share such a shingle are compared.
-No bucket is collected and none is capped.
+large part, but not enough) is settled by an exact join on differences: rows
+alike to common pivots are a cluster, each row is its difference from the
+shingles that most of the cluster holds, and a linked pair's differences are
+small together or share a known number of elements.  So edits that do not agree
+form no pair, however large the group; rows of different clusters meet by the
+rarest shingles of their whole sets.  No bucket is collected and none is capped.
 
 Defined cases: null or blank text has the empty set, is linked with nothing
 and stays; different texts under one doc_id are separate texts, and of one text
@@ -26,6 +28,7 @@ other columns do not matter; an empty input gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,12 @@ from veldt.llm import common as C
 
 PERMUTATIONS = 80
 BAND = 5
-#: rounds with one pivot in each bucket before the rest is settled by rare shingles
+#: rounds with one pivot in each bucket before the rest is settled by differences
 ROUNDS = 2
+#: percent of similarity with a pivot from which on two rows are of one cluster (any value loses no link)
+LOOSE = 50
+#: rows meet by subsets of two or three elements where they may miss at most so many (66 and 56 subsets)
+SPARE = {2: 10, 3: 5}
 
 _rng = np.random.default_rng(20240)
 _FLIP = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -147,17 +154,18 @@ def _compare(k: int):
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (lead, rep, ln, n, lc, c) with ``linked``; where the set sizes rule a link out,
+    """pairs (lead, rep, ln, n, lc, c) with ``linked`` and ``alike``; where the set sizes rule a link out,
     the texts are not read."""
     small, large = F.least("n", "ln"), F.greatest("n", "ln")
     pairs = pairs.withColumn("maybe", 100 * small >= percent * large)
-    far = pairs.where("not maybe").drop("maybe").withColumn("linked", F.lit(False))
+    far = pairs.where("not maybe").drop("maybe").withColumn("linked", F.lit(False)).withColumn("alike", F.lit(False))
     t, near = texts.select("doc_id", "text"), pairs.where("maybe").drop("maybe")
     read = (near.select("lead", "rep")
             .join(t.select(F.col("doc_id").alias("rep"), F.col("text").alias("rt")), "rep")
             .join(t.select(F.col("doc_id").alias("lead"), F.col("text").alias("lt")), "lead")
             .select("lead", "rep", "lt", "rt").mapInArrow(_compare(k), "lead long, rep long, both long, either long"))
-    got = read.groupBy("lead", "rep").agg(F.max(100 * F.col("both") >= percent * F.col("either")).alias("linked"))
+    got = read.groupBy("lead", "rep").agg(F.max(100 * F.col("both") >= percent * F.col("either")).alias("linked"),
+                                            F.max(100 * F.col("both") >= LOOSE * F.col("either")).alias("alike"))
     return near.join(got, ["lead", "rep"]).unionByName(far)
 
 
@@ -176,13 +184,14 @@ def _pairs(rows: DataFrame, tested: DataFrame | None) -> DataFrame:
 def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> list[DataFrame]:
     """Tables of links (lead, rep).  members: key, rep, n of buckets with two rows or more."""
     reach = 1 - percent / 100 + 1e-9
-    rows, tested, found = members.withColumn("c", F.col("rep")), None, []
+    rows, tested, found, loose = members.withColumn("c", F.col("rep")), None, [], []
     for turn in range(ROUNDS):
         order = F.col("rep") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
         pivots = rows.groupBy("key").agg(*[F.min_by(x, order).alias(y) for x, y in (("rep", "pr"), ("n", "pn"), ("c", "pc"))])
         met = rows.join(pivots, "key").where("rep <> pr")
         dist = C.materialize(_compared(_pairs(met.where("c <> pc"), tested), texts, k, percent), "compared")
         found.append(dist.where("linked").select("lead", "rep"))
+        loose.append(dist.where("linked or alike").select("lead", "rep"))
         seen = dist.select("lead", "rep")
         tested = seen if tested is None else tested.union(seen)
         # the larger label of a link takes the smaller one, and that one's own new label
@@ -195,49 +204,127 @@ def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> list[D
         rows = C.materialize(rest.join(mixed, "key", "semi"), "rows")
         if rows.isEmpty():
             return found
-    left = rows.groupBy("rep").agg(F.min("c").alias("c"))
-    return [*found, _settled(left, texts, tested, k, percent)]
+    def label(edges: list[DataFrame], name: str) -> DataFrame:
+        pairs = functools.reduce(DataFrame.union, edges).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+        return C.connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias(name))
+
+    rows = rows.select("key", "rep").join(label(found, "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    left = rows.join(mixed, "key", "semi").select("rep", "c").distinct() \
+               .join(label(loose, "cl"), "rep", "left").withColumn("cl", F.coalesce("cl", "rep"))
+    left = C.materialize(left, "left")
+    return found if left.isEmpty() else [*found, *_settled(left, texts, tested, k, percent)]
 
 
 def _shingled(k: int):
-    schema = pa.schema([("rep", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("hs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = C.utf8(b.column(2).cast(pa.large_binary()).cast(pa.large_string()))
+            data, off = C.utf8(b.column(1).cast(pa.large_binary()).cast(pa.large_string()))
             for i, j in C.slices(off):
                 part, o = C.lower_ascii(data[off[i]:off[j]]), off[i:j + 1] - off[i]
                 start, end, row = C.words(part, o)
                 sets = shingle_hashes(C.hash_spans(part, start, end), row, k, j - i)
-                n = [len(u) for u in sets]
-                if sum(n):
-                    rep, tid = (np.repeat(b.column(c).slice(i, j - i).to_numpy(), n) for c in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tid), pa.array(np.repeat(n, n)),
-                                                      pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()),
+                                                  pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _settled(left: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (lead, rep) between components among the rows ``left`` (rep, c): every pair of texts with
-    enough in common shares one of the rarest shingles of each."""
-    t = texts.join(left, texts["doc_id"] == left["rep"], "semi").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("tid"), "text")
-    sh = C.materialize(t.mapInArrow(_shingled(k), "rep long, tid long, n long, h long"), "shingles")
-    often = sh.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = Window.partitionBy("rep", "tid")
-    rare = sh.join(often, "h", "left") \
-        .withColumn("place", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "h"))) \
-        .withColumn("s", F.count("df").over(own))  # the others occur in no second text, so at most s are shared
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    rare = rare.where((F.col("place") <= most) & F.col("df").isNotNull() & (100 * F.col("s") >= percent * F.col("n"))) \
-               .select("rep", "n", "s", "h").join(left, "rep")
-    mixed = rare.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    rare = C.materialize(rare.join(mixed, "h", "semi"), "rare")
-    other = rare.select("h", F.col("rep").alias("pr"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("c").alias("pc"))
-    met = rare.join(other, "h").where((F.col("rep") > F.col("pr")) & (F.col("c") != F.col("pc"))
-                                      & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-                                      & ((100 + percent) * F.least("s", "ps") >= percent * (F.col("n") + F.col("pn"))))
-    return C.materialize(_compared(_pairs(met, tested), texts, k, percent), "compared").where("linked").select("lead", "rep")
+def _sets_of(prefix, size: int):
+    """Keys of all ``size``-element subsets of an array whose order all rows share."""
+    if size == 1:
+        return F.transform(prefix, lambda h: F.xxhash64(F.lit(1), h))
+    two = F.flatten(F.transform(prefix, lambda x, i: F.transform(
+        F.slice(prefix, i + 2, F.size(prefix)), lambda y, j: F.struct(x.alias("x"), y.alias("y"), (i + j + 3).alias("then")))))
+    if size == 2:
+        return F.transform(two, lambda t: F.xxhash64(F.lit(2), t["x"], t["y"]))
+    return F.flatten(F.transform(two, lambda t: F.transform(
+        F.slice(prefix, t["then"], F.size(prefix)), lambda z: F.xxhash64(F.lit(3), t["x"], t["y"], z))))
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of one group ``g`` and of two sides ``x`` that may be linked.
+
+    rows: g, x, rep, c, n, el (a set of elements), e and need; a pair is linked only if its ``el`` share
+    (e + e') / (2 (100 + percent)) elements, and a row only with partners that share ``need`` of them, so of the
+    rarest s - need + l of its s elements that occur on another side at least l are shared, for each l up to need.
+    Rows meet by subsets of l such elements, with the largest l up to 3 that gives both few subsets.
+    """
+    el = rows.select("g", "x", "rep", F.explode("el").alias("h"))
+    often = el.groupBy("g", "h").agg(F.count(F.lit(1)).alias("df"), F.min("x").alias("lo"), F.max("x").alias("hi")) \
+              .where("lo <> hi").select("g", "h", "df")
+    held = el.join(often, ["g", "h"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("el"))  # of one text
+    held = held.select("rep", F.size("el").alias("s"), F.col("el.h").alias("el")).join(rows.drop("el"), "rep").where("s >= need")
+    spare = F.col("s") - F.col("need")
+    level = F.when((F.col("need") >= 3) & (spare <= SPARE[3]), 3).when((F.col("need") >= 2) & (spare <= SPARE[2]), 2).otherwise(1)
+    held = held.withColumn("level", level)
+
+    def keys_of(at: int):
+        keys = F.transform(_sets_of(F.slice("el", F.lit(1), (spare + at).cast("int")), at),
+                           lambda key: F.struct(F.lit(at).alias("at"), key.alias("key")))
+        return F.when(F.col("level") >= at, keys).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+
+    keys = F.concat(*[keys_of(at) for at in (1, 2, 3)])
+    held = C.materialize(held.withColumn("key", F.explode(keys)).select("g", "key.at", "key.key", "x", "rep", "c", "n", "e", "s", "level"), "rare")
+    mixed = held.groupBy("g", "at", "key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("level").alias("least")) \
+                .where("lo <> hi and least = at").select("g", "at", "key")
+    held = held.join(mixed, ["g", "at", "key"], "semi")
+    other = held.select("g", "at", "key", *[F.col(v).alias("p" + v) for v in ("x", "rep", "c", "n", "e", "s", "level")])
+    return held.where("level = at").join(other, ["g", "at", "key"]).where(
+        ((F.col("plevel") > F.col("level")) | (F.col("rep") > F.col("prep"))) & (F.col("x") != F.col("px"))
+        & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+        & (2 * (100 + percent) * F.least("s", "ps") >= F.col("e") + F.col("pe"))).withColumnRenamed("prep", "pr")
+
+
+def _settled(left: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Tables of links (lead, rep) between components among the rows ``left`` (rep, c, cl: a cluster of components).
+
+    The core of a cluster is the shingles that more than half of its rows hold, a row's difference the shingles
+    that only one of row and core has (d of them).  With e = (100 + percent) d - (100 - percent) n, two rows of a
+    cluster are linked exactly if their differences share (e + e') / (2 (100 + percent)) elements: none where
+    e + e' <= 0, which links a row with the one of least e, and otherwise rare ones, as edits of one text seldom
+    agree.  Rows of two clusters meet by their whole sets, the same bound without a core.
+    """
+    far, near = 100 + percent, 100 - percent
+    t = texts.join(left, texts["doc_id"] == left["rep"], "semi").select(F.col("doc_id").alias("rep"), "text")
+    sets = t.mapInArrow(_shingled(k), "rep long, n long, hs array<long>") \
+            .groupBy("rep").agg(F.first("n").alias("n"), F.first("hs").alias("hs"))  # repeated rows hold one text
+    sets = C.materialize(sets.join(left, "rep"), "sets")
+
+    size = sets.groupBy("cl").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    held = sets.select("cl", F.explode("hs").alias("h")).groupBy("cl", "h").agg(F.count(F.lit(1)).alias("df"))
+    core = held.join(size, "cl").where("2 * df > rows").groupBy("cl").agg(F.collect_list("h").alias("core"))  # at most two mean sets
+    none = F.array().cast("array<long>")
+    part = sets.join(size.select("cl"), "cl", "semi").join(core, "cl", "left").withColumn("core", F.coalesce("core", none))
+    more, less = F.array_except("hs", "core"), F.transform(F.array_except("core", "hs"), lambda h: F.xxhash64(h, F.lit(1)))
+    part = part.select("cl", "c", "rep", "n", F.size(more).alias("more"), F.concat(more, less).alias("el")) \
+               .withColumn("e", far * F.size("el") - near * F.col("n"))
+    part = C.materialize(part, "differences")
+
+    star = part.groupBy("cl").agg(*[F.min_by(v, F.struct("e", "rep")).alias("p" + v) for v in ("rep", "n", "c", "e")])
+    met = part.drop("el").join(star.withColumnRenamed("prep", "pr"), "cl").where("c <> pc and e + pe <= 0")
+    first = C.materialize(_compared(_pairs(met, tested), texts, k, percent), "compared")
+    # a component lies in one cluster, so it takes one label at most
+    sides = first.where("linked").select(F.explode(F.array("lc", "c")).alias("c")).distinct()
+    joined = left.select("cl", "c").distinct().join(sides, "c", "semi").join(star.select("cl", "pc"), "cl").select("c", "pc")
+    part = part.join(joined, "c", "left").withColumn("c", F.coalesce("pc", "c")).drop("pc")
+    part = C.materialize(part, "differences")
+
+    # the least e of the other components of a cluster
+    least = part.groupBy("cl", "c").agg(F.min("e").alias("e"))
+    best = least.groupBy("cl").agg(F.min(F.struct("e", "c")).alias("one"))
+    second = least.join(best, "cl").where("c <> one.c").groupBy("cl").agg(F.first("one").alias("one"), F.min("e").alias("two"))
+    other = F.when(F.col("c") == F.col("one.c"), F.col("two")).otherwise(F.col("one.e"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + other) / F.lit(2 * far)),
+                      F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) - F.col("n") + F.col("more"))
+    inside = part.join(second, "cl").select(F.col("cl").alias("g"), F.col("c").alias("x"), "rep", "c", "n", "e", need.alias("need"), "el")
+    across = sets.select(F.lit(0).cast("long").alias("g"), F.col("cl").alias("x"), "rep", "c", "n", (2 * percent * F.col("n")).alias("e"),
+                         F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).alias("need"), F.col("hs").alias("el"))
+    seen = tested.union(first.select("lead", "rep"))
+    rest = [C.materialize(_compared(_pairs(_met(rows, percent), seen), texts, k, percent), "compared") for rows in (inside, across)]
+    return [x.where("linked").select("lead", "rep") for x in (first, *rest)]
 
 
 # ------------------------------------------------------------- operator
